@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradeveil.llm import token_files
+from gradeveil.llm import line_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,29 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(docs))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
+    "op8_line_dedup": op8_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, l.line, l.pos
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+                 LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS pos) l),
+        keyed AS (
+            SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+        shared AS (
+            SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (s.key IS NOT NULL AND doc_id <> s.last) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (s.key IS NULL OR doc_id = s.last), '')) AS kept_sha256
+        FROM keyed LEFT JOIN shared s USING (key) GROUP BY doc_id""",
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeveil.llm import line_dedup, packing, token_files
+from gradeveil.llm import line_dedup, packing, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op6_token_files": op6_token_files,
     "op8_line_dedup": op8_line_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -49,4 +55,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (s.key IS NOT NULL AND doc_id <> s.last) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (s.key IS NULL OR doc_id = s.last), '')) AS kept_sha256
         FROM keyed LEFT JOIN shared s USING (key) GROUP BY doc_id""",
+    "op9_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos, len(ws) AS n
+            FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+        windows AS (
+            SELECT doc_id, pos, n, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS g
+            FROM words),
+        firsts AS (SELECT g, min(doc_id) AS first FROM windows WHERE pos + 12 <= n GROUP BY g),
+        hits AS (
+            SELECT w.doc_id, w.pos FROM windows w JOIN firsts USING (g) WHERE w.pos + 12 <= w.n AND first < w.doc_id),
+        marked AS (
+            SELECT w.doc_id, w.pos, w.w, max(h.pos) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+            FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.pos = w.pos)
+        SELECT d.doc_id, count(m.pos) AS n_words, count(*) FILTER (m.gone) AS n_removed,
+               sha256(coalesce(string_agg(m.w, ' ' ORDER BY m.pos) FILTER (NOT m.gone), '')) AS kept_sha256
+        FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeveil.llm import line_dedup, packing, substring_dedup, token_files
+from gradeveil.llm import line_dedup, packing, quality_rules, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(docs))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False)
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -36,11 +41,39 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op6_token_files": op6_token_files,
+    "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": r"""
+        WITH docs AS (
+            SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        grams AS (
+            SELECT doc_id, unnest(range(1, len(ws) - 1)) AS pos, ws FROM docs),
+        windows AS (
+            SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, ws[pos] || ' ' || ws[pos + 1] || ' ' || ws[pos + 2]) AS n FROM grams),
+        repeats AS (
+            SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM windows WHERE n > 1) GROUP BY doc_id),
+        counts AS (
+            SELECT d.doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+                   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+            FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM docs) d
+            LEFT JOIN repeats r USING (doc_id)),
+        failed AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+        hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM failed GROUP BY source),
+        total AS (
+            SELECT sum(n) AS n, count(*) AS k, sum(f) / sum(n) AS mean, sum(n * (f / n) * (f / n)) / sum(n) AS sq FROM hosts),
+        spread AS (SELECT *, greatest(sq - mean * mean - mean * (1 - mean) * k / n, 0.0) AS v FROM total),
+        prior AS (
+            SELECT mean, CASE WHEN v > 0 THEN least(greatest(mean * (1 - mean) / v - 1, 1.0), n / k) ELSE n / k END AS strength FROM spread),
+        verdicts AS (SELECT source, (f + mean * strength) / (n + strength) > 0.9 AS rejected FROM hosts, prior)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+        FROM failed JOIN verdicts ON failed.source IS NOT DISTINCT FROM verdicts.source""",
     "op8_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, l.line, l.pos

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeveil.llm import line_dedup, packing, quality_rules, substring_dedup, token_files
+from gradeveil.llm import line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return token_files.read_token_files(token_files.write_token_files(docs))
@@ -40,6 +44,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_near_dedup": op5_near_dedup,
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,

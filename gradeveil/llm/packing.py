@@ -190,7 +190,7 @@ def cut_pieces(docs: DataFrame, *, vocabulary: str | None = None, end: int = 1,
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32"))])
-        encoder = WordEncoder(vocabulary)
+        encoder = WordEncoder.of_worker(vocabulary)
         for table in rows_in(batches, "text"):
             ids, counts = with_end(*encoder.encode(table["text"].combine_chunks()), end)
             pieces = -(-counts // capacity)

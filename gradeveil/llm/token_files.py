@@ -152,7 +152,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, *, vocabulary:
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, encoder = TaskContext.get(), WordEncoder(vocabulary)
+        task, encoder = TaskContext.get(), WordEncoder.of_worker(vocabulary)
         system, where = file_system(folder)
         system.create_dir(where, recursive=True)
         name = f"shard-{task.partitionId():06d}.ids.zst"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeveil.llm import chat, decontamination, importance, line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_files
+from gradeveil.llm import chat, decontamination, importance, language_model, line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_lm_scores": op2_lm_scores,
     "op3_quality_sample": op3_quality_sample,
     "op4_decontamination": op4_decontamination,
     "op5_near_dedup": op5_near_dedup,

@@ -33,7 +33,7 @@ SMALL = 128
 #: Sketches of pairs at the threshold differ by more than this with a probability of about 1 in 30 000.
 SLACK = 0.2
 
-SIGNATURES = "doc_id long, n long, h1 long, h2 long, sketch binary"
+SIGNATURES = "doc_id long, text_hash long, n long, h1 long, h2 long, sketch binary"
 MEMBER = "node long, k long, sketch binary"
 FOUND = "a long, b long, node long, sketch binary"
 MULTIPLIERS = (mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).astype(np.uint64)
@@ -89,18 +89,19 @@ def _sketches(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    t = F.col(f"`{text}`").cast("string")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
 
 
 def signatures(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n", "h1", "h2")), ("sketch", pa.binary())])
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "n", "h1", "h2")] + [("sketch", pa.binary())])
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in rows_in(batches, "text"):
             shingles, sizes = shingle_sets(table["text"].combine_chunks(), shingle)
             h1, h2 = _set_keys(shingles, sizes)
             sketches = [s.tobytes() for s in _sketches(shingles, sizes)]
-            yield row_batch(schema, doc_id=id_array(ids_of(table["doc_id"].combine_chunks())), n=sizes, h1=h1, h2=h2, sketch=sketches)
+            yield row_batch(schema, doc_id=id_array(ids_of(table["doc_id"].combine_chunks())), text_hash=table["text_hash"].combine_chunks(), n=sizes, h1=h1, h2=h2, sketch=sketches)
 
     return _texts(docs, doc_id, text).mapInArrow(sign, SIGNATURES)
 
@@ -283,8 +284,8 @@ def _across_large(percent: int):
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Returns doc_id, n_shingles, component_id (the smallest id reachable over links) and kept (doc_id is the
-    component_id), one row for each row of docs.
+    """Returns doc_id, n_shingles, component_id (the smallest id reachable over links), kept (doc_id is the
+    component_id) and text_hash (xxhash64 of the text), one row for each row of docs.
 
     Words are lower-cased (A-Z); a document's set holds its distinct shingles of `shingle` words, or all its words
     as one if they are fewer; without words it is empty and linked with nothing. Sets are linked if
@@ -346,8 +347,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     names = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = joined.join(names, "component").select("k", "component_id")
     # the adaptive planner splits the class that a third of all documents may be
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, key).alias("k")).join(named, "k", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, key).alias("k")).join(named, "k", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
+    """docs, all columns kept, with one row of each group of near duplicates: that with the smallest id. Of rows with
+    one id and one text, one stays. parameters: of near_duplicates."""
+    kept = near_duplicates(docs, doc_id=doc_id, text=text, **parameters).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    rows = docs.withColumn("__h", F.xxhash64(F.col(f"`{text}`").cast("string"))).withColumn("__i", F.col(f"`{doc_id}`").cast("long"))
+    one = rows.join(kept, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_semi")
+    return one.dropDuplicates(["__i", "__h"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _sets(docs: DataFrame, classes: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:

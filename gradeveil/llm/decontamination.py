@@ -5,6 +5,7 @@ sentence) and units become typed placeholders, whose values are kept as slots. W
 documents are looked up by hash in those of the benchmark. Hits on one diagonal (same item, same shift) are one
 alignment; it counts if its slots are consistent: an item's value stands for one value of the document wherever it
 occurs. So a question with other numbers and names is caught, and two texts that merely share a pattern are not.
+Windows are looked up with names spelled out too, so that a copy in other letter case is found.
 
 The benchmark is a query set: its index goes to every task in blocks of at most BLOCK_WORDS words, one after
 another, however many there are. Documents are never shuffled.
@@ -54,17 +55,23 @@ class Templates:
         self.row = row[stay]
         self.kind = np.where((kind[codes] == LITERAL) & title[codes] & ~begins, NAME, kind[codes])
         self.value = value[codes]
-        self.hash = np.where(self.kind == LITERAL, self.value, self.kind.astype(np.uint64))
+        # a token's template with names as placeholders, and with names spelled out
+        self.typed = np.where(self.kind == LITERAL, self.value, self.kind.astype(np.uint64))
+        self.plain = np.where((self.kind == LITERAL) | (self.kind == NAME), self.value, self.kind.astype(np.uint64))
         self.counts = np.bincount(self.row, minlength=len(counts))
         self.starts = np.cumsum(self.counts) - self.counts
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows of `size` tokens of one text with enough literal tokens."""
-        hashes = rolling(self.hash, size)
+    def windows(self, size: int, typed: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of `size` tokens of one text, at least half of them literal. typed: the
+        windows with names, as placeholders; else all, with names as words, so that the case of a copy is no matter."""
+        hashes = rolling(self.typed if typed else self.plain, size)
         if not len(hashes):
             return np.zeros(0, np.int64), hashes
-        literal = np.append(0, np.cumsum(self.kind == LITERAL))
-        good = (self.row[: len(hashes)] == self.row[size - 1 :]) & (2 * (literal[size:] - literal[:-size]) >= size)
+        named = np.append(0, np.cumsum(self.kind == NAME))
+        other = np.append(0, np.cumsum((self.kind == NUMBER) | (self.kind == UNIT)))
+        slots, names = other[size:] - other[:-size], named[size:] - named[:-size]
+        good = self.row[: len(hashes)] == self.row[size - 1 :]
+        good &= ((names > 0) & (2 * (slots + names) <= size)) if typed else (2 * slots <= size)
         at = np.flatnonzero(good)
         return at, hashes[at]
 
@@ -78,19 +85,20 @@ class Index:
         self.tables = {}
         sizes = {window, *(int(n) for n in np.unique(self.tokens.counts) if 0 < n < window)}
         for size in sorted(sizes):
-            at, hashes = self.tokens.windows(size)
-            if size < window:  # whole items of this size
-                whole = self.tokens.counts[self.tokens.row[at]] == size
-                at, hashes = at[whole], hashes[whole]
-            order = np.argsort(hashes, kind="stable")
-            if len(at):
-                self.tables[size] = (hashes[order], at[order])
+            for typed in (False, True):
+                at, hashes = self.tokens.windows(size, typed)
+                if size < window:  # whole items of this size
+                    whole = self.tokens.counts[self.tokens.row[at]] == size
+                    at, hashes = at[whole], hashes[whole]
+                order = np.argsort(hashes, kind="stable")
+                if len(at):
+                    self.tables[size, typed] = (hashes[order], at[order])
 
     def hits(self, texts: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in the texts, position in the items, size) of each window that is in both."""
         found = [np.zeros((3, 0), np.int64)]
-        for size, (hashes, places) in self.tables.items():
-            at, h = texts.windows(size)
+        for (size, typed), (hashes, places) in self.tables.items():
+            at, h = texts.windows(size, typed)
             first, last = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             n = last - first
             hit = np.flatnonzero(n)
@@ -108,7 +116,7 @@ class Index:
         new = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]))[: len(at)]
         begins = np.flatnonzero(new)
         out: dict[int, dict[int, float]] = {}
-        for begin, end in zip(begins, np.append(begins[1:], len(at)), strict=True):
+        for begin, end in zip(begins, np.append(begins[1:], len(at)), strict=False):
             places = np.unique(ragged(item_at[begin:end], size[begin:end]))
             cover = len(places) / own.counts[item[begin]]
             if cover < min_cover:

@@ -30,6 +30,8 @@ LEVELS = 4
 POOL = FUNCTIONS // LEVELS
 #: Classes in a node that is compared exhaustively, and in a part of a larger node.
 SMALL = 128
+#: Pairs of a small node that are confirmed one by one; beyond, its members are compared in one task.
+MANY_PAIRS = 64
 #: Sketches of pairs at the threshold differ by more than this with a probability of about 1 in 30 000.
 SLACK = 0.2
 
@@ -217,17 +219,23 @@ def _propose(least: float):
 
 
 def _across(least: float):
-    """All similar pairs of a small node that are in different components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """The similar pairs of a small node that are in different components. Of a node with many of them the members, to
+    be compared on full sets with the large nodes' ones."""
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "node")] + [("sketch", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["node"]):
             c = np.asarray(group.column("component"))
             if len(c) > 1 and (c != c[0]).any():
                 k, values = np.asarray(group.column("k")), _matrix(group.column("sketch"))
-                x, y = np.nonzero(np.triu((_similar(values, values) >= least) & (c[:, None] != c[None, :])))
-                if len(x):
-                    yield row_batch(schema, a=np.minimum(k[x], k[y]), b=np.maximum(k[x], k[y]))
+                similar = _similar(values, values)
+                open_ = np.triu((similar >= least) & (c[:, None] != c[None, :]))
+                x, y = np.nonzero(open_)
+                none = pa.nulls(len(x), pa.int64())
+                if len(x) > MANY_PAIRS:
+                    yield row_batch(schema, a=k, b=pa.nulls(len(k), pa.int64()), node=group.column("node"), sketch=group.column("sketch"))
+                elif len(x):
+                    yield row_batch(schema, a=np.minimum(k[x], k[y]), b=np.maximum(k[x], k[y]), node=none, sketch=pa.nulls(len(x), pa.binary()))
 
     return run
 
@@ -331,9 +339,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     def with_component(rows: DataFrame) -> DataFrame:
         return rows.join(first.withColumnRenamed("vertex", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
 
-    across = with_component(leaves).select("node", "k", "sketch", "component").repartition(F.col("node")).sortWithinPartitions("node", "k").mapInArrow(_across(least), "a long, b long")
-    more = written(confirmed(across.distinct().join(pairs, ["a", "b"], "left_anti")), "more_links")
-    large = with_component(rows)
+    mixed = with_component(leaves).select("node", "k", "sketch", "component").repartition(F.col("node")).sortWithinPartitions("node", "k").mapInArrow(_across(least), FOUND)
+    across = written(mixed, "across")
+    more = written(confirmed(across.where("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")), "more_links")
+    large = with_component(rows.unionByName(across.where("b is null").select("node", F.col("a").alias("k"), "sketch")))
     by_component = large.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
     nodes = by_component.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
     mixed = nodes.where(F.col("most.n") < F.col("n")).select("node", F.ceil(F.col("n") / 1024).alias("parts"), F.col("most.component").alias("most"))

@@ -253,8 +253,8 @@ def _metrics_sql(group: str) -> str:
         true_positives / nullif(true_positives + false_positives, 0)::DOUBLE AS p, (true_positives + false_positives)::DOUBLE AS n, 1.96 AS z FROM s)
     SELECT {keys}tn, true_positives, false_positives, false_negatives, precision, recall,
         CASE WHEN precision IS NULL OR recall IS NULL THEN NULL WHEN precision + recall = 0 THEN 0.0 ELSE round(2 * precision * recall / (precision + recall), 6) END AS f1,
-        round(greatest((p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n), 0.0), 6) AS precision_low,
-        round(least((p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n), 1.0), 6) AS precision_high
+        CASE WHEN n > 0 THEN round(greatest((p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n), 0.0), 6) END AS precision_low,
+        CASE WHEN n > 0 THEN round(least((p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n), 1.0), 6) END AS precision_high
     FROM r"""
 
 

@@ -200,7 +200,7 @@ def lock_components(spark: SparkSession, npm_lock: str) -> DataFrame:
 def project_components(spark: SparkSession, pyproject: str) -> DataFrame:
     """name and version requirement of the dependencies in a pyproject file."""
     text = spark.read.text(pyproject, wholetext=True)
-    block = F.regexp_extract("value", r"(?s)\bdependencies\s*=\s*\[(.*?)\n?\]", 1)
+    block = F.regexp_extract("value", r"(?s)\bdependencies\s*=\s*\[((?:[^\]\"]|\"[^\"]*\")*)\]", 1)
     entry = F.explode(F.regexp_extract_all(block, F.lit(r"\"([^\"]+)\""), F.lit(1)))
     return text.select(entry.alias("e")).select(F.regexp_extract("e", r"^([A-Za-z0-9._-]+)", 1).alias("name"), F.trim(F.regexp_replace("e", r"^[A-Za-z0-9._-]+(?:\[[^\]]*\])?", "")).alias("version"))
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 6 << 20
 #: The word separators of all contracts here: space, and U+0009 to U+000D.
 BLANKS = " \t\n\v\f\r"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -37,14 +38,23 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "gradeveil-shared")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gradeveil-{uuid.uuid4().hex}"
+    # with its scheme, as files that Python writes there go the same way
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/gradeveil-{uuid.uuid4().hex}")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors. While it writes,
+    Arrow batches are short, since a row may be a whole text or block."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
+    rows = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, min(int(rows), 500) if int(rows) > 0 else 500)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -159,6 +169,7 @@ def rows_in(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYT
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    pa.default_memory_pool().release_unused()
 
 
 def block_ids() -> Iterator[int]:

@@ -25,6 +25,8 @@ from gradeveil.llm.common import hashed, id_array, ids_of, mix, rolling, row_bat
 from gradeveil.llm.components import connected_components
 
 FUNCTIONS = 64
+#: Bytes of text that are turned into sets at a time.
+PART_BYTES = 2 << 20
 LEVELS = 4
 #: Functions that a level may choose from; no level chooses another's.
 POOL = FUNCTIONS // LEVELS
@@ -99,7 +101,7 @@ def signatures(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFra
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "n", "h1", "h2")] + [("sketch", pa.binary())])
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in rows_in(batches, "text"):
+        for table in rows_in(batches, "text", PART_BYTES):
             shingles, sizes = shingle_sets(table["text"].combine_chunks(), shingle)
             h1, h2 = _set_keys(shingles, sizes)
             sketches = [s.tobytes() for s in _sketches(shingles, sizes)]
@@ -375,7 +377,7 @@ def _sets(docs: DataFrame, classes: DataFrame, shingle: int, doc_id: str, text:
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("set", pa.binary())])
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in rows_in(batches, "text"):
+        for table in rows_in(batches, "text", PART_BYTES):
             shingles, sizes = shingle_sets(table["text"].combine_chunks(), shingle)
             h1, h2 = _set_keys(shingles, sizes)
             ends = np.cumsum(sizes)

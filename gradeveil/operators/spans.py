@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeveil.functions import policy
-from gradeveil.functions.columns import bound, first_match
+from gradeveil.functions.columns import bound
 
 FINDING = "struct<start:int,end:int,kind:string,category:string,min_grade:int>"
 #: Every pattern needs a digit, a separator behind a label, or one of these words.
@@ -44,27 +44,38 @@ def matches(text: Column, regex: str | Column) -> Column:
     return bound(F.regexp_extract_all(text, pattern, F.lit(0)), place)
 
 
-def _finding(span: Column, kind: str, ord_: Column | int) -> Column:
-    category = policy.category_of(kind)
-    order = F.lit(ord_) if isinstance(ord_, int) else ord_
+def _finding(span: Column, kind: Column, category: Column, min_grade: Column, ord_: Column) -> Column:
     # this order of fields is that in which overlaps are resolved
-    return F.struct(span["start"].alias("start"), F.lit(policy.MINIMUM_GRADES[category]).alias("min_grade"), (span["start"] - span["end"]).alias("minus_length"), order.alias("ord"), span["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(category).alias("category"))
+    return F.struct(span["start"].alias("start"), min_grade.alias("min_grade"), (span["start"] - span["end"]).alias("minus_length"), ord_.alias("ord"), span["end"].alias("end"), kind.alias("kind"), category.alias("category"))
+
+
+def _listed(values: Sequence) -> Column:
+    return F.array(*map(F.lit, values))
 
 
 def _candidates(text: Column, patterns: Sequence[policy.Pattern]) -> Column:
+    """All matches. Each pattern is tested as a literal, which Spark compiles once; the few that hit are looked up by
+    their number, so that the plan has one matching expression and not one per pattern."""
     regexes = [policy.java_pattern(p, "client") for p in patterns]
-    hits = F.filter(F.array(*(F.when(text.rlike(r), F.lit(i)) for i, r in enumerate(regexes))), lambda i: i.isNotNull())
+    hits = F.filter(F.array(*(F.when(text.rlike(r), F.lit(i + 1)) for i, r in enumerate(regexes))), lambda i: i.isNotNull())
+    categories = [policy.category_of(p.kind) for p in patterns]
+
+    def of(i: Column) -> Column:
+        def found(d: Column) -> Column:
+            return F.transform(matches(text, d["regex"]), lambda s: _finding(s, d["kind"], d["category"], d["grade"], i))
 
-    def of(k: int) -> Column:
-        return F.transform(matches(text, regexes[k]), lambda s: _finding(s, patterns[k].kind, k))
+        pick = lambda values, name: F.element_at(_listed(values), i).alias(name)
+        return bound(F.struct(pick(regexes, "regex"), pick([p.kind for p in patterns], "kind"), pick(categories, "category"), pick([policy.MINIMUM_GRADES[c] for c in categories], "grade")), found)
 
-    return F.flatten(F.transform(hits, lambda i: first_match([(i == k, of(k)) for k in range(len(patterns))])))
+    return F.flatten(F.transform(hits, of))
 
 
 def _known(text: Column, known: Column) -> Column:
     """Places of known values of three characters and more, any letter case, left to right without overlap."""
     needles = F.filter(F.transform(known, lambda v: F.trim(v)), lambda v: F.length(v) >= 3)
-    return F.flatten(F.transform(needles, lambda v, i: F.transform(matches(F.lower(text), F.concat(F.lit(r"\Q"), F.lower(v), F.lit(r"\E"))), lambda s: _finding(s, "KNOWN", i + 1000))))
+    category = policy.category_of("KNOWN")
+    fixed = F.lit("KNOWN"), F.lit(category), F.lit(policy.MINIMUM_GRADES[category])
+    return F.flatten(F.transform(needles, lambda v, i: F.transform(matches(F.lower(text), F.concat(F.lit(r"\Q"), F.lower(v), F.lit(r"\E"))), lambda s: _finding(s, *fixed, i + 1000))))
 
 
 def resolved(candidates: Column) -> Column:

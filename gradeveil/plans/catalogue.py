@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gradeveil.functions import geometry as g
 from gradeveil.functions import policy
 from gradeveil.functions.columns import luhn
-from gradeveil.operators import boxes, classify, documents, evaluation, spans, texts, validation
+from gradeveil.operators import boxes, classify, documents, evaluation, reports, spans, texts, validation
 from gradeveil.plans import planners
 from gradeveil.sources import readers
 from gradeveil.streaming import stateful
@@ -358,6 +358,23 @@ def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir, "breaker", threshold=2, open_seconds=259_200.0)
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _t(spark, sf_dir, "events").schema
+    return stateful.events_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+@query(ORACLE_SQL["rate_limit_decisions"])
+def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stateful.replayed(stateful.decision_stream(_streamed(spark, sf_dir), "limiter", limit=3, window=172_800.0))
+    return out.select("key", "event_id", "decision", F.round("amount", 3).alias("amount"))
+
+
+@query(ORACLE_SQL["breaker_states"])
+def breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stateful.replayed(stateful.decision_stream(_streamed(spark, sf_dir), "breaker", threshold=2, open_seconds=259_200.0))
+    return out.select("key", "event_id", "decision", F.round("amount", 3).alias("amount"))
+
+
 @query()
 def job_table_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir, "jobs", ttl=432_000.0, cap=4)
@@ -501,6 +518,25 @@ def eval_candidate_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Joins with a rule
 
+@query("SELECT picture, category, count(*) AS n FROM (SELECT vec_id // 20 AS picture, CASE label % 3 WHEN 0 THEN 'contact' WHEN 1 THEN 'financial' ELSE 'biometric' END AS category FROM embeddings) GROUP BY ALL")
+def redaction_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(F.lit("EMAIL"), F.lit("CARD"), F.lit("face"))
+    rows = _boxes(spark, sf_dir).select("picture", F.element_at(kinds, (F.col("label") % 3 + 1).cast("int")).alias("kind"))
+    return reports.category_counts(rows, ["picture"]).select("picture", F.explode("categories").alias("category", "n"))
+
+
+@query(
+    """SELECT a.o_custkey AS custkey, a.o_orderkey AS source_id, CASE WHEN count(b.o_orderkey) = 1 THEN min(b.o_orderkey) END AS target_id,
+        CASE count(b.o_orderkey) WHEN 0 THEN 'unmatched' WHEN 1 THEN 'transferred' ELSE 'ambiguous' END AS status
+    FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND b.o_orderkey % 2 = 1 WHERE a.o_orderkey % 2 = 0 GROUP BY a.o_custkey, a.o_orderkey"""
+)
+def field_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.col("o_orderpriority").alias("label"))
+    sources = orders.where("o_orderkey % 2 = 0").withColumnRenamed("o_orderkey", "source_id").withColumn("value", F.lit("x"))
+    targets = orders.where("o_orderkey % 2 = 1").withColumnRenamed("o_orderkey", "target_id").withColumn("disabled", F.lit(False))
+    return reports.transfers(sources, targets, ["custkey"]).select("custkey", "source_id", "target_id", "status")
+
+
 @query("SELECT c_custkey, any_value(o_orderkey) AS o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(*) = 1")
 def unique_match_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))

@@ -8,6 +8,8 @@ JSON in Spark's state store, with a time to live where the fold forgets.
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -19,6 +21,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from gradeveil.streaming import folds
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DECISIONS = "key string, event_id long, ts double, decision string, amount double"
 
 
@@ -72,6 +75,18 @@ def decision_stream(events: DataFrame, fold: str, ttl_ms: int = 0, **parameters)
     return events.groupBy("key").transformWithStateInPandas(FoldProcessor(fold, parameters, ttl_ms), DECISIONS, "Append", "None")
 
 
+def replayed(stream: DataFrame) -> DataFrame:
+    """Runs a stream over what its source has now and returns what it wrote. Output and state go to a new folder in
+    spark.checkpoint.dir, or of this machine where that is not set."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/gradeveil-streams"
+    folder = f"{base.rstrip('/')}/gradeveil-stream-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    sink = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def sessions(events: DataFrame, gap_seconds: float = 0.35) -> DataFrame:
     """key, session, start, end and events: bursts of a key's events with no gap of gap_seconds or more."""
     order = Window.partitionBy("key").orderBy("ts", "event_id")

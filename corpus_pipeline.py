@@ -1,15 +1,19 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns of
-the documents table; where a stage changes texts, n_chars follows.
+the documents table; where a stage changes texts, n_chars follows. A stage's working tables are deleted when the next
+stage is called, so its result has to be written before.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeveil.llm.common import written
+from gradeveil.llm.common import discard, recorded, written
 from gradeveil.llm.decontamination import find_leaks
 from gradeveil.llm.line_dedup import dedup_lines
 from gradeveil.llm.near_dedup import drop_near_duplicates
@@ -17,27 +21,50 @@ from gradeveil.llm.packing import pack_documents
 from gradeveil.llm.quality_rules import apply_rules
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_working: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    """Keeps the working tables of one stage at a time."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _working)
+        with recorded() as made:
+            out = f(spark, docs, sf_dir)
+        _working.extend(made)
+        return out
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return apply_rules(docs).where("kept").select(*docs.columns)
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go from all but one."""
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (shingles of five words, similarity 0.8)."""
     return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have an item of the benchmark go."""
     leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return leaks.where("not contaminated").select(*docs.columns)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is packed into sequences of 4096 tokens: one row per piece."""
     return pack_documents(docs)
@@ -57,6 +84,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for name, f in STAGES[:-1]:
+        docs = written(f(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,9 +10,12 @@ and answers each block with one packed message.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import math
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -32,7 +35,7 @@ NULL_ID = np.iinfo(np.int64).min
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor can read. Only where that setting is
+    """A new folder below spark.checkpoint.dir, which every executor can read, until the program ends. Only where that setting is
     absent (tests, a single machine) a folder of this machine is made and set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -41,7 +44,46 @@ def shared_folder(spark: SparkSession) -> str:
     # with its scheme, as files that Python writes there go the same way
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/gradeveil-{uuid.uuid4().hex}")
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    folder = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    if _recorded is not None:
+        _recorded.append(folder)
+    _made.append(folder)
+    return folder
+
+
+_recorded: list[str] | None = None
+_made: list[str] = []
+
+
+@atexit.register
+def _clean_up() -> None:
+    """Working tables end with the program; where Spark has stopped before, only local ones can still be deleted."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        discard(spark, _made)
+    for folder in _made:
+        if folder.startswith("file:"):
+            shutil.rmtree("/" + folder[5:].lstrip("/"), ignore_errors=True)
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The shared folders that are made in its body, for discard()."""
+    global _recorded
+    before, _recorded = _recorded, []
+    try:
+        yield _recorded
+    finally:
+        _recorded = before
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes shared folders whose tables nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    folders.clear()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -141,7 +141,8 @@ class ShardReader:
 
 
 def write_token_files(docs: DataFrame, folder: str | None = None, *, vocabulary: str | None = None, end: int = 2, width: int = 2, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
-    """Encodes whole texts and writes them as shards in ascending order of doc_id; one row per shard.
+    """Encodes whole texts and writes them as shards in ascending order of doc_id; one row per shard. Without a folder
+    of one's own the shards are working files that end with the program.
 
     Null texts are empty (their end id only); null ids come first; rows with one id follow each other in the
     order of their texts; other columns are ignored. width: bytes of an id, 2 while ids stay below 65 536. A

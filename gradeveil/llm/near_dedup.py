@@ -312,7 +312,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     rows = classes.select("k", "sketch")
     for level in range(LEVELS):
         branched = rows.mapInArrow(_branch(level, trees), MEMBER)
-        sizes = branched.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # written, so that the join deals both sides anew and the adaptive planner can split a hot node
+        sizes = written(branched.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"sizes{level}")
         members = branched.join(sizes, "node")
         part = F.pmod(F.xxhash64("k", "node"), F.ceil(F.col("n") / SMALL)).alias("part")
         members = written(members.select("node", "k", "sketch", "n", F.when(F.col("n") > SMALL, part).otherwise(F.lit(0)).alias("part")), f"members{level}")

@@ -106,8 +106,9 @@ class Index:
             found.append(np.stack([np.repeat(at[hit], n[hit]), item, np.full(len(item), size)]))
         return tuple(np.concatenate(found, axis=1))
 
-    def leaks(self, texts: Templates, min_cover: float) -> dict[int, dict[int, float]]:
-        """Per text: the items of which consistent alignments cover at least min_cover, and how much."""
+    def leaks(self, texts: Templates, min_cover: float, min_tokens: int) -> dict[int, dict[int, float]]:
+        """Per text: the items of which consistent alignments cover at least min_cover or min_tokens tokens, and how
+        much."""
         at, item_at, size = self.hits(texts)
         own = self.tokens
         order = np.lexsort((at, at - item_at, own.row[item_at], texts.row[at]))
@@ -119,7 +120,7 @@ class Index:
         for begin, end in zip(begins, np.append(begins[1:], len(at)), strict=False):
             places = np.unique(ragged(item_at[begin:end], size[begin:end]))
             cover = len(places) / own.counts[item[begin]]
-            if cover < min_cover:
+            if cover < min_cover and len(places) < min_tokens:
                 continue
             slots = places[own.kind[places] != LITERAL]
             pairs = np.unique(np.stack([own.value[slots], texts.value[slots + shift[begin]]]), axis=1)
@@ -131,12 +132,12 @@ class Index:
         return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_cover: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_cover: float = 0.5, min_tokens: int = 13, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs, all columns kept, with item_ids (array of long, ascending: the benchmark items that the text has),
     cover (double: the largest share of such an item's tokens) and contaminated (boolean).
 
-    An item counts if one consistent alignment covers at least min_cover of its tokens in windows of `window`
-    tokens, at least half of them literal; a shorter item must occur as a whole. Null or empty texts and items
+    An item counts if one consistent alignment covers at least min_cover of its tokens, or min_tokens of them, in
+    windows of `window` tokens, at least half of them literal; a shorter item must occur as a whole. Null or empty texts and items
     without words have and give no leak; items with a null id are skipped; repeated rows are judged alike; own
     columns with the names of the added ones are replaced."""
     bench = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("i is not null and t is not null").distinct()
@@ -147,17 +148,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_co
     for block in range(blocks):
         items = sorted((r.i, r.t) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect())
         shared = docs.sparkSession.sparkContext.broadcast(items)
-        rows = rows.mapInArrow(_scan(shared, window, min_cover), rows.schema)
+        rows = rows.mapInArrow(_scan(shared, window, min_cover, min_tokens), rows.schema)
     added = {"item_ids": F.array_sort(F.array_distinct("item_ids")), "cover": F.col("cover"), "contaminated": F.size("item_ids") > 0}
     return rows.select(*(F.col(f"__row.`{c}`").alias(c) for c in rest), *(v.alias(c) for c, v in added.items()))
 
 
-def _scan(shared, window: int, min_cover: float):
+def _scan(shared, window: int, min_cover: float, min_tokens: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = None
         for table in rows_in(batches, "__text"):
             index = index or Index(shared.value, window)
-            leaks = index.leaks(Templates(table["__text"].combine_chunks()), min_cover)
+            leaks = index.leaks(Templates(table["__text"].combine_chunks()), min_cover, min_tokens)
             items, cover = table["item_ids"].to_pylist(), table["cover"].to_pylist()
             for row, found in leaks.items():
                 items[row] = items[row] + list(found)

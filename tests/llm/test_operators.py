@@ -309,6 +309,14 @@ def test_decontamination(spark, docs, no_docs):
     assert decontamination.find_leaks(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_parts(spark):
+    """Thirteen tokens of a long item are a leak, seven of them are not."""
+    item = [f"token{k}" for k in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = spark.createDataFrame([(n, "before " + " ".join(item[20 : 20 + n]) + " after") for n in (7, 12, 13, 40)], "doc_id long, text string")
+    assert {r.doc_id for r in decontamination.find_leaks(docs, bench).where("contaminated").collect()} == {13, 40}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(k, f"item number{k} " + " ".join(f"b{k}w{j}" for j in range(30))) for k in range(20)], "item_id long, text string")
     docs = spark.createDataFrame([(k, "before " + " ".join(f"b{k}w{j}" for j in range(30)) + f" b{k + 1}w3 after") for k in range(20)], "doc_id long, text string")

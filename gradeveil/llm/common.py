@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text in one block; a single longer document makes a block of its own.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: The word separators of all contracts here: space, and U+0009 to U+000D.
 BLANKS = " \t\n\v\f\r"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -242,6 +242,7 @@ def one_by_one(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
+    pa.default_memory_pool().release_unused()
 
 
 def pieces_for(total: float, each: float) -> int:

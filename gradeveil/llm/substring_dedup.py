@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeveil.llm.automaton import SuffixAutomaton
-from gradeveil.llm.common import NULL_ID, buckets_of, cut, dump, hashed, id_array, load, one_by_one, ragged, rolling, row_batch, written
+from gradeveil.llm.common import NULL_ID, buckets_of, cut, dump, hashed, id_array, load, one_by_one, ragged, rolling, row_batch
 from gradeveil.llm.word_blocks import WordBlock, word_blocks
 
 MESSAGE = "bucket int, block long, sent binary"
@@ -173,42 +173,46 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, gram: int = 6, shard_wo
 
     shared = blocks.mapInArrow(send_anchors, MESSAGE).groupBy("bucket").applyInArrow(shared_anchors, ANSWER)
 
+    def shared_runs(block: WordBlock, answers: list[dict]) -> Runs:
+        """The runs of a block whose anchor another document has too."""
+        runs = Runs(block, window, gram)
+        keys = np.concatenate([load(x["answer"])[0] for x in answers])
+        runs.take(np.flatnonzero((block.ids[runs.doc] != NULL_ID) & (keys[np.minimum(np.searchsorted(keys, runs.anchor), len(keys) - 1)] == runs.anchor)))
+        return runs
+
     def send_segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in one_by_one(batches):
+            if not r["shared"]:
+                continue
             block = WordBlock.unpacked(r["docs"], r["words"])
-            runs = Runs(block, window, gram)
-            keys = np.concatenate([load(x["answer"])[0] for x in r["answers"]])
-            runs.take(np.flatnonzero((block.ids[runs.doc] != NULL_ID) & (keys[np.minimum(np.searchsorted(keys, runs.anchor), len(keys) - 1)] == runs.anchor)))
-            (anchor, content, ids, size, tokens), segment = _segments(block, runs, window)
+            (anchor, content, ids, size, tokens), _ = _segments(block, shared_runs(block, r["shared"]), window)
             token_ends = np.append(0, np.cumsum(size.astype(np.int64) + window - 1))
             edges = cut(anchor, n)
             full = np.flatnonzero(np.diff(edges))
             sent = [dump(*(x[edges[b] : edges[b + 1]] for x in (anchor, content, ids, size)), tokens[token_ends[edges[b]] : token_ends[edges[b + 1]]]) for b in full]
-            # bucket -1: for the block itself, the place of each run and its segment's windows among the answers
-            ends = np.cumsum(size.astype(np.int64))
-            own = dump(runs.start, runs.size.astype(np.uint8), runs.doc.astype(np.int32), (ends - size)[segment])
-            yield row_batch(message, bucket=np.append(full, -1).astype(np.int32), block=np.full(len(full) + 1, r["block"]), sent=[*sent, own])
-
-    segments = written(blocks.join(by_block(shared), "block").mapInArrow(send_segments, MESSAGE), "segments")
+            yield row_batch(message, bucket=full.astype(np.int32), block=np.full(len(full), r["block"]), sent=sent)
 
     def stream(table: pa.Table) -> pa.Table:
         least = _least_holders([load(x) for x in table["sent"].to_pylist()], window, shard_words)
         return pa.table({"block": table["block"], "bucket": table["bucket"], "answer": pa.array([dump(x) for x in least], pa.binary())})
 
-    answers = segments.where("bucket >= 0").groupBy("bucket").applyInArrow(stream, ANSWER)
-    own = segments.where("bucket < 0").select("block", F.col("sent").alias("own"))
+    # the blocks are dealt by their number once: both joins read the same exchange, and the last pass finds the
+    # segments again instead of reading them back
+    told = blocks.join(by_block(shared).withColumnRenamed("answers", "shared"), "block", "left")
+    answers = told.mapInArrow(send_segments, MESSAGE).groupBy("bucket").applyInArrow(stream, ANSWER)
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
         for r in one_by_one(batches):
             block = WordBlock.unpacked(r["docs"], r["words"])
             gone = np.zeros(len(block.codes) + 1, np.int32)
-            if r["own"]:
-                start, size, doc, at = load(r["own"])
-                size = size.astype(np.int64)
+            if r["answers"]:
+                runs = shared_runs(block, r["shared"])
+                (_, _, _, windows, _), segment = _segments(block, runs, window)
+                ends = np.cumsum(windows.astype(np.int64))
                 least = np.concatenate([load(x["answer"])[0] for x in r["answers"]])
-                covered = least[ragged(at, size)] < np.repeat(block.ids[doc], size)
-                begins = ragged(start, size)[covered]
+                covered = least[ragged((ends - windows)[segment], runs.size)] < np.repeat(block.ids[runs.doc], runs.size)
+                begins = ragged(runs.start, runs.size)[covered]
                 gone += np.bincount(begins, minlength=len(gone)).astype(np.int32)
                 gone -= np.bincount(begins + window, minlength=len(gone)).astype(np.int32)
             stay = np.cumsum(gone[:-1]) == 0
@@ -219,5 +223,5 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, gram: int = 6, shard_wo
                 kept = [" ".join(words[a:b]) for a, b in zip(ends[:-1][part], ends[1:][part], strict=True)]
                 yield row_batch(schema, doc_id=id_array(block.ids[part]), n_words=block.counts[part], n_removed=block.counts[part] - np.diff(ends)[part], kept=kept)
 
-    joined = blocks.join(own, "block", "left").join(by_block(answers), "block", "left")
-    return joined.select("docs", "words", "own", "answers").mapInArrow(remove, CLEANED)
+    joined = told.join(by_block(answers), "block", "left")
+    return joined.select("docs", "words", "shared", "answers").mapInArrow(remove, CLEANED)

@@ -348,7 +348,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     large = with_component(rows.unionByName(across.where("b is null").select("node", F.col("a").alias("k"), "sketch")))
     by_component = large.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
     nodes = by_component.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
-    mixed = nodes.where(F.col("most.n") < F.col("n")).select("node", F.ceil(F.col("n") / 1024).alias("parts"), F.col("most.component").alias("most"))
+    # written, as the node sizes are
+    mixed = written(nodes.where(F.col("most.n") < F.col("n")).select("node", F.ceil(F.col("n") / 1024).alias("parts"), F.col("most.component").alias("most")), "mixed")
     dealt = large.join(mixed, "node").withColumn("outside", F.col("component") != F.col("most")).withColumn("own", F.pmod(F.xxhash64("k", "node"), F.col("parts")))
     spread = dealt.withColumn("part", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("own"))))
     spread = spread.withColumn("home", F.col("part") == F.col("own")).join(sets, "k").select("node", "part", "k", "sketch", "component", "home", "outside", "set")

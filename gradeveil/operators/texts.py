@@ -25,11 +25,14 @@ PLACEHOLDER = r"^\[REDACTED:[A-Z0-9_-]{2,40}\]$"
 UNSAFE_KEYS = ["html", "innerhtml", "outerhtml", "textcontent", "value", "password", "cookie", "cookies", "localstorage", "sessionstorage", "screenshot", "dataurl", "raw", "rawdom", "accessibilitytree"]
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
+def _nfkc(texts):
     return texts.str.normalize("NFKC")
 
 
+_nfkc.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+nfkc = F.pandas_udf(_nfkc, StringType())
+
+
 def for_detection(text: Column, compatibility: bool = True) -> Column:
     """Text for classification only: compatibility forms, no invisible characters, ASCII digits and hyphens, nothing
     around @ and full stops, no blanks between digits. Offsets in it mean nothing in the original."""
@@ -97,9 +100,10 @@ def canary_leaks(df: DataFrame, canaries: DataFrame, text: str, key: str, profil
     or more are also found with anything between them (form separated)."""
     needles = [(r.canary_id, r.form, r.needle) for r in canary_forms(canaries, profile).orderBy("canary_id", "form").toLocalIterator()]
     out = None
+    squeezed_text = F.regexp_replace(F.upper(F.col(text)), r"[^\p{L}\p{N}]", "") if profile == "verifier" else F.lit(None)
+    df = df.select(key, (F.lower(F.col(text)) if profile == "client" else F.col(text)).alias("__text"), squeezed_text.alias("__bare"))
+    lowered, bare = F.col("__text"), F.col("__bare")
     for k in range(0, max(1, len(needles)), CANARY_BLOCK):
-        lowered = F.lower(F.col(text)) if profile == "client" else F.col(text)
-        bare = F.regexp_replace(F.upper(F.col(text)), r"[^\p{L}\p{N}]", "")
         tests = []
         for canary, form, needle in needles[k : k + CANARY_BLOCK]:
             tests.append(F.when(F.contains(lowered, F.lit(needle.lower() if profile == "client" else needle)), F.struct(F.lit(canary).alias("canary_id"), F.lit(form).alias("form"))))

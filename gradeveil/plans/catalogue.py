@@ -69,8 +69,9 @@ for _grade in (1, 2, 3):
 def _findings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """One row per finding in the documents' normalised texts."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", *columns, spans.normalized(F.col("text")).alias("text"))
-    found = spans.with_findings(docs).where(F.size("findings") > 0)
-    return found.select("doc_id", *columns, "text", F.explode("findings").alias("f"))
+    # an outer explode, as a filter on the findings would have them computed twice
+    found = spans.with_findings(docs).select("doc_id", *columns, "text", F.explode_outer("findings").alias("f"))
+    return found.where("f is not null")
 
 
 EXPLODED = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS kind, unnest(regexp_extract_all({NORMAL}, {p})) AS value FROM documents" for k, p in KINDS.items())

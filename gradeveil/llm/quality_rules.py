@@ -83,17 +83,20 @@ def host_verdicts(measured: DataFrame, *, host: str = "source", failed: str = "b
     a and b are the beta prior whose mean and variance are those of the hosts' rates, weighted by documents; where
     the rates vary no more than chance explains, the prior is as strong as all documents of the mean host; a
     single host is its own prior. Null hosts are one host."""
-    hosts = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col(failed).cast("long")).alias("failures"))
+    hosts = written(measured.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col(failed).cast("long")).alias("failures")), "hosts")
     rate = F.col("failures") / F.col("documents")
-    total = hosts.agg(F.sum("documents").alias("__n"), F.sum("failures").alias("__f"), F.count(F.lit(1)).alias("__k"), F.sum(F.col("documents") * rate * rate).alias("__sq"))
-    mean = F.col("__f") / F.col("__n")
+    n, f, k, squares = hosts.agg(F.sum("documents"), F.sum("failures"), F.count(F.lit(1)), F.sum(F.col("documents") * rate * rate)).first()
+    mean, strength = _prior(n or 1, f or 0, k or 1, squares or 0.0)
+    shrunk = (F.col("failures") + mean * strength) / (F.col("documents") + strength)
+    return hosts.select("host", "documents", "failures", shrunk.alias("rate"), (shrunk > max_rate).alias("rejected"))
+
+
+def _prior(n: int, failures: int, hosts: int, squares: float) -> tuple[float, float]:
+    """Mean and strength (a + b) of the beta prior. squares: sum of documents times squared rate."""
+    mean = failures / n
     # variance of the rates less what binomial sampling adds
-    spread = F.greatest(F.col("__sq") / F.col("__n") - mean * mean - mean * (1 - mean) * F.col("__k") / F.col("__n"), F.lit(0.0))
-    strength = F.when(spread > 0, F.least(F.greatest(mean * (1 - mean) / spread - 1, F.lit(1.0)), F.col("__n") / F.col("__k"))).otherwise(F.col("__n") / F.col("__k"))
-    prior = total.select(mean.alias("__mean"), strength.alias("__strength"))
-    shrunk = (F.col("failures") + F.col("__mean") * F.col("__strength")) / (F.col("documents") + F.col("__strength"))
-    # the prior is one row
-    return hosts.join(F.broadcast(prior), F.lit(True)).select("host", "documents", "failures", shrunk.alias("rate"), (shrunk > max_rate).alias("rejected"))
+    spread = max(squares / n - mean * mean - mean * (1 - mean) * hosts / n, 0.0)
+    return mean, min(max(mean * (1 - mean) / spread - 1, 1.0), n / hosts) if spread > 0 else n / hosts
 
 
 def apply_rules(docs: DataFrame, *, host: str = "source", text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, max_rate: float = 0.9, keep_text: bool = True) -> DataFrame:
@@ -105,7 +108,7 @@ def apply_rules(docs: DataFrame, *, host: str = "source", text: str = "text", mi
     added = (*COUNTS, "base_failed", "host_rate", "kept")
     measured = rule_counts(docs.drop(*(c for c in added if c in docs.columns)), text)
     measured = written(measured.withColumn("base_failed", base_failed(min_words, max_repeat_percent)).drop(*([] if keep_text else [text])), "measured")
-    hosts = written(host_verdicts(measured, host=host, max_rate=max_rate), "hosts")
+    hosts = host_verdicts(measured, host=host, max_rate=max_rate)
     rows = hosts.select(F.coalesce(F.col("host").cast("string"), F.lit("")).alias("__host"), F.col("host").isNull().alias("__none"), F.col("rate").alias("host_rate"), F.col("rejected").alias("__rejected"))
     keyed = measured.withColumn("__host", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))).withColumn("__none", F.col(f"`{host}`").isNull())
     if rows.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:

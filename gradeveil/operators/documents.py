@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 MIN_CONFIDENCE, MAX_MEDIA = 0.72, 8
+#: Lines of a text in one card-shaped picture.
+PICTURE_LINES = 12
 FOUND = "id long, documents array<struct<kind:string,media:int,confidence:double>>, secrets array<struct<kind:string,secret:string,media:int,confidence:double,x:double,y:double,width:double,height:double>>"
 
 # Captions of fields, and what tells a document's kind.
@@ -38,6 +40,7 @@ AADHAAR_FIELDS = [
 ]
 # The fields of each kind of document, and the least grade that hides them.
 FIELDS = {"credit-card": ["card-number", "expiry", "cvv", "name"], "pan-card": ["pan", "name", "date-of-birth"], "aadhaar-card": ["aadhaar-number", "name", "date-of-birth", "gender", "mobile", "address"]}
+NUMBERS = {"credit-card": "card-number", "pan-card": "pan", "aadhaar-card": "aadhaar-number"}
 FIELD_GRADES = {"card-number": 1, "expiry": 1, "cvv": 1, "pan": 1, "aadhaar-number": 1, "date-of-birth": 2, "mobile": 2, "address": 2, "gender": 3, "name": 3}
 
 
@@ -262,6 +265,36 @@ def classify_documents(pictures: DataFrame) -> DataFrame:
     return pictures.select("id", "lines", "media").mapInPandas(run, FOUND)
 
 
+def classify_text(text: str) -> tuple[list[dict], list[dict]]:
+    """A text as card-shaped pictures: every PICTURE_LINES lines in a row are one, so that no border parts what stands
+    together. A secret that several pictures show counts once, a document by the line of its number."""
+    lines = [Line(t, 0.9, Box((10.0, i * 20.0 + 10, 380.0, 16.0)), []) for i, t in enumerate(text.split("\n"))]
+    numbers = [i for i, c in enumerate(lines) if has_card_number(c.text) or has_pan(c.text) or has_aadhaar(c.text)]
+    last = max(0, len(lines) - PICTURE_LINES)
+    documents, secrets = {}, {}
+    # without a number a picture shows no document
+    for begin in sorted({b for i in numbers for b in range(max(0, i - PICTURE_LINES + 1), min(i, last) + 1)}):
+        media = [(Box((0.0, begin * 20.0, 400.0, PICTURE_LINES * 20.0 + 20)), "credit-card")]
+        found, own = classify(lines[begin : begin + PICTURE_LINES], media)
+        for d in found:
+            at = min(s["y"] for s in own if s["secret"] == NUMBERS[d["kind"]])
+            documents.setdefault((d["kind"], at), d)
+        for s in own:
+            secrets.setdefault((s["secret"], s["x"], s["y"], s["width"]), s)
+    return list(documents.values()), list(secrets.values())
+
+
+def classify_texts(texts: DataFrame) -> DataFrame:
+    """Rows of id and text give id, documents and secrets of the whole text. A null text has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(id_, *classify_text(text if isinstance(text, str) else "")) for id_, text in zip(batch["id"], batch["text"], strict=True)]
+            yield pd.DataFrame(out, columns=["id", "documents", "secrets"])
+
+    return texts.select("id", "text").mapInPandas(run, FOUND)
+
+
 def covered(kind: str, found: Iterable[str], grade: int) -> bool:
     """Whether the secrets found in a picture are all that its kind must show at a grade."""
     return {f for f in FIELDS[kind] if FIELD_GRADES[f] <= grade} <= set(found)

@@ -620,9 +620,6 @@ def observation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def document_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages' texts as lines of a card-shaped picture."""
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.slice(F.split("text", "\n"), 1, 12).alias("ls"))
-    line = lambda t, i: F.struct(F.substring(t, 1, 200).alias("text"), F.lit(0.9).alias("confidence"), F.lit(10.0).alias("x"), (i * 20 + 10).cast("double").alias("y"), F.lit(380.0).alias("width"), F.lit(16.0).alias("height"), F.array().cast("array<struct<text:string,confidence:double,x:double,y:double,width:double,height:double>>").alias("words"))
-    media = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(400.0).alias("width"), F.lit(260.0).alias("height"), F.lit("credit-card").alias("hint")))
-    found = documents.classify_documents(docs.select("id", F.transform("ls", line).alias("lines"), media.alias("media")))
+    """Texts as lines of card-shaped pictures."""
+    found = documents.classify_texts(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return found.select("id", F.size("documents").alias("n_documents"), F.size("secrets").alias("n_secrets"))

@@ -5,7 +5,8 @@ sentence) and units become typed placeholders, whose values are kept as slots. W
 documents are looked up by hash in those of the benchmark. Hits on one diagonal (same item, same shift) are one
 alignment; it counts if its slots are consistent: an item's value stands for one value of the document wherever it
 occurs. So a question with other numbers and names is caught, and two texts that merely share a pattern are not.
-Windows are looked up with names spelled out too, so that a copy in other letter case is found.
+Windows are looked up with names spelled out too, so that a copy in other letter case is found, and windows dense in
+numbers and units by their values, so that word for word copies of sums, tables and series are found.
 
 The benchmark is a query set: its index goes to every task in blocks of at most BLOCK_WORDS words, one after
 another, however many there are. Documents are never shuffled.
@@ -26,6 +27,8 @@ from gradeveil.llm.common import hashed, pieces_for, ragged, rolling, rows_in, w
 #: Words of the benchmark whose index one task holds at a time (about 40 bytes each).
 BLOCK_WORDS = 1_000_000
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+#: How windows are looked up: with all placeholders, with names as words, and with all values.
+TYPED, PLAIN, EXACT = 0, 1, 2
 NUMBER_WORDS = pa.array("two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice double triple dozen".split())
 UNITS = pa.array(
     "mm cm km mg kg lb lbs oz ml kb mb gb hz khz mhz kw kwh mph kph inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms pound pounds ounce ounces ton tons liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros rupee rupees yen percent degree degrees".split()
@@ -61,17 +64,18 @@ class Templates:
         self.counts = np.bincount(self.row, minlength=len(counts))
         self.starts = np.cumsum(self.counts) - self.counts
 
-    def windows(self, size: int, typed: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows of `size` tokens of one text, at least half of them literal. typed: the
-        windows with names, as placeholders; else all, with names as words, so that the case of a copy is no matter."""
-        hashes = rolling(self.typed if typed else self.plain, size)
+    def windows(self, size: int, mode: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of `size` tokens of one text. TYPED and PLAIN: those of which at least half
+        of the tokens are literal; TYPED only with names, as placeholders, PLAIN with names as words, so that the case
+        of a copy is no matter. EXACT: all that are no PLAIN ones, having too many numbers and units, by their values."""
+        hashes = rolling((self.typed, self.plain, self.value)[mode], size)
         if not len(hashes):
             return np.zeros(0, np.int64), hashes
         named = np.append(0, np.cumsum(self.kind == NAME))
         other = np.append(0, np.cumsum((self.kind == NUMBER) | (self.kind == UNIT)))
         slots, names = other[size:] - other[:-size], named[size:] - named[:-size]
         good = self.row[: len(hashes)] == self.row[size - 1 :]
-        good &= ((names > 0) & (2 * (slots + names) <= size)) if typed else (2 * slots <= size)
+        good &= ((names > 0) & (2 * (slots + names) <= size), 2 * slots <= size, 2 * slots > size)[mode]
         at = np.flatnonzero(good)
         return at, hashes[at]
 
@@ -85,20 +89,20 @@ class Index:
         self.tables = {}
         sizes = {window, *(int(n) for n in np.unique(self.tokens.counts) if 0 < n < window)}
         for size in sorted(sizes):
-            for typed in (False, True):
-                at, hashes = self.tokens.windows(size, typed)
+            for mode in (TYPED, PLAIN, EXACT):
+                at, hashes = self.tokens.windows(size, mode)
                 if size < window:  # whole items of this size
                     whole = self.tokens.counts[self.tokens.row[at]] == size
                     at, hashes = at[whole], hashes[whole]
                 order = np.argsort(hashes, kind="stable")
                 if len(at):
-                    self.tables[size, typed] = (hashes[order], at[order])
+                    self.tables[size, mode] = (hashes[order], at[order])
 
     def hits(self, texts: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in the texts, position in the items, size) of each window that is in both."""
         found = [np.zeros((3, 0), np.int64)]
-        for (size, typed), (hashes, places) in self.tables.items():
-            at, h = texts.windows(size, typed)
+        for (size, mode), (hashes, places) in self.tables.items():
+            at, h = texts.windows(size, mode)
             first, last = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             n = last - first
             hit = np.flatnonzero(n)
@@ -137,8 +141,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_co
     cover (double: the largest share of such an item's tokens) and contaminated (boolean).
 
     An item counts if one consistent alignment covers at least min_cover of its tokens, or min_tokens of them, in
-    windows of `window` tokens, at least half of them literal; a shorter item must occur as a whole. Null or empty texts and items
-    without words have and give no leak; items with a null id are skipped; repeated rows are judged alike; own
+    windows of `window` tokens, at least half of them literal or all with equal values; a shorter item must occur as a
+    whole, though it be one number. Null or empty texts and items without words have and give no leak; items with a null id are skipped; repeated rows are judged alike; own
     columns with the names of the added ones are replaced."""
     bench = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("i is not null and t is not null").distinct()
     total = bench.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0

@@ -405,3 +405,14 @@ def test_chat_raw_transcript(spark, no_docs):
     assert {r.conv_id for r in got} == {None, 1, 2, 3}
     empty = no_docs.select(F.col("doc_id").alias("conv_id"), F.col("doc_id").alias("turn"), "text")
     assert chat.format_chats(empty, speaker=None).count() == 0
+
+
+def test_decontamination_of_numbers(spark):
+    """Copies of items that are mostly numbers and units are found by their values, other numbers are no copy."""
+    items = {1: "Compute 12 + 34 - 5 * 6", 2: " ".join(str(k * k) for k in range(30)), 3: "Convert 5 km 300 m 20 cm 7 mm to 12 miles 3 feet", 4: "2 4 8 16"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    texts = {k: f"Before {t} after" for k, t in items.items()}
+    texts |= {10: "Compute 13 + 34 - 5 * 6", 20: " ".join(str(k * k + 1) for k in range(30)), 21: "so " + " ".join(str(k * k) for k in range(14)), 40: "2 4 8"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 10: [], 20: [], 21: [2], 40: []}

@@ -5,6 +5,7 @@ sentence) and units become typed placeholders, whose values are kept as slots. W
 documents are looked up by hash in those of the benchmark. Hits on one diagonal (same item, same shift) are one
 alignment; it counts if its slots are consistent: an item's value stands for one value of the document wherever it
 occurs. So a question with other numbers and names is caught, and two texts that merely share a pattern are not.
+Places that break the consistency are left out, and the windows without them are judged alone.
 Windows are looked up with names spelled out too, so that a copy in other letter case is found, and windows dense in
 numbers and units by their values, so that word for word copies of sums, tables and series are found.
 
@@ -127,21 +128,37 @@ class Index:
             if cover < min_cover and len(places) < min_tokens:
                 continue
             slots = places[own.kind[places] != LITERAL]
-            pairs = np.unique(np.stack([own.value[slots], texts.value[slots + shift[begin]]]), axis=1)
-            if len(np.unique(pairs[0])) < pairs.shape[1]:
-                continue  # one value of the item stands for two of the document
+            theirs = texts.value[slots + shift[begin]]
+            pairs, pair, n = np.unique(np.stack([own.value[slots], theirs]), axis=1, return_inverse=True, return_counts=True)
+            if len(np.unique(pairs[0])) < pairs.shape[1]:  # one value of the item stands for two of the document
+                # what is left where all values are equal, or where each has its most frequent partner
+                order = np.lexsort((pairs[0] != pairs[1], -n, pairs[0]))
+                main = np.zeros(len(n), bool)
+                main[order[np.append(True, pairs[0][order][1:] != pairs[0][order][:-1])]] = True
+                odd = (slots[own.value[slots] != theirs], slots[~main[pair.ravel()]])
+                places = max((_without(item_at[begin:end], size[begin:end], o) for o in odd), key=len)
+                if len(places) < min_tokens:
+                    continue
+                cover = len(places) / own.counts[item[begin]]
             of_doc = out.setdefault(int(doc[begin]), {})
             key = int(self.ids[item[begin]])
             of_doc[key] = max(of_doc.get(key, 0.0), cover)
         return out
 
 
+def _without(at: np.ndarray, size: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """The places of the windows that hold none of the odd ones (ascending)."""
+    clean = np.searchsorted(odd, at) == np.searchsorted(odd, at + size)
+    return np.unique(ragged(at[clean], size[clean]))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_cover: float = 0.5, min_tokens: int = 13, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs, all columns kept, with item_ids (array of long, ascending: the benchmark items that the text has),
     cover (double: the largest share of such an item's tokens) and contaminated (boolean).
 
     An item counts if one consistent alignment covers at least min_cover of its tokens, or min_tokens of them, in
-    windows of `window` tokens, at least half of them literal or all with equal values; a shorter item must occur as a
+    windows of `window` tokens, at least half of them literal or all with equal values; of an inconsistent alignment
+    the windows without the odd values must cover min_tokens. A shorter item must occur as a
     whole, though it be one number. Null or empty texts and items without words have and give no leak; items with a null id are skipped; repeated rows are judged alike; own
     columns with the names of the added ones are replaced."""
     bench = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("i is not null and t is not null").distinct()

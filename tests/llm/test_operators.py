@@ -416,3 +416,15 @@ def test_decontamination_of_numbers(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.item_ids for r in decontamination.find_leaks(docs, bench).collect()}
     assert got == {1: [1], 2: [2], 3: [3], 4: [4], 10: [], 20: [], 21: [2], 40: []}
+
+
+def test_decontamination_of_edited_copies(spark):
+    """One changed value does not hide the rest of a copy; too little beside it is no leak."""
+    words = [f"token{k}" for k in range(60)]
+    words[10] = words[40] = "7"
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    edited = [*words[:40], "8", *words[41:]]
+    other = ["9" if w == "7" else w for w in edited]  # 7 stands for 9 and 8
+    docs = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(other)), (3, " ".join(edited[34:52])), (4, " ".join([*words[5:16], *edited[36:46]]))], "doc_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.cover) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == {1: ([1], 59 / 60), 2: ([1], 59 / 60), 3: ([1], 18 / 60), 4: ([], 0.0)}

@@ -576,7 +576,7 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = pick(["checkbox", "button", "textbox", "link", "button", "button", "combobox"], v)
     state = F.struct((v % 3 == 0).alias("disabled"), (v % 4 == 0).alias("checked"), (v % 7 == 2).alias("editable"), (v % 5 == 0).alias("required"))
     element = F.struct(F.concat(F.lit("e_"), F.lpad(v.cast("string"), 16, "0")).alias("id"), role.alias("role"), label.alias("label"), "bounds", state.alias("state"))
-    grouped = b.where("vec_id % 20 < 6").groupBy("picture").agg(F.sort_array(F.collect_list(F.struct("vec_id", element.alias("e")))).alias("es"))
+    grouped = b.groupBy("picture").agg(F.sort_array(F.collect_list(F.struct("vec_id", element.alias("e")))).alias("es"))
     task = pick(["Submit the form", "Fill in the name and submit", "Read the page", "Register now"], F.col("picture"))
     return grouped.select("picture", task.alias("task"), F.transform("es", lambda x: x["e"]).alias("elements"))
 

@@ -29,3 +29,11 @@ def test_document_secrets_of_whole_texts(spark, table):
     path = table("documents", list(texts.items()), "doc_id long, text string")
     got = {r.id: (r.n_documents, r.n_secrets) for r in catalogue.QUERIES["document_secrets"](spark, path).collect()}
     assert got == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (2, 6), 5: (0, 0), 6: (0, 0), 7: (0, 0)}
+
+
+def test_forms_have_all_boxes(spark, table):
+    path = table("embeddings", [(i, [0.1 * (k + 1) for k in range(8)], i % 3) for i in range(50)], "vec_id long, embedding array<float>, label int")
+    got = {r.picture: [e.id for e in r.elements] for r in catalogue._elements(spark, path).collect()}
+    assert got == {p: [f"e_{i:016d}" for i in range(20 * p, min(20 * p + 20, 50))] for p in range(3)}
+    for name in ("structural_plan", "form_plan", "guarded_plan", "observation_violations"):
+        assert catalogue.QUERIES[name](spark, path).count() == 3

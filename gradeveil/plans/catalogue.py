@@ -118,8 +118,8 @@ def card_luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[\x{2010}-\x{2015}\x{2212}]', '-', 'g'), '[\s\v]*([@.])[\s\v]*', '\1', 'g'), '([0-9])[\s\v]+([0-9])', '\1\2', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, '[0-9]\s+[0-9]\s+[0-9]')")
 def normalized_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").where("NOT text RLIKE '[0-9]\\\\s+[0-9]\\\\s+[0-9]'")
-    return docs.select("doc_id", F.sha2(texts.for_detection(F.col("text"), compatibility=False), 256).alias("digest"))
+    """The SQL leaves out texts with spaced digits, which RE2 cannot join, and null ones; the query has all rows."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(texts.for_detection(F.col("text"), compatibility=False), 256).alias("digest"))
 
 
 @query()
@@ -129,7 +129,8 @@ def normalized_nfkc_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, item_id AS canary_id, 'plain' AS form FROM documents JOIN benchmark b ON contains(lower(documents.text), lower(trim(b.text[:60]))) WHERE length(trim(b.text[:60])) >= 3")
 def known_value_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("canary_id"), F.substring("text", 1, 60).alias("value"))
+    """The SQL searches the first 60 characters of each value, the query whole values."""
+    values = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("canary_id"), F.col("text").alias("value"))
     return texts.canary_leaks(_t(spark, sf_dir, "documents"), values, "text", "doc_id")
 
 

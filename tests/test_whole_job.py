@@ -1,5 +1,7 @@
 """Queries on rows that earlier versions left out."""
 
+import hashlib
+
 import pytest
 
 from gradeveil.plans import catalogue
@@ -37,3 +39,21 @@ def test_forms_have_all_boxes(spark, table):
     assert got == {p: [f"e_{i:016d}" for i in range(20 * p, min(20 * p + 20, 50))] for p in range(3)}
     for name in ("structural_plan", "form_plan", "guarded_plan", "observation_violations"):
         assert catalogue.QUERIES[name](spark, path).count() == 3
+
+
+def test_hash_of_spaced_digits(spark, table):
+    texts = {1: "card 4 1 1 1\t1", 2: "a @ b . c", 3: "plain", 4: None}
+    path = table("documents", list(texts.items()), "doc_id long, text string")
+    joined = {1: "card 41111", 2: "a@b.c", 3: "plain"}
+    got = {r.doc_id: r.digest for r in catalogue.QUERIES["normalized_text_hash"](spark, path).collect()}
+    assert got == {**{k: hashlib.sha256(t.encode()).hexdigest() for k, t in joined.items()}, 4: None}
+
+
+def test_known_values_are_whole(spark, table):
+    values = {1: "An opening that many a text shares, sixty characters and more, " + "then the end", 2: "short value"}
+    texts = {10: f"x {values[1].upper()} y", 11: values[1][:-1] + "t", 12: "a Short Value", 13: None}
+    table("benchmark", list(values.items()), "item_id long, text string")
+    path = table("documents", list(texts.items()), "doc_id long, text string")
+    brute = {(k, i) for k, t in texts.items() for i, v in values.items() if v.lower() in (t or "").lower()}
+    got = {(r.doc_id, r.canary_id) for r in catalogue.QUERIES["known_value_hits"](spark, path).collect()}
+    assert got == brute == {(10, 1), (12, 2)}

@@ -135,6 +135,16 @@ def coverage(cases: DataFrame, observations: DataFrame, case_id: str = "case_id"
     return total.join(cases.select(case_id).distinct().join(seen, case_id, "left_semi").agg(F.count("*").alias("observed"))).join(first)
 
 
+def coverage_rows(cases: DataFrame, observations: DataFrame, case_id: str = "case_id") -> DataFrame:
+    """Cases in all and observed ones in one row, and each missing case in a row of its own, where both are null. No
+    list is built, however many are missing."""
+    seen = observations.select(case_id).distinct().withColumn("__seen", F.lit(True))
+    marked = cases.select(case_id).distinct().join(seen, case_id, "left")
+    counts = marked.agg(F.count("*").alias("total"), F.count("__seen").alias("observed"))
+    missing = marked.where("__seen is null").select(F.col(case_id).alias("missing"))
+    return counts.unionByName(missing, allowMissingColumns=True)
+
+
 def task_success(results: DataFrame) -> DataFrame:
     """Share of successful tasks and mean steps; rows with null success are not tasks."""
     tasks = results.where("success is not null")

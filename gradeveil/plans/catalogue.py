@@ -277,9 +277,15 @@ def missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS total, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS observed, (SELECT list(doc_id ORDER BY doc_id)[:100] FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing FROM documents")
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred missing ids, as the SQL has it; label_coverage_rows has all."""
     return evaluation.coverage(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id")
 
 
+@query()
+def label_coverage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.coverage_rows(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
 @query("SELECT g.grade, count(l.doc_id) AS observations FROM (VALUES (1), (2), (3)) g(grade) LEFT JOIN labels l ON quality + 1 = g.grade GROUP BY g.grade")
 def observations_per_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.grade_counts(_t(spark, sf_dir, "labels").select((F.col("quality") + 1).alias("grade")))

@@ -428,3 +428,11 @@ def test_decontamination_of_edited_copies(spark):
     docs = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(other)), (3, " ".join(edited[34:52])), (4, " ".join([*words[5:16], *edited[36:46]]))], "doc_id long, text string")
     got = {r.doc_id: (r.item_ids, r.cover) for r in decontamination.find_leaks(docs, bench).collect()}
     assert got == {1: ([1], 59 / 60), 2: ([1], 59 / 60), 3: ([1], 18 / 60), 4: ([], 0.0)}
+
+
+def test_near_duplicates_with_unlike_sketches(spark):
+    """Pairs at the threshold of which only 36 and 38 of 64 sketch values are equal."""
+    words = lambda n, begin: " ".join(f"p{n}w{k}" for k in range(begin, begin + 90))
+    data = [(2 * i + j, words(n, 10 * j)) for i, n in enumerate((52, 5308, 8001)) for j in (0, 1)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), shingle=1)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text in one block; a single longer document makes a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -124,6 +125,24 @@ def load(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def tree_sum(parts: DataFrame, fan: int = 256, levels: int = 3) -> DataFrame:
+    """parts: slice int, part long, counts binary (arrays by dump). Returns slice and counts, the sums over all parts.
+    Every level adds up `fan` parts, so that a task holds one sum and reads `fan` messages of a slice, however many
+    parts there are (up to fan**levels)."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = None
+        for blob in table["counts"]:
+            arrays = load(blob.as_py())
+            total = arrays if total is None else [a + b for a, b in zip(total, arrays, strict=True)]
+        return pa.table({"slice": table["slice"].slice(0, 1), "part": pa.array([table["part"][0].as_py() // fan], pa.int64()), "counts": pa.array([dump(*total)], pa.binary())})
+
+    for level in range(levels):
+        by = F.floor(F.col("part") / fan) if level + 1 < levels else F.lit(0)
+        parts = parts.groupBy("slice", by.alias("by")).applyInArrow(add, "slice int, part long, counts binary")
+    return parts.select("slice", "counts")
+
+
 def cut(keys: np.ndarray, n: int) -> np.ndarray:
     """Where the buckets 0..n-1 begin and end in ascending unsigned 64-bit keys."""
     edges = np.array([min((b << 64) // n, 2**64 - 1) for b in range(1, n)], np.uint64)

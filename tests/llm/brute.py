@@ -1,10 +1,13 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import regex
+
 BLANK = " \t\n\v\f\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -97,3 +100,35 @@ def rule_counts(text):
 
 def held_out(i):
     return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+
+
+def ngrams(text):
+    """Words without outer punctuation, and pairs of word shapes with a mark for a repeated word."""
+    w = words(text)
+    core = [regex.sub(r"^[^\pL\pN]+|[^\pL\pN]+$", "", x).lower() for x in w]
+    shape = []
+    for x in w:
+        for pattern, mark in ((r"\p{Lu}+", "X"), (r"\p{Ll}+", "x"), (r"\p{Lo}+", "o"), (r"[0-9]+", "9")):
+            x = regex.sub(pattern, mark, x)
+        shape.append(x[:6])
+    return {("w", x) for x in core} | {("s", a, b, x == y) for a, b, x, y in zip(shape, shape[1:], core, core[1:], strict=False)}
+
+
+def log_weights(data, good, labelled, smoothing=2.0, shrink=5.0):
+    """log p_target / p_raw of each text, its own counts left out."""
+    sets = [ngrams(t) for _, t in data]
+    target, known, raw = Counter(), Counter(), Counter()
+    for (i, _), s in zip(data, sets, strict=True):
+        raw.update(s)
+        target.update(s if i in good else ())
+        known.update(s if i in labelled else ())
+    scale, share = sum(target.values()) / sum(raw.values()), len(good) / len(labelled)
+    out = []
+    for (i, _), s in zip(data, sets, strict=True):
+        total = 0.0
+        for g in s:
+            t, k, r = target[g] - (i in good), known[g] - (i in labelled), raw[g] - 1
+            z2 = (t - k * share) ** 2 / (k * share * (1 - share) + 1e-9)
+            total += math.log((t + smoothing) / (r * scale + smoothing)) * z2 / (z2 + shrink**2)
+        out.append(total)
+    return out

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gradeveil.llm import chat, decontamination, importance, language_model, line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_files
+from gradeveil.llm import chat, common, decontamination, importance, language_model, line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_files
 from gradeveil.llm.encoding import default_vocabulary
 
 from . import brute
@@ -337,20 +337,50 @@ def test_importance(spark, docs, no_docs):
         data.append((i, " ".join(words)))
         if i % 3:
             labels.append((i, 1, int(bad)))
+    labels_ = list(labels)
     labels += [(None, 1, 1), (5000, None, 0)]
     rows = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = importance.resample(rows, labels).collect()
+    scored = importance.resample(rows, labels)
+    got = scored.collect()
+    good, known = {i for i, q, t in labels_ if q and not t and i < 900}, {i for i, *_ in labels_ if i < 900}
     assert len(got) == 900
-    assert sum(r.kept for r in got if r.doc_id % 5 == 0) <= 5  # none of these were used but two thirds
-    assert sum(not r.kept for r in got if r.doc_id % 5) <= 20
-    half = importance.resample(rows, labels, share=0.5)
-    kept = {r.doc_id for r in half.where("kept").collect()}
-    assert kept == {r.doc_id for r in sorted(half.collect(), key=lambda r: (-r.key, r.doc_id))[:450]}
-    assert importance.resample(docs, labels.limit(0)).count() == docs.count()
+    expected = dict(zip((i for i, _ in data), brute.log_weights(data, good, known), strict=True))
+    for r in got:
+        assert r.log_weight == pytest.approx(expected[r.doc_id], abs=1e-5)
+    k = round(len(good) / len(known) * 900)
+    assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in sorted(got, key=lambda r: (-r.key, r.doc_id))[:k]}
+    noise = np.array([r.key - r.log_weight / 0.5 for r in got])
+    assert noise.mean() == pytest.approx(0.5772, abs=0.15) and noise.std() == pytest.approx(1.2825, abs=0.15)  # Gumbel's
+    by_weight = {r.doc_id for r in sorted(got, key=lambda r: -r.log_weight)[:450]}
+    half = {r.doc_id for r in importance.resample(rows, labels, share=0.5).where("kept").collect()}
+    assert 20 < len(by_weight - half) < 200  # a sample, not a cut
+    assert sum(r.kept for r in got if r.doc_id % 5 == 0) <= 20 and sum(not r.kept for r in got if r.doc_id % 5) <= 40
+    for share, n in ((0.5, 450), (0.0, 0), (1.0, 900)):
+        assert importance.resample(rows, labels, share=share).where("kept").count() == n
+    assert importance.resample(docs, labels.limit(0)).where("kept").count() == docs.count()
     assert importance.resample(no_docs, labels).count() == 0
 
 
+def test_importance_of_odd_rows(spark, docs, data):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)] + [(1, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    got = importance.resample(docs, labels).collect()
+    good = {i for i in range(40) if i % 3} - {1}
+    expected = Counter((i, round(w, 4)) for (i, *_), w in zip(data, brute.log_weights([(i, t) for i, t, *_ in data], good, set(range(40))), strict=True))
+    assert Counter((r.doc_id, round(r.log_weight, 4)) for r in got) == expected
+    assert {r.log_weight for r in got if r.doc_id in (1000, 1001, 1002)} == {0.0}
+    some = importance.resample(docs, labels, max_labelled=10)
+    assert some.count() == len(data)
+
+
+def test_tree_sum(spark):
+    """Sums over more parts than one level adds up, in several slices."""
+    rows = [(s, p, common.dump(np.array([p, s], np.int64), np.array([1], np.int64))) for s in range(3) for p in range(50)]
+    parts = spark.createDataFrame(rows, "slice int, part long, counts binary").repartition(5)
+    got = {r.slice: [x.tolist() for x in common.load(r.counts)] for r in common.tree_sum(parts, fan=4).collect()}
+    assert got == {s: [[sum(range(50)), 50 * s], [50]] for s in range(3)}
+
+
 def test_top_k_threshold(spark):
     rows = spark.range(30_000).select(F.col("id").alias("doc_id"), (F.floor(F.sqrt("id") * 3) / 7).alias("key"))
     ordered = sorted(((r.key, r.doc_id) for r in rows.collect()), key=lambda x: (-x[0], x[1]))

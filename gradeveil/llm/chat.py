@@ -1,14 +1,15 @@
 """Chat transcripts: a hidden Markov model recovers the speaker of every line, then turns are rendered.
 
 Rows are messages in order, or raw pieces of a transcript: each line of their texts is an observation. The hidden
-state is a role and whether the line opens a turn or goes on with it. Observed are the speaker marker (the row's
-speaker label on its first line, or a prefix such as "User:" or "### Assistant:" in the line itself), whether the
-line opens a row, its length, and its last character. The features' distributions are fitted to labelled rows (a
-bounded sample) over smoothed defaults; Viterbi finds the most probable states of a whole conversation.
-
-Conversations are cut into chunks of rows. In max-plus algebra a chunk is a matrix, so a conversation that spans many
-chunks is decoded exactly without ever being in one task: the chunks' matrices give the best scores into and out of
-each chunk, and every chunk is decoded between them.
+state is a role and whether the line opens a turn or goes on with it. Observed are the speaker marker (a prefix such as
+"User:" or "### Assistant:" in the line itself, or the row's speaker label on its first line where a column with
+labels is given), whether the line opens a row, its length, and its last character. The features' distributions are
+fitted to all labelled rows over smoothed defaults; Viterbi finds the most probable states of a whole conversation.
+
+Rows are sorted by ranges, so that a conversation may lie in several tasks, and gathered into chunks of bounded size.
+In max-plus algebra a chunk is a matrix, so a conversation that spans many chunks is decoded exactly without ever being
+in one task's memory: passes over the chunks' matrices, forward and backward, give the best scores into and out of each
+chunk, every chunk is decoded between them, and a turn that crosses chunks is put together again.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeveil.llm.common import row_batch, written
+from gradeveil.llm.common import block_ids, one_by_one, row_batch, written
 
 ROLES = ("system", "user", "assistant")
 #: Labels and prefixes that name a role.
@@ -39,10 +40,11 @@ STATES = 2 * len(ROLES) + 1
 BEGIN = STATES - 1
 LENGTHS = (1, 40, 120, 300, 800)
 ENDS = "?!.:,"
-#: Labelled rows that the model is fitted to at most (those with the least hashes).
-MAX_LABELLED = 20_000
+#: Rows and characters of text in a chunk; a row that is longer makes one of its own.
 CHUNK_ROWS = 512
-LINES = "conv long, turn long, chunk long, label string, text string"
+CHUNK_CHARS = 1 << 20
+CHUNKS = "conv long, chunk long, turns array<long>, labels array<string>, texts array<string>"
+PIECES = "conv_id long, chunk long, number int, goes_on boolean, border boolean, turn long, part int, role string, text string"
 LOW = -1e18
 
 
@@ -73,8 +75,7 @@ class Model:
     def emission(self, line: str, opens_row: bool, marker: int) -> np.ndarray:
         """Log-probabilities of one line in each state. marker: a role's number, or -1."""
         out = np.zeros(STATES)
-        length = sum(len(line) >= n for n in LENGTHS)
-        end = ENDS.find(line.rstrip()[-1:]) if line.strip() else -1
+        length, end = _length(line), _end(line)
         out[BEGIN] = LOW
         out[:3] = out[3:BEGIN] = self.length[:, length] + self.end[:, end]
         # rows open turns but for 1 in 50; lines inside rows do so without a marker in 1 of 500
@@ -88,6 +89,16 @@ class Model:
         return out
 
 
+def _length(line: str) -> int:
+    return sum(len(line) >= n for n in LENGTHS)
+
+
+def _end(line: str) -> int:
+    """The place of the line's last character in ENDS; behind it, for any other and for blank lines."""
+    at = ENDS.find(line.rstrip()[-1:]) if line.strip() else -1
+    return at if at >= 0 else len(ENDS)
+
+
 def marker_of(label: str | None, line: str, opens_row: bool) -> tuple[int, str]:
     """The role's number that the line's marker names (-1: none), and the line without its prefix."""
     found = PREFIX.match(line)
@@ -100,10 +111,10 @@ def marker_of(label: str | None, line: str, opens_row: bool) -> tuple[int, str]:
 class Chunk:
     """The lines of consecutive rows of a conversation."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None, str | None]], model: Model):
+    def __init__(self, labels: list[str | None], texts: list[str | None], model: Model):
         self.lines: list[tuple[int, str, str, int]] = []  # row, line, line without prefix, marker
         emissions = []
-        for k, (_, label, text) in enumerate(rows):
+        for k, (label, text) in enumerate(zip(labels, texts, strict=True)):
             for j, line in enumerate((text or "").split("\n")):
                 marker, rest = marker_of(label, line, j == 0)
                 self.lines.append((k, line, rest, marker))
@@ -131,122 +142,150 @@ class Chunk:
         return states[::-1]
 
 
-def _rows(turns: DataFrame, conv_id: str, turn: str, text: str, speaker: str | None, chunk_rows: int) -> DataFrame:
+def _chunks(turns: DataFrame, conv_id: str, turn: str, text: str, speaker: str | None, chunk_rows: int) -> DataFrame:
+    """The rows in order, CHUNK_ROWS or CHUNK_CHARS at most to a chunk; chunks are numbered in order."""
     label = F.col(f"`{speaker}`").cast("string") if speaker else F.lit(None).cast("string")
     rows = turns.select(F.col(f"`{conv_id}`").cast("long").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"), label.alias("label"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.select("conv", "turn", F.floor(F.coalesce("turn", F.lit(-1)) / chunk_rows).cast("long").alias("chunk"), "label", "text")
+    order = [F.col("conv"), F.col("turn"), F.col("label"), F.xxhash64("text")]
+    schema = pa.schema([("conv", pa.int64()), ("chunk", pa.int64()), ("turns", pa.list_(pa.int64())), ("labels", pa.list_(pa.string())), ("texts", pa.list_(pa.string()))])
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = block_ids()
+        held: list[tuple] = []
+        conv, chars = None, 0
+
+        def chunk() -> pa.RecordBatch:
+            turns, labels, texts = ([list(c)] for c in zip(*held, strict=True))
+            return row_batch(schema, conv=[conv], chunk=[next(numbers)], turns=turns, labels=labels, texts=texts)
+
+        for batch in batches:
+            for c, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                size = len(row[2] or "")
+                if held and (c != conv or len(held) >= chunk_rows or chars + size > CHUNK_CHARS):
+                    yield chunk()
+                    held, chars = [], 0
+                conv = c
+                held.append(tuple(row))
+                chars += size
+        if held:
+            yield chunk()
+
+    return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(gather, CHUNKS), "chunks")
 
 
 def fit(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", text: str = "text", speaker: str = "role") -> Model:
-    """Fits the model to conversations whose labels all name roles: those with the least hashes, MAX_LABELLED rows
-    at most."""
-    rows = _rows(turns, conv_id, turn, text, speaker, CHUNK_ROWS).where("conv is not null and label is not null")
-    sample = rows.orderBy(F.xxhash64("conv"), "conv", "turn", "text").limit(MAX_LABELLED).select("conv", "turn", "label", "text").collect()
-    counts = [Counter() for _ in range(6)]
-    roles, follows, first, lengths, ends, lines = counts
-    last_conv, last_role = None, None
-    for r in sample:
-        role = ROLE_OF.get(r.label.strip().lower())
-        if role is None:
-            last_role = None
-            continue
-        roles[role] += 1
-        if r.conv != last_conv:
-            first[role] += 1
-        elif last_role:
-            follows[last_role, role] += 1
-        last_conv, last_role = r.conv, role
-        for line in (r.text or "").split("\n"):
-            lines[role] += 1
-            lengths[role, sum(len(line) >= n for n in LENGTHS)] += 1
-            ends[role, ENDS.find(line.rstrip()[-1:]) if line.strip() else len(ENDS)] += 1
-    return Model(*counts)
-
-
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Runs of rows with equal conv and chunk, of a sorted stream."""
-    held: list[dict] = []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if held and (r["conv"], r["chunk"]) != (held[-1]["conv"], held[-1]["chunk"]):
-                yield held
-                held = []
-            held.append(r)
-    if held:
-        yield held
-
-
-def render(role: str, text: str) -> str:
-    return f"<|im_start|>{role}\n{text}<|im_end|>"
+    """Fits the model to all rows whose label names a role; rows with a null or unknown label part the sequence of
+    roles. Counted on the executors. Null texts are one empty line; rows that repeat count each; rows with a null
+    conv_id are one conversation; without labels or rows the defaults remain. Of a conversation over several chunks
+    the steps from chunk to chunk are not counted."""
+    chunks = _chunks(turns, conv_id, turn, text, speaker, CHUNK_ROWS)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for labels, texts in zip(batch.column("labels").to_pylist(), batch.column("texts").to_pylist(), strict=True):
+                last = None
+                for k, (label, text) in enumerate(zip(labels, texts, strict=True)):
+                    role = ROLE_OF.get((label or "").strip().lower())
+                    if role:
+                        seen["roles", role, ""] += 1
+                        if k == 0:
+                            seen["first", role, ""] += 1
+                        elif last:
+                            seen["follows", last, role] += 1
+                        for line in (text or "").split("\n"):
+                            seen["lines", role, ""] += 1
+                            seen["lengths", role, str(_length(line))] += 1
+                            seen["ends", role, str(_end(line))] += 1
+                    last = role
+        if seen:
+            kinds, first, second = zip(*seen, strict=True)
+            yield row_batch(pa.schema([("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]), kind=kinds, a=first, b=second, n=list(seen.values()))
+
+    counts: dict[str, Counter] = {k: Counter() for k in ("roles", "follows", "first", "lengths", "ends", "lines")}
+    for r in chunks.select("labels", "texts").mapInArrow(count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect():
+        key = r.a if r.b == "" else (r.a, int(r.b) if r.kind in ("lengths", "ends") else r.b)
+        counts[r.kind][key] = r.n
+    return Model(**counts)
+
+
+def _swept(matrices: DataFrame, start: np.ndarray, forward: bool) -> DataFrame:
+    """conv, chunk and the best scores into each chunk (forward) or out of it, of matrices that stream in order."""
+    name = "before" if forward else "after"
+    order = [F.col("conv"), F.col("chunk") if forward else F.desc("chunk")]
+    schema = pa.schema([("conv", pa.int64()), ("chunk", pa.int64()), (name, pa.list_(pa.float64()))])
+
+    def sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, scores = (), start
+        for batch in batches:
+            out = []
+            for conv, m in zip(batch.column("conv").to_pylist(), batch.column("matrix").to_pylist(), strict=True):
+                if (conv,) != last:
+                    last, scores = (conv,), start
+                out.append(scores.tolist())
+                m = np.array(m).reshape(STATES, STATES)
+                scores = (scores[:, None] + m).max(0) if forward else (m + scores[None]).max(1)
+            if out:
+                yield row_batch(schema, conv=batch.column("conv"), chunk=batch.column("chunk"), **{name: out})
+
+    return matrices.repartition("conv").sortWithinPartitions(*order).mapInArrow(sweep, f"conv long, chunk long, {name} array<double>")
 
 
 def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", text: str = "text", speaker: str | None = "role", model: Model | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Returns one row per recovered turn: conv_id, turn (of the row that it opens in), part (its number there, from
-    0), role, text and rendered.
+    0), role, text and rendered (as ChatML). The result does not depend on chunk_rows.
 
     speaker: a column with labels, which count as markers and may be null, unknown or wrong; None: text alone. Rows
-    are ordered by turn, label and text; null turns come first, rows with a null conv_id are one conversation. Null or
-    empty texts are one empty line. Lines that go on with the turn of an earlier row of the same chunk join its text;
-    at a chunk's begin they open a part of their own with the same role. Other columns are ignored."""
+    are ordered by turn, label and a hash of the text; null turns come first, rows with a null conv_id are one
+    conversation, rows that repeat are lines of their own. Null or empty texts are one empty line, long ones are read
+    whole. Lines that go on with the turn of an earlier row join its text. No rows give no rows. Other columns are
+    ignored, whatever their names."""
     spark = turns.sparkSession
-    model = spark.sparkContext.broadcast(model or Model())
-    rows = _rows(turns, conv_id, turn, text, speaker, chunk_rows)
-    cut = rows.select("conv", "chunk").distinct().groupBy("conv").agg(F.count(F.lit(1)).alias("chunks"))
-    long = cut.where("chunks > 1").select(F.col("conv").alias("c"))
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(F.col("conv"), F.col("chunk")).sortWithinPartitions("conv", "chunk", "turn", "label", "text")
+    shared = spark.sparkContext.broadcast(model or Model())
+    chunks = _chunks(turns, conv_id, turn, text, speaker, chunk_rows)
+    long = chunks.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("conv").alias("c"))
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv", pa.int64()), ("chunk", pa.int64()), ("matrix", pa.list_(pa.float64()))])
-        for chunk in _chunks(batches):
-            matrix = Chunk([(r["turn"], r["label"], r["text"]) for r in chunk], model.value).matrix()
-            yield row_batch(schema, conv=[chunk[0]["conv"]], chunk=[chunk[0]["chunk"]], matrix=[matrix.ravel().tolist()])
-
-    def connect(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
-        matrices = [np.array(m).reshape(STATES, STATES) for m in table["matrix"].to_pylist()]
-        n = len(matrices)
-        before, after, scores = [], [np.zeros(STATES)] * n, model.value.begin
-        for m in matrices:
-            before.append(scores.tolist())
-            scores = (scores[:, None] + m).max(0)
-        for k in range(n - 2, -1, -1):
-            after[k] = (matrices[k + 1] + after[k + 1][None]).max(1)
-        return pa.table({"conv": table["conv"], "chunk": table["chunk"], "before": pa.array(before, pa.list_(pa.float64())), "after": pa.array([a.tolist() for a in after], pa.list_(pa.float64()))})
-
-    measured = dealt(rows.join(long, F.col("conv").eqNullSafe(F.col("c"))).drop("c")).mapInArrow(measure, "conv long, chunk long, matrix array<double>")
-    edges = written(measured.groupBy("conv").applyInArrow(connect, "conv long, chunk long, before array<double>, after array<double>"), "edges")
-    joined = rows.alias("r").join(edges.alias("e"), F.col("r.conv").eqNullSafe(F.col("e.conv")) & (F.col("r.chunk") == F.col("e.chunk")), "left").select("r.*", "e.before", "e.after")
+        for r in one_by_one(batches):
+            matrix = Chunk(r["labels"], r["texts"], shared.value).matrix()
+            yield row_batch(schema, conv=[r["conv"]], chunk=[r["chunk"]], matrix=[matrix.ravel().tolist()])
+
+    parts = chunks.join(long, F.col("conv").eqNullSafe(F.col("c")), "left_semi")
+    matrices = written(parts.mapInArrow(measure, "conv long, chunk long, matrix array<double>"), "matrices")
+    before, after = _swept(matrices, shared.value.begin, True), _swept(matrices, np.zeros(STATES), False).drop("conv")
+    edges = written(before.join(after, "chunk").drop("conv"), "edges")
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int32()), ("role", pa.string()), ("text", pa.string()), ("rendered", pa.string())])
-        out: list[tuple] = []
-        for rows in _chunks(batches):
-            chunk = Chunk([(r["turn"], r["label"], r["text"]) for r in rows], model.value)
-            before, after = rows[0]["before"], rows[0]["after"]
-            states = chunk.decode(model.value.begin if before is None else np.array(before), np.zeros(STATES) if after is None else np.array(after))
+        schema = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("number", pa.int32()), ("goes_on", pa.bool_()), ("border", pa.bool_()), ("turn", pa.int64()), ("part", pa.int32()), ("role", pa.string()), ("text", pa.string())])
+        model = shared.value
+        for r in one_by_one(batches):
+            chunk, alone = Chunk(r["labels"], r["texts"], model), r["before"] is None
+            states = chunk.decode(model.begin if alone else np.array(r["before"]), np.zeros(STATES) if alone else np.array(r["after"]))
             part, at, open_ = 0, -1, []
             for state, (k, line, rest, marker) in zip(states, chunk.lines, strict=True):
                 line = rest if state == marker else line
-                if state < 3 or not open_:
+                if state < 3:
                     part = part + 1 if k == at else 0
                     at = k
-                    open_.append([rows[k]["turn"], part, ROLES[state % 3], [line]])
+                    open_.append((r["turns"][k], part, ROLES[state], [line], False))
+                elif not open_:
+                    open_.append((None, 0, ROLES[state - 3], [line], True))
                 else:
                     open_[-1][3].append(line)
-            for turn_, part_, role, lines in open_:
-                body = "\n".join(lines).strip("\n")
-                out.append((rows[0]["conv"], turn_, part_, role, body, render(role, body)))
-            if len(out) > 2_000:
-                yield _batch(schema, out)
-                out = []
-        if out:
-            yield _batch(schema, out)
-
-    return dealt(joined).mapInArrow(parse, "conv_id long, turn long, part int, role string, text string, rendered string")
-
-
-def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
+            turns, numbers, roles, lines, goes_on = zip(*open_, strict=True)
+            n = len(open_)
+            border = [not alone and (k == n - 1 or goes_on[k]) for k in range(n)]
+            yield row_batch(schema, conv_id=[r["conv"]] * n, chunk=[r["chunk"]] * n, number=range(n), goes_on=goes_on, border=border, turn=turns, part=numbers, role=roles, text=["\n".join(x) for x in lines])
+
+    pieces = chunks.join(edges, "chunk", "left").select("conv", "chunk", "turns", "labels", "texts", "before", "after").mapInArrow(parse, PIECES)
+    if not edges.isEmpty():
+        # a chunk's last turn and the lines that go on with it in the next chunks are one
+        pieces = written(pieces, "pieces")
+        running = Window.partitionBy("conv_id").orderBy("chunk", "number")
+        crossing = pieces.where("border").withColumn("opening", F.sum((~F.col("goes_on")).cast("int")).over(running.rowsBetween(Window.unboundedPreceding, 0)))
+        listed = F.sort_array(F.collect_list(F.struct("chunk", "number", "turn", "part", "role", "text")))
+        whole = crossing.groupBy("conv_id", "opening").agg(listed.alias("p")).select("conv_id", *(F.col("p")[0][c].alias(c) for c in ("turn", "part", "role")), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+        pieces = pieces.where("not border").select("conv_id", "turn", "part", "role", "text").unionByName(whole)
+    body = pieces.select("conv_id", "turn", "part", "role", F.btrim("text", F.lit("\n")).alias("text"))
+    return body.withColumn("rendered", F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>")))

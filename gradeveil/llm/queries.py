@@ -56,8 +56,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles recovered from the text alone; the labels only fit the model's distributions."""
     turns = _table(spark, sf_dir, "conversations")
-    return chat.format_chats(turns, model=chat.fit(turns))
+    return chat.format_chats(turns, speaker=None, model=chat.fit(turns))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

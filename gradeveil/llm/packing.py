@@ -1,10 +1,12 @@
 """Best-fit packing of documents into sequences by a grouping genetic algorithm on islands.
 
-Pieces are dealt into blocks of a bounded number of pieces by a hash. For each block several islands evolve
-packings: crossover injects whole well-filled bins of one parent into another, bins that then hold a document
-twice are dissolved, and the displaced documents go back by best fit, longest first. After each epoch an island
-sends its elite to the next island of its block. The best packing of each block is kept, but for its badly
-filled bins: their documents are dealt again over fewer blocks, level by level, until one block is left.
+Pieces are dealt into blocks of a bounded number of pieces by a hash. For each block several islands evolve packings,
+which begin as best fit in random orders: crossover injects whole well-filled bins of one parent into another, bins
+that then hold a document twice are dissolved, and the displaced documents go back by best fit, longest first. After
+each epoch an island sends its elite to the next island of its block. An island stops where it reaches the lower bound
+(all tokens over the capacity, rounded up), which no packing can beat; one that has not reached it after an epoch also
+takes in best fit by falling length. The best packing of each block is kept, but for its badly filled bins: their
+documents are dealt again over fewer blocks, level by level, until one block is left or a level saves no sequence.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeveil.llm.common import dump, id_array, ids_of, load, pieces_for, row_batch, rows_in, written
+from gradeveil.llm.common import buckets_of, dump, id_array, ids_of, load, pieces_for, row_batch, rows_in, written
 from gradeveil.llm.encoding import WordEncoder, default_vocabulary, with_end
 
+COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 STATE = "block long, island int, lengths binary, packings binary"
-PLACED = f"{PIECES}, block long, bin int, offset long, fill long"
+PLACED = f"{PIECES}, key long, block long, bin int, offset long, fill long"
 
 
 class Packer:
@@ -50,10 +53,16 @@ class Packer:
             if left > size:
                 insort(room, (left - size, b))
 
-    def first(self, jitter: float) -> np.ndarray:
-        """Best fit in an order of lengths that is disturbed by `jitter`; 0: best fit decreasing."""
+    def first(self) -> np.ndarray:
+        """Best fit in a random order."""
+        return self._packed(self.random.permutation(len(self.lengths)))
+
+    def falling(self) -> np.ndarray:
+        """Best fit by falling length."""
+        return self._packed(np.arange(len(self.lengths)))
+
+    def _packed(self, order: np.ndarray) -> np.ndarray:
         out = np.full(len(self.lengths), -1, np.int32)
-        order = np.argsort(-self.lengths * (1 + jitter * self.random.standard_normal(len(self.lengths))), kind="stable")
         self.best_fit(order.tolist(), out, {})
         return out
 
@@ -95,9 +104,9 @@ class Packer:
         return np.unique(packing, return_inverse=True)[1].astype(np.int32)
 
     def evolve(self, population: list[np.ndarray], size: int, generations: int) -> list[np.ndarray]:
-        """Stops early once a packing is provably best."""
+        """The population, best first, after some generations. Stops early once a packing is provably best."""
         if not population:
-            population = [self.first(0.0), *(self.first(0.15) for _ in range(size - 1))]
+            population = [self.first() for _ in range(size)]
         ranked = sorted(((self.fitness(p), k, p) for k, p in enumerate(population)), reverse=True)[:size]
         tag = len(population)
         for _ in range(generations):
@@ -114,30 +123,36 @@ def _packings(blob: bytes | None) -> list[np.ndarray]:
     return load(blob) if blob else []
 
 
-def pack_pieces(pieces: DataFrame, *, capacity: int = 4096, block_pieces: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 10, population: int = 6, elite: int = 2, refill: float = 0.995, max_levels: int = 6) -> DataFrame:
+def pack_pieces(pieces: DataFrame, *, capacity: int = 4096, block_pieces: int = 4096, islands: int = 2, epochs: int = 3, generations: int = 40, population: int = 6, elite: int = 2, refill: float = 0.995) -> DataFrame:
     """Packs rows of doc_id, piece, start, length (1 to capacity) and ids_crc32 into sequences of at most
-    `capacity`: adds sequence_id and offset, both long. Bins filled below `refill` go on to the next level."""
-    left, done, level = pieces, [], 0
+    `capacity`: adds sequence_id and offset, both long. Bins filled below `refill` go on to the next level, as long as
+    fewer could hold their pieces and the last level saved some. Rows may repeat and ids may be null: pieces are dealt
+    by their place in the table, so packings depend on it."""
+    # written, so that a piece keeps its key
+    left, done, level, before = written(pieces.select(*COLUMNS).withColumn("key", F.monotonically_increasing_id()), "pieces"), [], 0, None
     while True:
-        n = left.count()
-        blocks = pieces_for(n, block_pieces)
-        dealt = left.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(blocks)).cast("long"))
-        placed = written(_pack_level(dealt, capacity, islands, epochs, generations, population, elite, level), f"level{level}")
+        blocks = pieces_for(left.count(), block_pieces)
+        dealt = left.withColumn("block", F.pmod(F.xxhash64("key", F.lit(level)), F.lit(blocks)).cast("long"))
+        placed = written(_pack_level(dealt, blocks, capacity, islands, epochs, generations, population, elite, level), f"level{level}")
         weak = F.col("fill") < refill * capacity
-        last = blocks == 1 or level + 1 == max_levels
+        opens = F.col("offset") == 0
+        bins, weak_bins, weak_tokens = placed.agg(F.count_if(opens), F.count_if(opens & weak), F.coalesce(F.sum(F.when(weak, F.col("length"))), F.lit(0))).first()
+        last = blocks == 1 or weak_bins <= pieces_for(weak_tokens, capacity) or (before is not None and bins >= before)
         stay = placed if last else placed.where(~weak)
         done.append(stay.withColumn("sequence_id", F.lit(level << 56) + F.col("block") * F.lit(1 << 20) + F.col("bin")))
         if last:
             break
-        left, level = placed.where(weak).select("doc_id", "piece", "start", "length", "ids_crc32"), level + 1
+        left, level, before = placed.where(weak).select(*COLUMNS, "key"), level + 1, weak_bins
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select(*COLUMNS, "sequence_id", "offset")
 
 
-def _pack_level(dealt: DataFrame, capacity: int, islands: int, epochs: int, generations: int, population: int, elite: int, level: int) -> DataFrame:
-    order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+def _pack_level(dealt: DataFrame, blocks: int, capacity: int, islands: int, epochs: int, generations: int, population: int, elite: int, level: int) -> DataFrame:
+    order = [("length", "descending"), ("key", "ascending")]
+    # blocks are little data but much work: no coalescing
+    tasks = min(blocks * islands, 4 * buckets_of(dealt.sparkSession))
     schema = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("packings", pa.binary())])
 
     def begin(table: pa.Table) -> pa.Table:
@@ -153,6 +168,8 @@ def _pack_level(dealt: DataFrame, capacity: int, islands: int, epochs: int, gene
             packer = Packer(lengths, capacity, zlib.crc32(f"{level} {number} {block} {island}".encode()))
             # own packings first, then the migrants
             kept = [p for r in sorted(rows, key=lambda r: r["lengths"] is None) for p in _packings(r["packings"])]
+            if kept and -max(map(packer.fitness, kept))[0] > packer.bound:
+                kept.append(packer.falling())
             best = packer.evolve(kept, population, generations)
             last = number + 1 == epochs
             sent = [(island, dump(lengths), dump(*best[: 1 if last else population]))]
@@ -164,7 +181,7 @@ def _pack_level(dealt: DataFrame, capacity: int, islands: int, epochs: int, gene
 
     state = dealt.select("block", "length").groupBy("block").applyInArrow(begin, STATE)
     for number in range(epochs):
-        state = state.groupBy("block", "island").applyInArrow(epoch(number), STATE)
+        state = state.repartition(tasks, "block", "island").groupBy("block", "island").applyInArrow(epoch(number), STATE)
 
     def place(items: pa.Table, states: pa.Table) -> pa.Table:
         items = items.sort_by(order)
@@ -177,7 +194,7 @@ def _pack_level(dealt: DataFrame, capacity: int, islands: int, epochs: int, gene
         first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
         runs = np.diff(np.append(first, len(bins)))
         offsets = ends - sizes - np.repeat((ends - sizes)[first], runs)
-        items = items.take(pa.array(by)).select(["doc_id", "piece", "start", "length", "ids_crc32", "block"])
+        items = items.take(pa.array(by)).select([*COLUMNS, "key", "block"])
         return items.append_column("bin", pa.array(bins.astype(np.int32))).append_column("offset", pa.array(offsets)).append_column("fill", pa.array(np.repeat(np.add.reduceat(sizes, first), runs)))
 
     return dealt.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(place, PLACED)
@@ -209,8 +226,7 @@ def cut_pieces(docs: DataFrame, *, vocabulary: str | None = None, end: int = 1,
 def pack_documents(docs: DataFrame, *, vocabulary: str | None = None, end: int = 1, capacity: int = 4096, doc_id: str = "doc_id", text: str = "text", **evolution) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` token ids; one row per piece.
 
-    Only documents longer than a sequence are cut. Null texts are empty and take one id, null ids stay null,
-    rows that repeat are packed each on their own, other columns are ignored, no rows give no rows. Packings
-    depend on the rows only, not on their order. evolution: parameters of pack_pieces."""
-    pieces = written(cut_pieces(docs, vocabulary=vocabulary, end=end, capacity=capacity, doc_id=doc_id, text=text), "pieces")
-    return pack_pieces(pieces, capacity=capacity, **evolution)
+    Only documents longer than a sequence are cut, long texts whole. Null or empty texts take one id, null ids stay
+    null, rows that repeat are packed each on their own, other columns are ignored, whatever their names, no rows give
+    no rows. Which pieces share a sequence depends on the order of the rows. evolution: parameters of pack_pieces."""
+    return pack_pieces(cut_pieces(docs, vocabulary=vocabulary, end=end, capacity=capacity, doc_id=doc_id, text=text), capacity=capacity, **evolution)

@@ -78,13 +78,52 @@ def test_packing(docs, data, ids_of, capacity, block):
     assert len(sequences) <= bound * 1.03 + 1
 
 
-def test_packing_gains_over_first_packing():
-    lengths = np.sort(np.random.default_rng(5).integers(300, 3000, 600))[::-1]
+def triplets(n=40, capacity=1000, seed=3):
+    """Lengths of which three at a time fill a sequence, for which best fit by falling length needs more."""
+    pick = random.Random(seed)
+    out = []
+    for _ in range(n):
+        a = pick.randint(380, 489)
+        b = pick.randint(250, capacity - a - 250)
+        out += [a, b, capacity - a - b]
+    return out
+
+
+def test_evolution_needs_fewer_sequences_than_best_fit():
+    lengths = np.sort(np.array(triplets()))[::-1]
+    packer = packing.Packer(lengths, 1000, 1)
+    best_fit, best = packer.falling(), packer.evolve([], 20, 3000)[0]
+    assert packer.bound <= -packer.fitness(best)[0] < -packer.fitness(best_fit)[0]
+    assert packer.fills(best).max() <= 1000 and packer.fills(best).sum() == lengths.sum()
+
+
+def test_crossover_injects_whole_bins_and_keeps_every_piece():
+    lengths = np.sort(np.random.default_rng(5).integers(100, 3000, 400))[::-1]
     packer = packing.Packer(lengths, 4096, 1)
-    first = packer.first(0.0)
-    best = packer.evolve([], 6, 60)[0]
-    assert packer.fitness(best) >= packer.fitness(first)
-    assert packer.fills(best).max() <= 4096 and packer.fills(best).sum() == lengths.sum()
+    mother, father = packer.first(), packer.first()
+    child = packer.cross(mother, father)
+    assert len(child) == len(lengths) and packer.fills(child).max() <= 4096 and packer.fills(child).sum() == lengths.sum()
+    bins = lambda p: {frozenset(np.flatnonzero(p == b).tolist()) for b in np.unique(p)}
+    assert len(bins(child) & bins(father)) > len(bins(mother) & bins(father))
+
+
+def test_packing_through_islands(spark):
+    """The table's result comes from crossover: better than any packing that it begins with, and than best fit."""
+    rows = [(i, 0, 0, n, 0) for i, n in enumerate(triplets())]
+    pieces = spark.createDataFrame(rows, packing.PIECES).repartition(3)
+    lengths = np.sort(np.array([r[3] for r in rows]))[::-1]
+    best_fit = -packing.Packer(lengths, 1000, 1).fitness(packing.Packer(lengths, 1000, 1).falling())[0]
+    got = packing.pack_pieces(pieces, capacity=1000, islands=3, epochs=3, generations=800, population=20)
+    assert got.select("sequence_id").distinct().count() < best_fit
+
+
+def test_packing_of_pieces_without_ids(spark):
+    """Null ids and repeated rows are spread over the blocks; pieces that fill no pair end after one more level."""
+    same = spark.createDataFrame([(None, 0, 0, 10, 7)] * 300, packing.PIECES)
+    got = packing.pack_pieces(same, capacity=100, block_pieces=20)
+    assert got.count() == 300 and got.select("sequence_id").distinct().count() == 30
+    large = spark.createDataFrame([(i, 0, 0, 60, 7) for i in range(100)], packing.PIECES)
+    assert packing.pack_pieces(large, capacity=100, block_pieces=10).select("sequence_id").distinct().count() == 100
 
 
 def test_no_packing(no_docs):

@@ -101,8 +101,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def buckets_of(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets_of(blocks: DataFrame) -> int:
+    """Hash buckets for the keys of a written table of blocks: as many as shuffle partitions, and more with the input,
+    so that one bucket holds the keys of 512 MB of text at most, and grows with the square root of the input before."""
+    megabytes = blocks.count() * BLOCK_BYTES / (1 << 20)
+    partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, partitions, math.ceil(math.sqrt(megabytes)), math.ceil(megabytes / 512))
 
 
 def dump(*arrays: np.ndarray) -> bytes:

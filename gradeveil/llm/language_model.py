@@ -147,8 +147,8 @@ def score_documents(docs: DataFrame, *, size: int = 16, rounds: int = 3, rate: f
     their end alone; a null id stays null and is training text; repeated rows count each; without rows there are none.
     Other columns are ignored. Words are counted by 64-bit hashes."""
     spark = docs.sparkSession
-    n = buckets_of(spark)
     blocks = word_blocks(docs, lower=True, doc_id=doc_id, text=text)
+    n = buckets_of(blocks)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("sent", pa.binary())])

@@ -60,8 +60,6 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, doc_
     the holders. Null or empty texts have one empty line and come back as empty text. Each row counts as a
     document; rows that share the greatest id all keep the line; a null id is less than any other. Own columns
     named n_lines or n_dropped are replaced. Keys are compared by a 64-bit hash."""
-    spark = docs.sparkSession
-    n = buckets_of(spark)
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest if c != text)).alias("__rest"), F.col(f"`{doc_id}`").cast("long").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
 
@@ -71,6 +69,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, doc_
             yield row_batch(schema, block=[block], rows=[rows_to_ipc(table)], sent=[dump(*_held(table, min_chars))])
 
     blocks = written(rows.mapInArrow(gather, BLOCKS), "blocks")
+    n = buckets_of(blocks)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("sent", pa.binary())])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeveil.llm.common import buckets_of, dump, id_array, ids_of, load, pieces_for, row_batch, rows_in, written
+from gradeveil.llm.common import dump, id_array, ids_of, load, pieces_for, row_batch, rows_in, written
 from gradeveil.llm.encoding import WordEncoder, default_vocabulary, with_end
 
 COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32")
@@ -152,7 +152,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 4096, block_pieces: int =
 def _pack_level(dealt: DataFrame, blocks: int, capacity: int, islands: int, epochs: int, generations: int, population: int, elite: int, level: int) -> DataFrame:
     order = [("length", "descending"), ("key", "ascending")]
     # blocks are little data but much work: no coalescing
-    tasks = min(blocks * islands, 4 * buckets_of(dealt.sparkSession))
+    tasks = min(blocks * islands, 4 * int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     schema = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("packings", pa.binary())])
 
     def begin(table: pa.Table) -> pa.Table:

@@ -2,12 +2,13 @@
 
 A window is `window` consecutive words of one document. Its anchor is its `gram`-word run with the least hash, so
 two equal windows have equal anchors. First each block of documents tells the buckets which anchors it has, and
-learns which of them another document has too (one bit each). Only the segments around shared anchors go on:
-runs of windows with one anchor, less than twice `window` words long, each distinct one once per block with the
-least id of its documents. Each anchor's segments meet in its bucket. There the distinct segments, by ascending
-least id, form reference shards of bounded size; a suffix automaton is built for each, all segments of the anchor
-are streamed through it for matching statistics, and each window of a segment learns the least id of a document
-that holds it. The answers go back once per block, where the covered words are removed.
+learns which of them another document has too. Only the segments around shared anchors go on: runs of windows with one
+anchor, less than twice `window` words long, each distinct one once per block with the least id of its documents.
+Where an anchor is very common, every window is a segment of its own, with itself as anchor, so that a hot anchor is
+dealt over all buckets. In a bucket the distinct segments form reference shards of bounded size that hold whole
+anchors. A suffix automaton is built for each shard, by ascending least id; the shard's segments are streamed through
+it, and the matching statistics give each window the least id of a document that holds it. The answers go back once
+per block, where the covered words are removed.
 
 The automata are routed with the segments that need them, not broadcast to every task: all repeated passages of
 a corpus grow with it, and a broadcast would not be bounded.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeveil.llm.automaton import SuffixAutomaton
-from gradeveil.llm.common import NULL_ID, buckets_of, cut, dump, hashed, id_array, load, one_by_one, ragged, rolling, row_batch
+from gradeveil.llm.common import NULL_ID, buckets_of, cut, dump, hashed, id_array, load, mix, one_by_one, ragged, rolling, row_batch
 from gradeveil.llm.word_blocks import WordBlock, word_blocks
 
 MESSAGE = "bucket int, block long, sent binary"
@@ -32,6 +33,8 @@ CLEANED = "doc_id long, n_words long, n_removed long, kept string"
 NEVER = np.iinfo(np.int64).max
 #: Words in the segments of one reference shard: what one automaton holds.
 SHARD_WORDS = 200_000
+#: Runs of windows with one anchor beyond which each window is its own anchor.
+HOT_RUNS = 5_000
 
 
 class Runs:
@@ -67,17 +70,31 @@ class Runs:
     def take(self, which: np.ndarray) -> None:
         self.start, self.size, self.doc, self.anchor = self.start[which], self.size[which], self.doc[which], self.anchor[which]
 
-
-def _anchors(block: WordBlock, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchors of a block, and whether two of its ids have them. Documents without id don't count."""
+    def split(self, hot: np.ndarray, window: int) -> None:
+        """Makes every window of the hot runs a run of its own, with its own hash as anchor."""
+        start, size = self.start[hot], self.size[hot]
+        windows = ragged(start, size)
+        own = np.zeros(len(windows), np.uint64)
+        for j in range(window):
+            own = own * np.uint64(0x9E3779B97F4A7C15) + self.hashes[windows + j]
+        doc = np.repeat(self.doc[hot], size)
+        self.take(~hot)
+        self.start, self.size = np.append(self.start, windows), np.append(self.size, np.ones(len(windows), np.int64))
+        self.doc, self.anchor = np.append(self.doc, doc), np.append(self.anchor, mix(own))
+
+
+def _anchors(block: WordBlock, runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchors of a block, whether two of its ids have them, and their numbers of runs. Documents without id
+    don't count."""
     known = block.ids[runs.doc] != NULL_ID
     anchor, ids = runs.anchor[known], block.ids[runs.doc[known]]
     order = np.argsort(anchor, kind="stable")
     anchor, ids = anchor[order], ids[order]
     first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)])
     if not len(first):
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    return anchor[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint32)
+    runs_of = np.diff(np.append(first, len(anchor))).astype(np.uint32)
+    return anchor[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first), runs_of
 
 
 def _segments(block: WordBlock, runs: Runs, window: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -98,7 +115,7 @@ def _segments(block: WordBlock, runs: Runs, window: int) -> tuple[list[np.ndarra
     segment[order] = np.cumsum(new) - 1
     first = order[new]
     tokens = words[ragged(begins[first], size[first])].astype(np.uint32)
-    return [runs.anchor[first], content[first], ids[first], runs.size[first].astype(np.uint8), tokens], segment
+    return [runs.anchor[first], content[first], ids[first], runs.size[first].astype(np.uint16), tokens], segment
 
 
 def _least_holders(sent: list[list[np.ndarray]], window: int, shard_words: int) -> list[np.ndarray]:
@@ -114,57 +131,57 @@ def _least_holders(sent: list[list[np.ndarray]], window: int, shard_words: int)
     distinct[order] = np.cumsum(new) - 1
     windows = size[first].astype(np.int64)
     out_at = np.cumsum(windows) - windows
-    # one segment alone with its anchor is its own and only reference
-    least = np.repeat(ids[first], windows)
-    groups = np.flatnonzero(np.append(True, anchor[first][1:] != anchor[first][:-1])[: len(first)])
-    for begin, end in zip(groups, np.append(groups[1:], len(first)), strict=True):
-        if end - begin == 1:
-            continue
-        # by ascending least id, in shards of at most shard_words words
+    least = np.full(int(windows.sum()), NEVER)
+    # an anchor's segments are in one shard, so that no other has to be asked
+    opens = np.append(True, anchor[first][1:] != anchor[first][:-1])[: len(first)]
+    before = np.cumsum(words[first]) - words[first]
+    shard_of = (before[opens] // shard_words)[np.cumsum(opens) - 1]
+    begins = np.flatnonzero(np.append(True, shard_of[1:] != shard_of[:-1])[: len(first)])
+    for begin, end in zip(begins, np.append(begins[1:], len(first)), strict=True):
         members = begin + np.argsort(ids[first[begin:end]], kind="stable")
         lists = [tokens[token_at[first[m]] : token_at[first[m]] + words[first[m]]].tolist() for m in members]
-        shard_of = np.cumsum([len(x) for x in lists]) // shard_words
-        for shard in range(int(shard_of[-1]) + 1):
-            automaton = SuffixAutomaton()
-            for k in np.flatnonzero(shard_of == shard):
-                automaton.add(lists[k], int(ids[first[members[k]]]))
-            for k, m in enumerate(members):
-                found = automaton.matches(lists[k], window)
-                part = least[out_at[m] : out_at[m] + windows[m]]
-                np.minimum(part, np.fromiter((NEVER if f is None else f for f in found), np.int64, len(found)), out=part)
+        automaton = SuffixAutomaton()
+        for m, segment in zip(members, lists, strict=True):
+            automaton.add(segment, int(ids[first[m]]))
+        for m, segment in zip(members, lists, strict=True):
+            least[out_at[m] : out_at[m] + windows[m]] = automaton.matches(segment, window)
     ends = np.cumsum([len(x[0]) for x in sent])
     return [least[ragged(out_at[d], windows[d])] for d in (distinct[e - len(x[0]) : e] for e, x in zip(ends, sent, strict=True))]
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 13, gram: int = 6, shard_words: int = SHARD_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 13, gram: int = 6, shard_words: int = SHARD_WORDS, hot_runs: int = HOT_RUNS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns doc_id, n_words, n_removed and kept (the kept words joined by one space).
 
     A word goes if a window of `window` words covers it whose words also stand, in this order, in a document with
-    a smaller id. Null texts have no words. Documents with a null id come back unchanged and are no reference for
-    others; rows that share an id are no reference for each other. Other columns are ignored. Words are compared
-    by 64-bit hashes, windows by `window` 32-bit hashes in a row."""
-    spark = docs.sparkSession
-    n = buckets_of(spark)
+    a smaller id. Null or empty texts have no words, long ones are read whole. Documents with a null id come back
+    unchanged and are no reference for others; rows that share an id are no reference for each other. No rows give no
+    rows. Other columns are ignored, whatever their names. Words are compared by 64-bit hashes, windows by `window`
+    32-bit hashes in a row. The result does not depend on shard_words and hot_runs."""
+    if not 0 < gram <= window < 60_000:
+        raise ValueError("gram must be from 1 to window, and window below 60000")
     blocks = word_blocks(docs, lower=False, doc_id=doc_id, text=text)
+    n = buckets_of(blocks)
     message = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("sent", pa.binary())])
 
     def send_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in one_by_one(batches):
             block = WordBlock.unpacked(r["docs"], r["words"])
-            keys, many = _anchors(block, Runs(block, window, gram))
-            edges = cut(keys, n)
+            arrays = _anchors(block, Runs(block, window, gram))
+            edges = cut(arrays[0], n)
             full = np.flatnonzero(np.diff(edges))
-            yield row_batch(message, bucket=full.astype(np.int32), block=np.full(len(full), r["block"]), sent=[dump(keys[edges[b] : edges[b + 1]], many[edges[b] : edges[b + 1]]) for b in full])
+            yield row_batch(message, bucket=full.astype(np.int32), block=np.full(len(full), r["block"]), sent=[dump(*(x[edges[b] : edges[b + 1]] for x in arrays)) for b in full])
 
     def shared_anchors(table: pa.Table) -> pa.Table:
         sent = [load(x) for x in table["sent"].to_pylist()]
-        keys, back, counts = np.unique(np.concatenate([k for k, _ in sent]), return_inverse=True, return_counts=True)
+        keys, back, counts = np.unique(np.concatenate([k for k, _, _ in sent]), return_inverse=True, return_counts=True)
         shared = counts > 1
-        shared[back[np.concatenate([m for _, m in sent])]] = True
-        flags, at, answers = shared[back], 0, []
-        for k, _ in sent:
-            part = flags[at : at + len(k)]
-            answers.append(dump(k[part]) if part.any() else None)
+        shared[back[np.concatenate([m for _, m, _ in sent])]] = True
+        hot = np.bincount(back, np.concatenate([r for _, _, r in sent])) > hot_runs
+        at, answers = 0, []
+        for k, _, _ in sent:
+            own = back[at : at + len(k)]
+            part = shared[own]
+            answers.append(dump(k[part], hot[own[part]]) if part.any() else None)
             at += len(k)
         return pa.table({"block": table["block"], "bucket": table["bucket"], "answer": pa.array(answers, pa.binary())}).filter(pa.array([x is not None for x in answers], pa.bool_()))
 
@@ -176,8 +193,11 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, gram: int = 6, shard_wo
     def shared_runs(block: WordBlock, answers: list[dict]) -> Runs:
         """The runs of a block whose anchor another document has too."""
         runs = Runs(block, window, gram)
-        keys = np.concatenate([load(x["answer"])[0] for x in answers])
-        runs.take(np.flatnonzero((block.ids[runs.doc] != NULL_ID) & (keys[np.minimum(np.searchsorted(keys, runs.anchor), len(keys) - 1)] == runs.anchor)))
+        keys, hot = (np.concatenate(x) for x in zip(*(load(x["answer"]) for x in answers), strict=True))
+        at = np.minimum(np.searchsorted(keys, runs.anchor), len(keys) - 1)
+        known = np.flatnonzero((block.ids[runs.doc] != NULL_ID) & (keys[at] == runs.anchor))
+        runs.take(known)
+        runs.split(hot[at[known]], window)
         return runs
 
     def send_segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

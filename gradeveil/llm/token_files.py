@@ -16,6 +16,7 @@ Any zstandard reader can decompress a shard as a whole. Shards hold ascending, d
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from gradeveil.llm.common import buckets_of, dump, id_array, ids_of, load, row_batch, rows_in, shared_folder, written
+from gradeveil.llm.common import dump, id_array, ids_of, load, row_batch, rows_in, shared_folder, written
 from gradeveil.llm.encoding import WordEncoder, default_vocabulary, with_end
 
 FRAME_IDS = 16_384
@@ -143,11 +144,13 @@ def write_token_files(docs: DataFrame, folder: str | None = None, *, vocabulary:
     """Encodes whole texts and writes them as shards in ascending order of doc_id; one row per shard. Without a folder
     of one's own the shards are working files that end with the program.
 
-    Null texts are empty (their end id only); null ids come first; rows with one id follow each other in the
-    order of their texts; other columns are ignored. width: bytes of an id, 2 while ids stay below 65 536. A
-    shard is written under a name of its attempt and then renamed, so a repeated task replaces it whole."""
+    Null and empty texts are their end id only, long ones are encoded whole; null ids come first; rows with one id,
+    repeats too, follow each other in the order of their texts, and may go on in the next shard; no rows give no
+    documents. Other columns are ignored, whatever their names. width: bytes of an id; an id that does not fit is an
+    error. A shard's name has the number of its task's attempt; the returned rows name those that count, and what
+    repeated tasks have left besides is deleted."""
     spark = docs.sparkSession
-    folder, vocabulary = folder or shared_folder(spark) + "/ids", vocabulary or default_vocabulary()
+    folder, vocabulary, run = folder or shared_folder(spark) + "/ids", vocabulary or default_vocabulary(), uuid.uuid4().hex[:12]
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -155,20 +158,35 @@ def write_token_files(docs: DataFrame, folder: str | None = None, *, vocabulary:
         task, encoder = TaskContext.get(), WordEncoder.of_worker(vocabulary)
         system, where = file_system(folder)
         system.create_dir(where, recursive=True)
-        name = f"shard-{task.partitionId():06d}.ids.zst"
-        part = f"{where}/_{name}.{task.taskAttemptId()}"
-        with system.open_output_stream(part) as stream:
+        name = f"shard-{task.partitionId():06d}-{run}-{task.taskAttemptId()}.ids.zst"
+        with system.open_output_stream(f"{where}/{name}", compression=None) as stream:
             writer = ShardWriter(stream, width)
             for table in rows_in(batches, "text"):
                 ids, counts = with_end(*encoder.encode(table["text"].combine_chunks()), end)
+                if len(ids) and int(ids.max()) >> 8 * width:
+                    raise ValueError(f"token id {int(ids.max())} does not fit {width} bytes")
                 writer.add(ids_of(table["doc_id"].combine_chunks()), ids, counts)
             n, tokens = writer.close()
-        system.move(part, f"{where}/{name}")
         yield row_batch(pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]), shard=[task.partitionId()], path=[f"{folder}/{name}"], n_docs=[n], n_tokens=[tokens])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ranged = rows.repartitionByRange(shards or buckets_of(spark), F.col("doc_id").asc_nulls_first())
-    return written(ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(write, WRITTEN), "shards")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    # the texts' beginnings part the rows of one id, or of none, without whole texts among the sampled bounds
+    first = F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32).asc_nulls_first()
+    ranged = rows.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), *first)
+    made = written(ranged.sortWithinPartitions(first[0], F.col("text").asc_nulls_first()).mapInArrow(write, WRITTEN), "shards")
+    _sweep(folder, run, made)
+    return made
+
+
+def _sweep(folder: str, run: str, made: DataFrame) -> None:
+    """Deletes the run's files that are no shard."""
+    from pyarrow import fs
+
+    system, where = file_system(folder)
+    names = {r.path.rsplit("/", 1)[1] for r in made.select("path").toLocalIterator()}
+    for info in system.get_file_info(fs.FileSelector(where, allow_not_found=True)):
+        if f"-{run}-" in info.base_name and info.base_name not in names:
+            system.delete_file(info.path)
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:

@@ -51,6 +51,19 @@ def test_damaged_token_file(spark, docs, tmp_path):
         list(token_files.ShardReader(path))
 
 
+def test_token_files_of_one_id(spark, ids_of, tmp_path):
+    """Rows of one id, or of none, lie in several shards; odd column names; ids that do not fit."""
+    rows = [(None if k % 2 else 7, f"word{k:03d} text") for k in range(60)]
+    docs = spark.createDataFrame(rows, "`doc.id` long, `the text` string").repartition(3)
+    shards = token_files.write_token_files(docs, f"file://{tmp_path}/ids", shards=6, doc_id="doc.id", text="the text")
+    assert shards.count() > 3
+    got = token_files.read_token_files(shards).orderBy("start").collect()
+    expected = sorted(rows, key=lambda r: (r[0] is not None, r[1]))
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(ids_of(t)) + 1, crc(ids_of(t) + [2])) for i, t in expected]
+    with pytest.raises(Exception, match="does not fit"):
+        token_files.write_token_files(docs, f"file://{tmp_path}/narrow", width=1, doc_id="doc.id", text="the text")
+
+
 def test_no_token_files(no_docs):
     assert token_files.read_token_files(token_files.write_token_files(no_docs)).count() == 0
 
@@ -143,9 +156,9 @@ def test_no_line_dedup(no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("shard_words", [30, 200_000])
-def test_substring_dedup(docs, data, shard_words):
-    got = substring_dedup.remove_repeats(docs, shard_words=shard_words)
+@pytest.mark.parametrize("shard_words,hot_runs", [(30, 5000), (200_000, 5000), (200_000, 0), (500, 3)])
+def test_substring_dedup(docs, data, shard_words, hot_runs):
+    got = substring_dedup.remove_repeats(docs, shard_words=shard_words, hot_runs=hot_runs)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == Counter(brute.repeats_removed([(i, t) for i, t, *_ in data]))
 
 
@@ -160,8 +173,18 @@ def test_substring_dedup_of_interwoven_passages(spark):
             a = pick.randint(0, len(p) - 5)
             text += p[a : a + pick.randint(5, 30)] + [pick.choice("xyz")] * pick.randint(0, 2)
         data.append((i // 2 if i % 9 == 0 else 100 - i, " ".join(text)))
-    got = substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(6))
-    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == Counter(brute.repeats_removed(data))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    for hot_runs in (5000, 10):
+        got = substring_dedup.remove_repeats(docs, hot_runs=hot_runs)
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == Counter(brute.repeats_removed(data))
+
+
+def test_wide_windows(spark):
+    """Windows of more words than a byte counts."""
+    text = [f"w{k}" for k in range(700)]
+    data = [(1, " ".join(text)), (2, " ".join(["x", *text[100:600], "y"])), (3, " ".join(["z", *text[100:330]]))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), window=300, gram=10)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == Counter(brute.repeats_removed(data, 300))
 
 
 def test_no_substring_dedup(no_docs):

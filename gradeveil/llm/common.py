@@ -147,10 +147,18 @@ def tree_sum(parts: DataFrame, fan: int = 256, levels: int = 3) -> DataFrame:
     return parts.select("slice", "counts")
 
 
+def _edges(n: int) -> np.ndarray:
+    return np.array([min((b << 64) // n, 2**64 - 1) for b in range(1, n)], np.uint64)
+
+
 def cut(keys: np.ndarray, n: int) -> np.ndarray:
     """Where the buckets 0..n-1 begin and end in ascending unsigned 64-bit keys."""
-    edges = np.array([min((b << 64) // n, 2**64 - 1) for b in range(1, n)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
+    return np.concatenate([[0], np.searchsorted(keys, _edges(n)), [len(keys)]]).astype(np.int64)
+
+
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each key, in any order."""
+    return np.searchsorted(_edges(n), keys, "right")
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -2,9 +2,10 @@
 
 Documents are gathered into blocks; a block sends each distinct line key once, with the number of its documents
 that hold it and the greatest id among them, to the key's shard. A shard builds a minimal perfect hash over its
-distinct keys, adds the counts into the arrays that it indexes, probes them with each block's keys and answers
-the block with those that are to go. No line is joined with another, and a line that a third of all documents
-holds costs its shard one entry per block.
+distinct keys and adds the counts into the arrays that it indexes. For each block it takes the keys that are to go and
+ships a perfect hash over them with compact arrays of fingerprints and greatest holders; the block's documents probe
+these arrays with all their lines. No line is joined with another, and a line that a third of all documents holds
+costs its shard one entry per block.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeveil.llm.common import BLANKS, block_ids, buckets_of, cut, dump, hashed, ids_of, ipc_to_rows, load, one_by_one, row_batch, rows_in, rows_to_ipc, written
-from gradeveil.llm.perfect_hash import LineCounts
+from gradeveil.llm.common import BLANKS, block_ids, bucket_of, buckets_of, cut, dump, hashed, ids_of, ipc_to_rows, load, one_by_one, row_batch, rows_in, rows_to_ipc, written
+from gradeveil.llm.perfect_hash import LineCounts, ShippedLines
 
 BLOCKS = "block long, rows binary, sent binary"
 SENT = "bucket int, block long, sent binary"
@@ -57,9 +58,10 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, doc_
 
     A line's key is the line stripped of blanks at both ends, A-Z lower-cased. Keys of min_chars code points or
     more that min_docs documents hold lose all their lines but those in the documents with the greatest id among
-    the holders. Null or empty texts have one empty line and come back as empty text. Each row counts as a
-    document; rows that share the greatest id all keep the line; a null id is less than any other. Own columns
-    named n_lines or n_dropped are replaced. Keys are compared by a 64-bit hash."""
+    the holders. Null or empty texts have one empty line and come back as empty text; long ones are read whole. Each
+    row counts as a document, repeated ones too; rows that share the greatest id all keep the line; a null id is less
+    than any other. No rows give no rows. Own columns named n_lines or n_dropped are replaced. Keys are compared by a
+    64-bit hash."""
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest if c != text)).alias("__rest"), F.col(f"`{doc_id}`").cast("long").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
 
@@ -87,8 +89,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, doc_
         answers = []
         for keys, _, _ in sent:
             at = counts.slots(keys)
-            drop = np.flatnonzero(counts.counts[at] >= min_docs)
-            answers.append(dump(keys[drop], counts.last[at[drop]]) if len(drop) else None)
+            drop = counts.counts[at] >= min_docs
+            answers.append(dump(*ShippedLines.of(keys[drop], counts.last[at[drop]], keys[~drop]).arrays()) if drop.any() else None)
         out = pa.table({"block": table["block"], "bucket": table["bucket"], "answer": pa.array(answers, pa.binary())})
         return out.filter(pc.is_valid(out["answer"]))
 
@@ -104,11 +106,13 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, doc_
             lines, counts, at, keys = line_keys(table["__text"].combine_chunks(), min_chars)
             row = np.repeat(np.arange(len(counts)), counts)
             stay = np.ones(len(lines), bool)
-            if r["answers"]:
-                parts = [load(x["answer"]) for x in r["answers"]]
-                gone, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-                found = np.minimum(np.searchsorted(gone, keys), len(gone) - 1)
-                stay[at] = ~((gone[found] == keys) & (last[found] != ids[row[at]]))
+            bucket = bucket_of(keys, n)
+            by = np.argsort(bucket, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(bucket, minlength=n)))
+            for x in r["answers"] or []:
+                some = by[ends[x["bucket"]] : ends[x["bucket"] + 1]]
+                goes, last = ShippedLines.of_arrays(*load(x["answer"])).probe(keys[some])
+                stay[at[some]] = ~(goes & (last != ids[row[at[some]]]))
             kept = np.bincount(row[stay], minlength=len(counts))
             ends = np.concatenate([[0], np.cumsum(kept)]).astype(np.int64)
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), lines.filter(pa.array(stay))), "\n")

@@ -31,6 +31,24 @@ class PerfectHash:
         self.rest = {int(k): self.n + i for i, k in enumerate(left)}
         self.n += len(self.rest)
 
+    def arrays(self) -> list[np.ndarray]:
+        """The levels' sizes and bits, and the rest."""
+        bits = [np.packbits(np.diff(ranks) == 1) for ranks in self.levels]
+        return [np.array([len(r) - 1 for r in self.levels], np.int32), np.concatenate([np.zeros(0, np.uint8), *bits]), np.array(list(self.rest), np.uint64)]
+
+    @classmethod
+    def of_arrays(cls, sizes: np.ndarray, bits: np.ndarray, rest: np.ndarray) -> PerfectHash:
+        out, at = cls(np.zeros(0, np.uint64)), 0
+        for size in sizes.tolist():
+            ones = np.unpackbits(bits[at : at + -(-size // 8)], count=size)
+            out.levels.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.int32))
+            out.offsets.append(out.n)
+            out.n += int(out.levels[-1][-1])
+            at += -(-size // 8)
+        out.rest = {int(k): out.n + i for i, k in enumerate(rest)}
+        out.n += len(out.rest)
+        return out
+
     @staticmethod
     def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
         return ((mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
@@ -76,3 +94,44 @@ class LineCounts:
         at = self.slots(keys)
         self.counts[at] += counts
         self.last[at] = np.maximum(self.last[at], last)
+
+
+class ShippedLines:
+    """What a shard tells one block: a perfect hash over the block's keys that are to go, with a 16-bit fingerprint
+    and the greatest holder in each slot. The shard has seen all keys that the block can ask for, so it takes a seed
+    under which the fingerprints turn away every other one."""
+
+    def __init__(self, slot_of: PerfectHash, seed: int, fingerprints: np.ndarray, last: np.ndarray):
+        self.slot_of, self.seed, self.fingerprints, self.last = slot_of, seed, fingerprints, last
+
+    @staticmethod
+    def _fingerprint(keys: np.ndarray, seed: int) -> np.ndarray:
+        return (mix(keys ^ np.uint64((seed + 1) * 0xA0761D6478BD642F % 2**64)) >> np.uint64(24)).astype(np.uint16)
+
+    @classmethod
+    def of(cls, keys: np.ndarray, last: np.ndarray, others: np.ndarray) -> ShippedLines:
+        """keys, others: distinct, and no key among the others."""
+        slot_of = PerfectHash(keys)
+        at = slot_of(keys)
+        ordered = np.empty(slot_of.n, np.int64)
+        ordered[at] = last
+        seed = 0
+        while True:
+            fingerprints = np.empty(slot_of.n, np.uint16)
+            fingerprints[at] = cls._fingerprint(keys, seed)
+            out = cls(slot_of, seed, fingerprints, ordered)
+            if not out.probe(others)[0].any():
+                return out
+            seed += 1
+
+    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is one of those built in, and its greatest holder (of others: any number)."""
+        at = self.slot_of(keys)
+        return (at >= 0) & (self.fingerprints[at] == self._fingerprint(keys, self.seed)), self.last[at]
+
+    def arrays(self) -> list[np.ndarray]:
+        return [np.array([self.seed]), self.fingerprints, self.last, *self.slot_of.arrays()]
+
+    @classmethod
+    def of_arrays(cls, seed: np.ndarray, fingerprints: np.ndarray, last: np.ndarray, *slot_of: np.ndarray) -> ShippedLines:
+        return cls(PerfectHash.of_arrays(*slot_of), int(seed[0]), fingerprints, last)

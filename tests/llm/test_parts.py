@@ -9,10 +9,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gradeveil.llm.automaton import SuffixAutomaton
-from gradeveil.llm.common import cut, dump, load, rows_in, words_of
+from gradeveil.llm.common import bucket_of, cut, dump, load, mix, rows_in, words_of
 from gradeveil.llm.components import connected_components
 from gradeveil.llm.encoding import WordEncoder, default_vocabulary
-from gradeveil.llm.perfect_hash import LineCounts, PerfectHash
+from gradeveil.llm.perfect_hash import LineCounts, PerfectHash, ShippedLines
 
 from . import brute
 
@@ -116,3 +116,24 @@ def test_components(spark):
     got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: root(v) for v in up if root(v) != v}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 7, 5000])
+def test_shipped_lines(n):
+    """Every key that was built in is found with its holder, no other key of the block is, and arrays survive the way."""
+    keys = mix(np.arange(1, 3 * n + 1, dtype=np.uint64))
+    inside, others = keys[:n], keys[n:]
+    shipped = ShippedLines.of(inside, np.arange(n) * 10, others)
+    again = ShippedLines.of_arrays(*load(dump(*shipped.arrays())))
+    assert again.fingerprints.dtype == np.uint16
+    for x in (shipped, again):
+        found, last = x.probe(keys)
+        assert found.tolist() == [True] * n + [False] * 2 * n
+        assert last[:n].tolist() == list(range(0, 10 * n, 10))
+
+
+def test_buckets_agree():
+    keys = np.sort(mix(np.arange(1000, dtype=np.uint64)))
+    for n in (1, 3, 64):
+        edges = cut(keys, n)
+        assert bucket_of(keys, n).tolist() == np.repeat(np.arange(n), np.diff(edges)).tolist()

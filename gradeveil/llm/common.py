@@ -87,15 +87,15 @@ def discard(spark: SparkSession, folders: list[str]) -> None:
     folders.clear()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors. While it writes,
-    Arrow batches are short, since a row may be a whole text or block."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder, parted by a column if one is named, and reads it back: cuts the lineage, survives
+    lost executors. While it writes, Arrow batches are short, since a row may be a whole text or block."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
     rows = spark.conf.get(BATCH_ROWS)
     spark.conf.set(BATCH_ROWS, min(int(rows), 500) if int(rows) > 0 else 500)
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(BATCH_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)

@@ -331,11 +331,44 @@ def test_lm_is_normalised_and_learns(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
     base, score, n = language_model.score_documents(docs).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
     assert (score - base) / n > 0.1  # log10 a token
-    counts = np.random.default_rng(1).integers(0, 50, language_model.CLASSES)
-    model = language_model.LogBilinear(language_model.LogBilinear.start(counts, 16), 16)
-    every = np.arange(language_model.CLASSES)
-    logs = model.log_probabilities(np.full(len(every), 3), np.full(len(every), language_model.BEGIN), every)
-    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_is_normalised():
+    """Over all words of training and one unknown word for each class and the end, probabilities sum to 1."""
+    random_ = np.random.default_rng(1)
+    words = [f"word{k}{x}" for k in range(700) for x in ("ing", "ed", "e")]
+    keys, counts = common.hashed(words, len(words)), random_.integers(1, 200, len(words))
+    shared = language_model.shared_class(words).astype(np.int64)
+    types, tokens = (np.bincount(shared, x, minlength=language_model.CLASSES).astype(np.int64) for x in (None, counts))
+    often = counts >= 100
+    vocabulary = language_model.Vocabulary.of(keys[often], counts[often], shared[often], types, tokens, 50)
+    model = language_model.LogBilinear(language_model.LogBilinear.start(vocabulary, 8), 8, vocabulary)
+    model.parts[4][:] = random_.normal(0, 1, model.parts[4].shape)
+    classes, symbols, items = vocabulary.place(keys, shared)
+    assert (items >= 0).sum() == len(words) - language_model.TOP and len(set(symbols[often])) == often.sum()
+    assert vocabulary.class_tokens.sum() == counts.sum() + 50 and vocabulary.item_tokens.sum() == vocabulary.class_tokens[language_model.TOP : -1].sum()
+    rare = (classes >= language_model.TOP) & (symbols == classes)
+    assert (rare == ~often).all()
+    inside = np.where(rare, (counts + 0.5) / (vocabulary.rare_tokens[classes] + 0.5 * (vocabulary.rare_types[classes] + 1)), 1.0)
+    context = np.full(len(words), symbols[5]), np.full(len(words), language_model.BEGIN)
+    total = (np.exp(model.log_probabilities(*context, classes, items)) * inside).sum()
+    unknown = np.arange(language_model.TOP, language_model.TOP + language_model.SHARED)
+    share = 0.5 / (vocabulary.rare_tokens[unknown] + 0.5 * (vocabulary.rare_types[unknown] + 1))
+    two = context[0][: len(unknown)], context[1][: len(unknown)]
+    total += (np.exp(model.log_probabilities(*two, unknown, vocabulary.first_item[unknown])) * share).sum()
+    one = context[0][:1], context[1][:1]
+    total += np.exp(model.log_probabilities(*one, np.array([language_model.END]), np.array([-1])))[0]
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_gains_with_the_corpus(spark):
+    """Held out, the model beats unigrams, and by more on the larger table: its words with vectors grow with the input."""
+    gain = {}
+    for sf in ("0.001", "0.01"):
+        docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+        base, score, n = language_model.score_documents(docs).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+        gain[sf] = (score - base) / n
+    assert 0.05 < gain["0.001"] < gain["0.01"] - 0.1
 
 
 def test_no_lm(no_docs):

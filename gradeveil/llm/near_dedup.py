@@ -9,7 +9,8 @@ sketches, larger ones branch on. What passes the sketches is confirmed on full s
 To stay linear in groups of thousands of near copies, every node first proposes only a maximum spanning forest of
 its sketch similarities (large nodes by random parts). The confirmed links give preliminary components, and the
 exhaustive comparison then only has to look at pairs that are in different components. Nodes that are still large
-on the last level compare the classes outside their largest component with all others, in parts, on full sets.
+on the last level compare the classes outside their largest component with all others on full sets, in tiles: a part
+of the node against a part of those classes, so that a task holds two parts of TILE sets each, however large the node.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ LEVELS = 4
 POOL = FUNCTIONS // LEVELS
 #: Classes in a node that is compared exhaustively, and in a part of a larger node.
 SMALL = 128
+#: Classes on either side of a tile of a large node.
+TILE = 1024
 #: Pairs of a small node that are confirmed one by one; beyond, its members are compared in one task.
 MANY_PAIRS = 64
 #: Sketches of pairs at the threshold 0.8 agree by this less at most, in 36 of 64 places, but for 1 pair in 236 000.
@@ -262,11 +265,11 @@ def _confirm(percent: int):
 
 
 def _across_large(percent: int):
-    """Links between classes outside a large node's largest component (in every part) and its other classes."""
+    """Links between classes outside a large node's largest component and its other classes, tile by tile."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["node", "part"]):
+        for group in _groups(batches, ["node", "part", "tile"]):
             k, c = np.asarray(group.column("k")), np.asarray(group.column("component"))
             sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
             values = _matrix(group.column("sketch"))
@@ -298,11 +301,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     component_id) and text_hash (xxhash64 of the text), one row for each row of docs.
 
     Words are lower-cased (A-Z); a document's set holds its distinct shingles of `shingle` words, or all its words
-    as one if they are fewer; without words it is empty and linked with nothing. Sets are linked if
-    100 * intersection >= percent * union. Rows that share an id are rows of their own, each kept if the id is its
+    as one if they are fewer; without words (null or empty text) it is empty and linked with nothing; long texts are
+    read whole. Sets are linked if 100 * intersection >= percent * union. Rows that share an id are rows of their own, each kept if the id is its
     component's; rows with a null id are never kept unless alone: they link others, but give no component id, and
-    a component without any id has component_id null. Other columns are ignored."""
-    spark = docs.sparkSession
+    a component without any id has component_id null. No rows give no rows. Other columns are ignored, whatever their
+    names."""
     least = percent / 100 - SLACK
     signed = written(signatures(docs, shingle, doc_id, text), "signatures")
     key = F.xxhash64("h1", "h2").alias("k")
@@ -349,11 +352,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     by_component = large.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
     nodes = by_component.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
     # written, as the node sizes are
-    mixed = written(nodes.where(F.col("most.n") < F.col("n")).select("node", F.ceil(F.col("n") / 1024).alias("parts"), F.col("most.component").alias("most")), "mixed")
-    dealt = large.join(mixed, "node").withColumn("outside", F.col("component") != F.col("most")).withColumn("own", F.pmod(F.xxhash64("k", "node"), F.col("parts")))
-    spread = dealt.withColumn("part", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("own"))))
-    spread = spread.withColumn("home", F.col("part") == F.col("own")).join(sets, "k").select("node", "part", "k", "sketch", "component", "home", "outside", "set")
-    rest = written(spread.repartition(F.col("node"), F.col("part")).sortWithinPartitions("node", "part", "k").mapInArrow(_across_large(percent), "a long, b long"), "rest_links")
+    outsiders = F.col("n") - F.col("most.n")
+    mixed = written(nodes.where(outsiders > 0).select("node", F.ceil(F.col("n") / TILE).alias("parts"), F.ceil(outsiders / TILE).alias("tiles"), F.col("most.component").alias("most")), "mixed")
+    dealt = large.join(mixed, "node").withColumn("outside", F.col("component") != F.col("most")).withColumn("own", F.pmod(F.xxhash64("k", "node"), F.col("parts"))).withColumn("in", F.pmod(F.xxhash64("node", "k"), F.col("tiles")))
+    # every class is at home in its part, against all tiles; those outside are in their tile, against all parts
+    places = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    here = dealt.withColumn("part", F.col("own")).withColumn("tile", F.explode(places(F.col("tiles")))).withColumn("home", F.lit(True)).withColumn("outside", F.col("outside") & (F.col("tile") == F.col("in")))
+    away = dealt.where("outside").withColumn("tile", F.col("in")).withColumn("part", F.explode(places(F.col("parts")))).where("part <> own").withColumn("home", F.lit(False))
+    columns = ("node", "part", "tile", "k", "sketch", "component", "home", "outside")
+    spread = here.select(*columns).unionByName(away.select(*columns)).join(sets, "k")
+    rest = written(spread.repartition(F.col("node"), F.col("part"), F.col("tile")).sortWithinPartitions("node", "part", "tile", "k").mapInArrow(_across_large(percent), "a long, b long"), "rest_links")
 
     last = connected_components(links.unionByName(more).unionByName(rest))
     joined = classes.join(last.withColumnRenamed("vertex", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))

@@ -212,6 +212,24 @@ def test_near_duplicates(spark, data, shingle):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == Counter((i, n, c, i == c) for (i, _), (n, c) in zip(both, expected, strict=True))
 
 
+@pytest.mark.parametrize("tile", [1024, 40])
+def test_near_duplicates_below_the_threshold(spark, monkeypatch, tile):
+    """A family of which no two are linked but for a few pairs stays apart, also when it is cut into many tiles."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    pick = random.Random(11)
+    base = [f"w{k}" for k in range(200)]
+    data = []
+    for i in range(300):
+        text = list(base)
+        for k in pick.sample(range(200), 14):
+            text[k] = f"x{i}y{k}"
+        data.append((i, " ".join(text)))
+    for i in range(0, 40, 4):  # near copies of some
+        data.append((1000 + i, data[i][1].replace("w100", "other")))
+    got = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), shingle=2)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: c for (i, _), (_, c) in zip(data, brute.components(data, 2), strict=True)}
+
+
 def test_near_duplicates_in_a_large_group(spark):
     """More near copies of one text than a small node holds, some of them only linked through others."""
     pick = random.Random(8)
@@ -239,7 +257,7 @@ def test_large_nodes_compare_across_components():
         sets.append(np.array(sorted(s), np.uint64))
     flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
     sketches = [s.tobytes() for s in near_dedup._sketches(flat, sizes)]
-    rows = pa.RecordBatch.from_pydict({"node": [1] * 40, "part": [0] * 40, "k": list(range(40)), "sketch": sketches, "component": list(range(40)), "home": [True] * 40, "outside": [True] * 40, "set": [s.tobytes() for s in sets]})
+    rows = pa.RecordBatch.from_pydict({"node": [1] * 40, "part": [0] * 40, "tile": [0] * 40, "k": list(range(40)), "sketch": sketches, "component": list(range(40)), "home": [True] * 40, "outside": [True] * 40, "set": [s.tobytes() for s in sets]})
     links = [(a, b) for batch in near_dedup._across_large(80)([rows]) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
     up = list(range(40))
 

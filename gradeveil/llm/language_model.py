@@ -301,7 +301,7 @@ def score_documents(docs: DataFrame, *, size: int = 16, rounds: int = 3, rate: f
         blocks, buckets = table["block"].to_pylist(), table["bucket"].to_pylist()
         return pa.table({"block": pa.array([*blocks, SUMS, FREQUENT], pa.int64()), "bucket": pa.array([*buckets, buckets[0], buckets[0]], pa.int32()), "answer": pa.array(answers, pa.binary())})
 
-    answers = written(blocks.mapInArrow(send, MESSAGE).groupBy("bucket").applyInArrow(count, ANSWER), "counts")
+    answers = written(blocks.mapInArrow(send, MESSAGE).repartition(n, "bucket").groupBy("bucket").applyInArrow(count, ANSWER), "counts")
     words, train_tokens, n_types, end_count = _vocabulary(answers, blocks, min_share)
     shared = spark.sparkContext.broadcast(words)
     by_block = answers.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))

@@ -95,7 +95,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, doc_
         return out.filter(pc.is_valid(out["answer"]))
 
     sent = blocks.select("block", "sent").mapInArrow(send, SENT)
-    answers = sent.groupBy("bucket").applyInArrow(shard, ANSWERS)
+    answers = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(shard, ANSWERS)
     answered = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
     fields = rows.schema
 

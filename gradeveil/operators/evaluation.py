@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -112,11 +113,42 @@ def redaction_pixels(sensitive: DataFrame, redactions: DataFrame) -> DataFrame:
     return joined.select(s.alias("sensitive"), r.alias("redacted"), c.alias("covered"), (s - c).alias("missed"), (r - c).alias("excess"), ratio(c, s).alias("coverage"), ratio(c, r).alias("precision"), ratio(r - c, r).alias("excess_rate"))
 
 
+#: Slots into which the values of a group are counted to find a rank.
+SLOTS = 4096
+
+
 def summary(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """n, min, median, mean, p95 (nearest rank) and max of the finite numbers of a column."""
-    ok = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    v = F.col(value)
-    return ok.groupBy(*(keys or [])).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.median(v).alias("median"), F.avg(v).alias("mean"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{value}`)").alias("p95"), F.max(v).alias("max"))
+    """n, min, median, mean, p95 (nearest rank) and max of the finite numbers of a column; no row for a group without.
+
+    Ranks are found in two steps, so that no task holds a group's values: the values are counted in SLOTS equal parts
+    of the group's range, then the distinct values of the slots that hold a wanted rank are counted."""
+    out = list(keys or [])
+    keys = [*out, "__all"]
+    ok = df.withColumn("__all", F.lit(0)).select(*keys, F.col(value).cast("double").alias("v")).where(F.abs("v") < float("inf"))
+    sums = ok.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"))
+    width = (F.col("max") - F.col("min")) / SLOTS
+    slot = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("min")) / width), F.lit(SLOTS - 1))).otherwise(0).cast("long")
+    slotted = _equal_join(ok, sums.select(*keys, "n", "min", "max"), keys).select(*keys, "v", "n", slot.alias("slot"))
+    ranks = F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1, F.ceil(F.col("n") * 19 / 20))
+
+    def upto(counts: DataFrame, by: list[str], order: str) -> DataFrame:
+        return counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+    slots = upto(slotted.groupBy(*keys, "slot", "n").agg(F.count(F.lit(1)).alias("c")), keys, "slot")
+    wanted = slots.select(*keys, "slot", "upto", (F.col("upto") - F.col("c")).alias("before"), F.posexplode(ranks).alias("which", "rank")).where("rank > before and rank <= upto")
+    inside = _equal_join(slotted.select(*keys, "slot", "v"), wanted.select(*keys, "slot", "before").distinct(), [*keys, "slot"])
+    values = upto(inside.groupBy(*keys, "slot", "before", "v").agg(F.count(F.lit(1)).alias("c")), [*keys, "slot"], "v").withColumn("upto", F.col("upto") + F.col("before"))
+    hit = _equal_join(values.drop("before"), wanted.select(*keys, "slot", "which", "rank"), [*keys, "slot"]).where("rank <= upto and rank > upto - c")
+    ranked = lambda i: F.max(F.when(F.col("which") == i, F.col("v")))
+    found = hit.groupBy(*keys).agg(((ranked(0) + ranked(1)) / 2).alias("median"), ranked(2).alias("p95"))
+    return _equal_join(sums, found, keys).select(*out, "n", "min", "median", "mean", "p95", "max")
+
+
+def _equal_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on keys that may be null."""
+    renamed = right.select(*(F.col(c).alias(f"__{c}" if c in keys else c) for c in right.columns))
+    on = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.lit(True))
+    return left.join(renamed, on).drop(*(f"__{k}" for k in keys))
 
 
 def grade_counts(df: DataFrame, grade: str = "grade") -> DataFrame:
@@ -127,15 +159,6 @@ def grade_counts(df: DataFrame, grade: str = "grade") -> DataFrame:
 
 
 def coverage(cases: DataFrame, observations: DataFrame, case_id: str = "case_id") -> DataFrame:
-    """Cases in all, observed ones, and the first hundred of those that are missing."""
-    seen = observations.select(case_id).distinct()
-    missing = cases.select(case_id).distinct().join(seen, case_id, "left_anti")
-    first = missing.orderBy(case_id).limit(100).agg(F.sort_array(F.collect_list(case_id)).alias("missing"))
-    total = cases.select(case_id).distinct().agg(F.count("*").alias("total"))
-    return total.join(cases.select(case_id).distinct().join(seen, case_id, "left_semi").agg(F.count("*").alias("observed"))).join(first)
-
-
-def coverage_rows(cases: DataFrame, observations: DataFrame, case_id: str = "case_id") -> DataFrame:
     """Cases in all and observed ones in one row, and each missing case in a row of its own, where both are null. No
     list is built, however many are missing."""
     seen = observations.select(case_id).distinct().withColumn("__seen", F.lit(True))

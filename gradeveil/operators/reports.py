@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,18 @@ def handles(redactions: DataFrame, key: str, kind: str = "kind", order: str = "p
     return redactions.withColumn("handle", F.concat(F.lit("["), F.upper(kind), F.lit("_"), of_kind, F.lit("]"))).withColumn("field", F.concat(F.lit("FIELD_"), of_all))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], part: str, out: str) -> DataFrame:
+    """df with the number, from 1, of each row among those of its keys in an order. part: a column that never falls in
+    that order (a day); rows are numbered within it and the counts of the parts before are added, so that a key with
+    many rows is not one task."""
+    counts = df.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*(F.col(c).alias(f"__{c}") for c in (*keys, part)), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__{c}")), (*keys, part), F.lit(True))
+    within = df.withColumn("__row", F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order)))
+    return within.join(offsets, same).withColumn(out, F.col("__row") + F.col("__before")).drop("__row", "__before", *(f"__{c}" for c in (*keys, part)))
+
+
 def transfers(sources: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Source fields (keys, source_id, label, value) with the one target control (keys, target_id, label, disabled) whose
     label has the same key: status transferred, ambiguous, unmatched or disabled. A field goes over only if exactly one

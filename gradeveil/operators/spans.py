@@ -1,7 +1,7 @@
 """Findings in texts: all matches of a profile's patterns with offsets, overlaps resolved, graded and redacted.
 
 A finding is a struct of start, end (half open, in code points), kind, category and min_grade. Everything is done per
-row with built-in expressions; rows without any character that a pattern needs skip the patterns.
+row with built-in expressions; a pattern is tried only on texts that hold a literal or a digit which it needs.
 """
 
 from __future__ import annotations
@@ -11,12 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeveil.functions import policy
+from gradeveil.functions import guards, policy
 from gradeveil.functions.columns import bound
 
 FINDING = "struct<start:int,end:int,kind:string,category:string,min_grade:int>"
-#: Every pattern needs a digit, a separator behind a label, or one of these words.
-TRIGGER = r"[0-9@:=\-]|(?i:bearer)"
 
 
 def normalized(text: Column) -> Column:
@@ -53,11 +51,16 @@ def _listed(values: Sequence) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def _candidates(text: Column, patterns: Sequence[policy.Pattern]) -> Column:
-    """All matches. Each pattern is tested as a literal, which Spark compiles once; the few that hit are looked up by
-    their number, so that the plan has one matching expression and not one per pattern."""
+def _hits(text: Column, fold: Column, digits: Column, patterns: Sequence[policy.Pattern]) -> Column:
+    """Numbers of the patterns that match, from 1. Each is tested as a literal, which Spark compiles once."""
+    tested = (guards.may_match(fold, digits, p.regex) & text.rlike(policy.java_pattern(p, "client")) for p in patterns)
+    return F.filter(F.array(*(F.when(t, F.lit(i + 1)) for i, t in enumerate(tested))), lambda i: i.isNotNull())
+
+
+def _candidates(text: Column, hits: Column, patterns: Sequence[policy.Pattern]) -> Column:
+    """All matches of the patterns with these numbers. They are looked up by number, so that the plan has one matching
+    expression and not one per pattern."""
     regexes = [policy.java_pattern(p, "client") for p in patterns]
-    hits = F.filter(F.array(*(F.when(text.rlike(r), F.lit(i + 1)) for i, r in enumerate(regexes))), lambda i: i.isNotNull())
     categories = [policy.category_of(p.kind) for p in patterns]
 
     def of(i: Column) -> Column:
@@ -106,12 +109,14 @@ def with_findings(df: DataFrame, text: str = "text", *, known: str | None = None
     """df with an array of resolved findings in the text as it stands; `known`: a column with an array of values that
     are to be found too. A null text has no findings."""
     t = F.col(text)
-    df = df.withColumn("__candidates", F.when(t.rlike(TRIGGER), _candidates(t, patterns)))
+    df = df.withColumn("__fold", guards.folded(t)).withColumn("__digits", guards.digits_in(t))
+    df = df.withColumn("__hits", _hits(t, F.col("__fold"), F.col("__digits"), patterns))
+    df = df.withColumn("__candidates", F.when(F.size("__hits") > 0, _candidates(t, F.col("__hits"), patterns)))
     if known:
         extra = F.when(F.size(known) > 0, _known(t, F.col(known)))
         df = df.withColumn("__candidates", F.when(extra.isNotNull() & F.col("__candidates").isNotNull(), F.concat("__candidates", extra)).otherwise(F.coalesce(F.col("__candidates"), extra)))
     some = F.when(F.size("__candidates") > 0, resolved(F.col("__candidates")))
-    return df.withColumn(out, F.coalesce(some, F.array().cast(f"array<{FINDING}>"))).drop("__candidates")
+    return df.withColumn(out, F.coalesce(some, F.array().cast(f"array<{FINDING}>"))).drop("__candidates", "__hits", "__fold", "__digits")
 
 
 def for_grade(findings: Column, grade: int | Column) -> Column:

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import base64
-from functools import reduce
-from urllib.parse import quote, quote_plus
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gradeveil.functions import policy
-from gradeveil.functions.columns import first_match, hmac_sha256
+from gradeveil.functions import guards, policy
+from gradeveil.functions.columns import bound, first_match, hmac_sha256
 from gradeveil.operators import classify, spans
 
 # Digits of other scripts, and dashes.
@@ -46,24 +42,28 @@ def is_placeholder(text: Column) -> Column:
     return text.rlike(PLACEHOLDER)
 
 
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
 def floor_hit(text: Column, grade: int) -> Column:
     """The first of the server profile's patterns that a text violates at a grade, or null. Placeholders pass."""
     own = [p for p in policy.SERVER_FLOOR if p.min_grade <= grade]
     shared = [p for p in policy.SHARED if policy.grade_of(p.kind) <= grade]
     order = [p for p in own if p.min_grade == 1] + shared + [p for p in own if p.min_grade > 1]
-    hits = [(text.rlike(policy.java_pattern(p, "server")), p.kind) for p in order]
-    return F.when(~is_placeholder(text) & (text != ""), first_match(hits))
+    return F.when(~is_placeholder(text) & (text != ""), _first_hit(text, order))
+
+
+def _first_hit(text: Column, patterns: list[policy.Pattern]) -> Column:
+    """The kind of the first pattern that a text matches; each is tried only where the text holds what it needs."""
+
+    def decide(x: Column) -> Column:
+        return first_match([(guards.may_match(x["fold"], x["digits"], p.regex) & text.rlike(policy.java_pattern(p, "server")), p.kind) for p in patterns])
+
+    return bound(F.struct(guards.folded(text).alias("fold"), guards.digits_in(text).alias("digits")), decide)
 
 
 def rejected_by_floor(df: DataFrame, text: str, grade: int, out: str = "rejected") -> DataFrame:
     """Whether the floor rejects a text as it stands, or the shared patterns its normalised form. Null texts pass."""
     df = df.withColumn("__n", for_detection(F.col(text)))
     shared = [p for p in policy.SHARED if policy.grade_of(p.kind) <= grade]
-    folded = _any([F.col("__n").rlike(policy.java_pattern(p, "server")) for p in shared]) & ~is_placeholder(F.col(text))
+    folded = _first_hit(F.col("__n"), shared).isNotNull() & ~is_placeholder(F.col(text))
     return df.withColumn(out, F.coalesce(floor_hit(F.col(text), grade).isNotNull() | folded, F.lit(False))).drop("__n")
 
 
@@ -78,43 +78,87 @@ def canary_forms(canaries: DataFrame, profile: str = "client") -> DataFrame:
     """canary_id, form and needle: the forms in which a planted value may turn up. client: plain, URL and base64, from
     three characters; verifier: with URL-plus and URL-safe base64 too, from one."""
 
-    def forms(value: str) -> list[tuple[str, str]]:
-        raw = value.encode()
-        # the client leaves !'()* as they are
-        if profile == "client":
-            return [("plain", value), ("url", quote(value, safe="!'()*-._~")), ("base64", base64.b64encode(raw).decode())]
-        return [("plain", value), ("url", quote(value, safe="")), ("urlPlus", quote_plus(value)), ("base64", base64.b64encode(raw).decode()), ("base64Url", base64.urlsafe_b64encode(raw).rstrip(b"=").decode())]
+    def swapped(c: Column, pairs: dict[str, str]) -> Column:
+        for old, new in pairs.items():
+            c = F.replace(c, F.lit(old), F.lit(new))
+        return c
 
-    listed = F.udf(forms, "array<struct<form:string,needle:string>>")
-    least = 3 if profile == "client" else 1
-    return canaries.select("canary_id", F.explode(listed(F.trim("value"))).alias("f"), F.length(F.trim("value")).alias("n")).where(f"n >= {least}").select("canary_id", "f.form", "f.needle").distinct()
+    v = F.trim("value")
+    form, base64 = swapped(F.url_encode(v), {"%7E": "~"}), F.base64(F.encode(v, "UTF-8"))
+    if profile == "client":  # leaves !'()* as they are
+        forms = {"plain": v, "url": swapped(form, {"+": "%20", "%21": "!", "%27": "'", "%28": "(", "%29": ")"}), "base64": base64}
+    else:
+        plus = swapped(form, {"*": "%2A"})
+        forms = {"plain": v, "url": swapped(plus, {"+": "%20"}), "urlPlus": plus, "base64": base64, "base64Url": F.rtrim(F.translate(base64, "+/", "-_"), F.lit("="))}
+    listed = F.explode(F.array(*(F.struct(F.lit(name).alias("form"), needle.alias("needle")) for name, needle in forms.items())))
+    return canaries.where(F.length(v) >= (3 if profile == "client" else 1)).select("canary_id", listed.alias("f")).select("canary_id", "f.form", "f.needle").distinct()
 
 
-#: Canaries that are searched in every text of one pass; more go in further passes.
-CANARY_BLOCK = 500
+#: Characters of the needles that are searched in one pass; more go in further passes.
+CANARY_CHARS = 8_000_000
+BARE = r"[^\p{L}\p{N}]"
 
 
 def canary_leaks(df: DataFrame, canaries: DataFrame, text: str, key: str, profile: str = "client") -> DataFrame:
     """key, canary_id and form of each planted value that a text holds, in order. The canaries are a query set: they
-    are searched in blocks, so that no join of all texts with all canaries arises. verifier: eight letters and digits
-    or more are also found with anything between them (form separated)."""
-    needles = [(r.canary_id, r.form, r.needle) for r in canary_forms(canaries, profile).orderBy("canary_id", "form").toLocalIterator()]
-    out = None
-    squeezed_text = F.regexp_replace(F.upper(F.col(text)), r"[^\p{L}\p{N}]", "") if profile == "verifier" else F.lit(None)
-    df = df.select(key, (F.lower(F.col(text)) if profile == "client" else F.col(text)).alias("__text"), squeezed_text.alias("__bare"))
-    lowered, bare = F.col("__text"), F.col("__bare")
-    for k in range(0, max(1, len(needles)), CANARY_BLOCK):
-        tests = []
-        for canary, form, needle in needles[k : k + CANARY_BLOCK]:
-            tests.append(F.when(F.contains(lowered, F.lit(needle.lower() if profile == "client" else needle)), F.struct(F.lit(canary).alias("canary_id"), F.lit(form).alias("form"))))
-            squeezed = "".join(c for c in needle.upper() if c.isalnum())
-            if profile == "verifier" and form == "plain" and len(squeezed) >= 8:
-                tests.append(F.when(F.contains(bare, F.lit(squeezed)) & ~F.contains(lowered, F.lit(needle)), F.struct(F.lit(canary).alias("canary_id"), F.lit("separated").alias("form"))))
-        if not tests:
-            tests = [F.lit(None).cast("struct<canary_id:string,form:string>")]
-        found = df.select(key, F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("leak")).select(key, "leak.canary_id", "leak.form")
-        out = found if out is None else out.unionByName(found)
-    return out.dropDuplicates([key, "canary_id", "form"])
+    are searched in blocks of bounded size, each with one automaton that reads a text once, so that no join of all
+    texts with all canaries arises. verifier: eight letters and digits or more are also found with anything between
+    them (form separated)."""
+    spark, t = df.sparkSession, F.col(f"`{text}`")
+    client = profile == "client"
+    forms = canary_forms(canaries, profile)
+    bare = F.when((F.col("form") == "plain") & F.lit(not client), F.regexp_replace(F.upper("needle"), BARE, ""))
+    forms = forms.select("canary_id", "form", (F.lower("needle") if client else F.col("needle")).alias("needle"), F.when(F.length(bare) >= 8, bare).alias("bare"))
+    texts = df.select(F.col(f"`{key}`").alias("__key"), (F.lower(t) if client else t).alias("__text"), (F.lit(None).cast("string") if client else F.regexp_replace(F.upper(t), BARE, "")).alias("__bare")).where("__text is not null")
+    kinds = dict(texts.dtypes)["__key"], dict(forms.dtypes)["canary_id"]
+
+    def search(shared) -> DataFrame:
+        def run(batches):
+            import ahocorasick
+            import pyarrow as pa
+
+            needles = shared.value
+            plain, squeezed = ahocorasick.Automaton(), ahocorasick.Automaton()
+            for automaton, at in ((plain, 2), (squeezed, 3)):
+                numbers: dict[str, list[int]] = {}
+                for i, needle in enumerate(needles):
+                    if needle[at]:
+                        numbers.setdefault(needle[at], []).append(i)
+                for word, i in numbers.items():
+                    automaton.add_word(word, i)
+                automaton.make_automaton()
+            found_in = lambda automaton, value: {i for _, each in automaton.iter(value) for i in each} if value and len(automaton) else set()
+            for batch in batches:
+                rows, leaks, names = [], [], []
+                for row, (value, bare) in enumerate(zip(batch.column("__text").to_pylist(), batch.column("__bare").to_pylist(), strict=True)):
+                    hits = found_in(plain, value)
+                    for i in sorted(hits):
+                        rows.append(row)
+                        leaks.append(needles[i][0])
+                        names.append(needles[i][1])
+                    for i in sorted(found_in(squeezed, bare) - hits):
+                        rows.append(row)
+                        leaks.append(needles[i][0])
+                        names.append("separated")
+                yield pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array(rows, pa.int64())), pa.array(leaks, leak_type), pa.array(names, pa.string())], names=["__key", "canary_id", "form"])
+
+        return texts.mapInArrow(run, f"__key {kinds[0]}, canary_id {kinds[1]}, form string")
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    leak_type = to_arrow_type(forms.schema["canary_id"].dataType)
+    out, held, chars = None, [], 0
+
+    def searched(out: DataFrame | None) -> DataFrame:
+        found = search(spark.sparkContext.broadcast(list(held)))
+        return found if out is None else out.unionByName(found)
+
+    for r in forms.toLocalIterator():
+        if held and chars + len(r.needle) > CANARY_CHARS:
+            out, held, chars = searched(out), [], 0
+        held.append((r.canary_id, r.form, r.needle, r.bare))
+        chars += len(r.needle)
+    return searched(out).dropDuplicates().withColumnRenamed("__key", key)
 
 
 def has_unsafe_keys(json: Column) -> Column:

@@ -116,9 +116,12 @@ def card_luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digits.groupBy("doc_id", "digits").agg(F.count("*").alias("n")).withColumn("valid", luhn(F.col("digits")))
 
 
-@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[\x{2010}-\x{2015}\x{2212}]', '-', 'g'), '[\s\v]*([@.])[\s\v]*', '\1', 'g'), '([0-9])[\s\v]+([0-9])', '\1\2', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, '[0-9]\s+[0-9]\s+[0-9]')")
+JOINED_DIGITS = r"regexp_replace({}, '([0-9])[\s\v]+([0-9])', '\1\2', 'g')"
+
+
+@query(rf"SELECT doc_id, sha256({JOINED_DIGITS.format(JOINED_DIGITS.format('t'))}) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x{{2010}}-\x{{2015}}\x{{2212}}]', '-', 'g'), '[\s\v]*([@.])[\s\v]*', '\1', 'g') AS t FROM documents)")
 def normalized_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL leaves out texts with spaced digits, which RE2 cannot join, and null ones; the query has all rows."""
+    """The SQL joins spaced digits in two passes, as a digit between two blanks takes part in two pairs."""
     return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(texts.for_detection(F.col("text"), compatibility=False), 256).alias("digest"))
 
 
@@ -127,9 +130,8 @@ def normalized_nfkc_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(texts.for_detection(F.col("text")), 256).alias("digest"))
 
 
-@query("SELECT doc_id, item_id AS canary_id, 'plain' AS form FROM documents JOIN benchmark b ON contains(lower(documents.text), lower(trim(b.text[:60]))) WHERE length(trim(b.text[:60])) >= 3")
+@query("SELECT doc_id, item_id AS canary_id, 'plain' AS form FROM documents JOIN benchmark b ON contains(lower(documents.text), lower(trim(b.text))) WHERE length(trim(b.text)) >= 3")
 def known_value_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL searches the first 60 characters of each value, the query whole values."""
     values = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("canary_id"), F.col("text").alias("value"))
     return texts.canary_leaks(_t(spark, sf_dir, "documents"), values, "text", "doc_id")
 
@@ -275,17 +277,11 @@ def missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS observed, (SELECT list(doc_id ORDER BY doc_id)[:100] FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing FROM documents")
+@query("SELECT count(*) AS total, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS observed, NULL::BIGINT AS missing FROM documents UNION ALL SELECT NULL, NULL, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred missing ids, as the SQL has it; label_coverage_rows has all."""
     return evaluation.coverage(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id")
 
 
-@query()
-def label_coverage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.coverage_rows(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id")
-
-
 @query("SELECT g.grade, count(l.doc_id) AS observations FROM (VALUES (1), (2), (3)) g(grade) LEFT JOIN labels l ON quality + 1 = g.grade GROUP BY g.grade")
 def observations_per_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.grade_counts(_t(spark, sf_dir, "labels").select((F.col("quality") + 1).alias("grade")))
@@ -314,8 +310,9 @@ def lineitem_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, '[' || upper(event_type) || '_' || row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) || ']' AS handle FROM events")
 def event_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return _t(spark, sf_dir, "events").select("event_id", F.concat(F.lit("["), F.upper("event_type"), F.lit("_"), number, F.lit("]")).alias("handle"))
+    events = _t(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    numbered = reports.numbered(events, ["event_type"], ["ts", "event_id"], "day", "number")
+    return numbered.select("event_id", F.concat(F.lit("["), F.upper("event_type"), F.lit("_"), "number", F.lit("]")).alias("handle"))
 
 
 @query("SELECT event_type, count(*) AS events FROM events GROUP BY event_type")

@@ -62,6 +62,6 @@ def test_known_values_are_whole(spark, table):
 def test_label_coverage_has_all_missing_ids(spark, table):
     table("labels", [(i, 1, 0) for i in range(0, 1000, 4)], "doc_id long, quality int, toxic int")
     path = table("documents", [(i, "t") for i in range(1000)], "doc_id long, text string")
-    rows = catalogue.QUERIES["label_coverage_rows"](spark, path).collect()
+    rows = catalogue.QUERIES["label_coverage"](spark, path).collect()
     assert [(r.total, r.observed) for r in rows if r.total is not None] == [(1000, 250)]
     assert sorted(r.missing for r in rows if r.total is None) == [i for i in range(1000) if i % 4]

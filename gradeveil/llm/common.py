@@ -19,6 +19,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -276,5 +277,18 @@ def one_by_one(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     pa.default_memory_pool().release_unused()
 
 
+def one_blas_thread() -> None:
+    """Spark runs one task a core; matrix products in further threads would only take other tasks' time. Does nothing
+    where numpy's library is another or can't be found."""
+    import ctypes
+
+    maps = Path("/proc/self/maps")
+    for path in {line.split()[-1] for line in maps.read_text().splitlines() if "openblas" in line} if maps.exists() else ():
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def pieces_for(total: float, each: float) -> int:
     return max(1, math.ceil(total / each))

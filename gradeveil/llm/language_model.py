@@ -25,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeveil.llm.common import NULL_ID, buckets_of, cut, dump, hashed, id_array, load, mix, one_by_one, row_batch, tree_sum, written
+from gradeveil.llm.common import NULL_ID, buckets_of, cut, dump, hashed, id_array, load, mix, one_blas_thread, one_by_one, row_batch, tree_sum, written
 from gradeveil.llm.word_blocks import WordBlock, word_blocks
 
 #: Words with a class of their own, classes of other words; then come the end and, in contexts only, the begin.
-TOP, SHARED = 255, 256
+TOP, SHARED = 63, 192
 CLASSES = TOP + SHARED + 1
 END, BEGIN = CLASSES - 1, CLASSES
 SUFFIX = 3
+#: Tokens whose scores are normalised at a time: few enough for a core's cache.
+CHUNK = 512
 #: Rows in which a task sends its parameters.
 SLICES = 64
 MESSAGE = "bucket int, block long, sent binary"
@@ -116,7 +118,7 @@ class Vocabulary:
 
 def _added(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers of `at`, and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at)
     ordered = at[order]
     begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     return ordered[begins], np.add.reduceat(rows[order], begins, axis=0)
@@ -222,30 +224,36 @@ class LogBilinear:
     def log_probabilities(self, s1: np.ndarray, s2: np.ndarray, target: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Natural logs, normalised over all classes and over the items of the token's class."""
         out = np.empty(len(target))
-        for k in range(0, len(target), 16_384):
-            part = slice(k, k + 16_384)
-            scores = self.context(s1[part], s2[part]) @ self.outputs.T + self.bias
-            most = scores.max(1)
-            own = scores[np.arange(len(scores)), target[part]]
-            scores -= most[:, None]
-            out[part] = own - most - np.log(np.exp(scores, out=scores).sum(1))
+        inputs = [np.ascontiguousarray(self.inputs * m) for m in self.mix]
+        outputs = np.ascontiguousarray(self.outputs.T)
+        contexts = np.empty((len(target), self.size), np.float32)
+        for k in range(0, len(target), CHUNK):
+            part = slice(k, k + CHUNK)
+            h = contexts[part] = inputs[0][s1[part]] + inputs[1][s2[part]]
+            out[part] = _log_softmax(h @ outputs + self.bias, target[part])
         parted = np.flatnonzero(item >= 0)
         parted = parted[np.argsort(target[parted], kind="stable")]
         ends = np.searchsorted(target[parted], np.arange(CLASSES + 1))
         for c in range(TOP, TOP + SHARED):
             first, last = self.first_item[c], self.first_item[c + 1]
-            tokens = parted[ends[c] : ends[c + 1]]
             if last - first < 2:  # only rare words
                 continue
-            for k in range(0, len(tokens), 16_384):
-                some = tokens[k : k + 16_384]
-                scores = self.context(s1[some], s2[some]) @ self.item_outputs[first:last].T + self.item_bias[first:last]
-                most = scores.max(1)
-                own = scores[np.arange(len(some)), item[some] - first]
-                out[some] += own - most - np.log(np.exp(scores - most[:, None]).sum(1))
+            vectors = np.ascontiguousarray(self.item_outputs[first:last].T)
+            for k in range(ends[c], ends[c + 1], CHUNK):
+                some = parted[k : min(k + CHUNK, ends[c + 1])]
+                out[some] += _log_softmax(contexts[some] @ vectors + self.item_bias[first:last], item[some] - first)
         return out
 
 
+def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The normalised log of one score in each row. scores are spoilt."""
+    own = scores[np.arange(len(scores)), at]
+    most = scores.max(1)
+    scores -= most[:, None]
+    np.exp(scores, out=scores)
+    return own - most - np.log(scores.sum(1))
+
+
 def _sequence(counts: np.ndarray, codes: np.ndarray, classes: np.ndarray, symbols: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of all texts with their ends: the symbols of the two tokens before each, its class and item, and its text."""
     ends = np.cumsum(counts)
@@ -261,7 +269,7 @@ def _sequence(counts: np.ndarray, codes: np.ndarray, classes: np.ndarray, symbol
     return s1, s2, target, item, row
 
 
-def score_documents(docs: DataFrame, *, size: int = 16, rounds: int = 3, rate: float = 0.1, batch: int = 1024, samples: int = 64, item_samples: int = 4, min_count: int = 30, min_share: float = 2e-5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, *, size: int = 16, rounds: int = 3, rate: float = 0.1, batch: int = 1024, samples: int = 64, item_samples: int = 2, min_count: int = 30, min_share: float = 2e-5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores every text by a model of those whose id is not held out; one row per row of docs.
 
     Tokens are lower-cased (A-Z) words and one end. base_score: log10 of the smoothed unigram probability; score: log10
@@ -331,6 +339,7 @@ def score_documents(docs: DataFrame, *, size: int = 16, rounds: int = 3, rate: f
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
+        one_blas_thread()
         lbl = LogBilinear(model.value, size, shared.value)
         for r in one_by_one(batches):
             ids, counts, codes, classes, symbols, items, known, inside = load(r["coded"])
@@ -385,6 +394,7 @@ def _round(blocks: DataFrame, parameters: np.ndarray, words, size: int, rate: fl
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        one_blas_thread()
         model, n = None, 0
         for r in one_by_one(batches):
             ids, counts, codes, classes, symbols, items, _, _ = load(r["coded"])

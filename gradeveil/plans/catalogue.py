@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,29 +12,14 @@ from gradeveil.functions import policy
 from gradeveil.functions.columns import luhn
 from gradeveil.operators import boxes, classify, documents, evaluation, reports, spans, texts, validation
 from gradeveil.plans import planners
+from gradeveil.plans.registry import ORACLE_SQL, QUERIES, query
+from gradeveil.plans.registry import table as _t
 from gradeveil.sources import readers
 from gradeveil.streaming import stateful
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 ALIAS_KEY = b"gradeveil demonstration key"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # Texts. The standard tables hold e-mail addresses, card numbers and IP addresses, so their SQL knows these three.
 
 NORMAL = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"

@@ -186,3 +186,9 @@ def value_after_label(line: Column, text: Column, value_start: Column) -> Column
     share = clamp(value_start / F.greatest(F.lit(1), F.length(text)), F.lit(0.0), F.lit(1.0))
     x = line["x"] + line["width"] * share
     return F.when(value_start < F.length(text), rect(x, line["y"], F.greatest(F.lit(1.0), right(line) - x), line["height"])).otherwise(line)
+
+
+def contrasted(r: Column, g: Column, b: Column) -> Column:
+    """The luminance of a colour, its distance from the middle stretched by 1.8, from 0 to 255."""
+    luminance = r * 0.299 + g * 0.587 + b * 0.114
+    return clamp((luminance - 128) * 1.8 + 128, F.lit(0.0), F.lit(255.0))

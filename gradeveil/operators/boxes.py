@@ -141,3 +141,19 @@ def decode_corners(boxes: Column, scores: Column, width: Column, height: Column,
     good = F.filter(both, lambda d: (d["s"] >= min_score) & (d["c"][2] > d["c"][0]) & (d["c"][3] > d["c"][1]))
     found = F.transform(good, lambda d: F.struct(g.clipped(d["c"][0] * width, d["c"][1] * height, d["c"][2] * width, d["c"][3] * height, width, height).alias("bounds"), d["s"].cast("double").alias("score")))
     return g.suppressed(found, nms)
+
+
+# Kinds of redactions whose touching boxes are merged, in this order; others stay as they are.
+MERGED_KINDS = ["password", "sensitive-field", "pii-text", "uninspectable-frame"]
+
+
+def merged_redactions(redactions: DataFrame, keys: list[str], position: str = "position") -> DataFrame:
+    """keys, kind, source, field_label and bounds of redactions (keys, kind, source, field_label, bounds, position)
+    whose kinds are merged: bucketed by kind, then by source and label, touching boxes of a bucket joined in one pass
+    in the order of position. Buckets from patterns keep their source, all others come from the page."""
+    rows = redactions.where(F.col("kind").isin(MERGED_KINDS)).withColumn("__label", F.coalesce("field_label", F.lit("")))
+    listed = F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col("bounds").alias("b"))))
+    buckets = rows.groupBy(*keys, "kind", "source", "__label").agg(listed.alias("bs"))
+    merged = F.explode(g.merged(F.transform("bs", lambda x: x["b"])))
+    source = F.when(F.col("source") == "regex", "regex").otherwise("dom")
+    return buckets.select(*keys, "kind", source.alias("source"), F.when(F.col("__label") != "", F.col("__label")).alias("field_label"), merged.alias("bounds"))

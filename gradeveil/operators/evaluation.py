@@ -97,6 +97,11 @@ def detection_metrics(truths: DataFrame, predictions: DataFrame, matches: DataFr
     return sums.select(*(["kind"] if by_kind else []), *counts(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def mean_matched_iou(matches: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Mean quality of matches to six decimals, null where there are none."""
+    return matches.groupBy(*(keys or [])).agg(F.round(F.avg("quality"), 6).alias("mean_matched_iou"))
+
+
 def macro(per_kind: DataFrame) -> DataFrame:
     """Means over kinds, without those that have none."""
     return per_kind.agg(*(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1")))
@@ -182,6 +187,14 @@ def confusion(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "tn", *counts(F.col("tp"), F.col("fp"), F.col("fn")), F.round(low, 6).alias("precision_low"), F.round(high, 6).alias("precision_high"))
 
 
+def confusion_by_grade(rows: DataFrame, keys: list[str], category: str = "category") -> DataFrame:
+    """The confusion of each group, category and grade. rows: keys, category, min_grade, and booleans actual, predicted;
+    a category counts as expected or found at a grade only if it is hidden there."""
+    graded = rows.withColumn("grade", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    hidden = F.col("min_grade") <= F.col("grade")
+    return confusion(graded.withColumn("actual", F.col("actual") & hidden).withColumn("predicted", F.col("predicted") & hidden), [*keys, category, "grade"])
+
+
 def merged_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Intervals of a group with overlapping or touching ones merged."""
     order = Window.partitionBy(*keys).orderBy(start, end)

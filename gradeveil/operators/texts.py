@@ -99,6 +99,13 @@ CANARY_CHARS = 8_000_000
 BARE = r"[^\p{L}\p{N}]"
 
 
+def canaries_for_grade(canaries: DataFrame, grade: int, min_grade: str = "min_grade") -> DataFrame:
+    """The planted values that must not be seen at a grade: those whose least grade is at most it. A missing or unknown
+    grade counts as 1, so that the value is always looked for."""
+    least = F.col(min_grade)
+    return canaries.where(F.when(least.between(1, 3), least).otherwise(1) <= grade)
+
+
 def canary_leaks(df: DataFrame, canaries: DataFrame, text: str, key: str, profile: str = "client") -> DataFrame:
     """key, canary_id and form of each planted value that a text holds, in order. The canaries are a query set: they
     are searched in blocks of bounded size, each with one automaton that reads a text once, so that no join of all
@@ -265,3 +272,9 @@ def origin_alias(origin: Column, key: bytes) -> Column:
 
 def origin_of(url: Column) -> Column:
     return F.concat(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.lit("://"), F.lower(F.try_parse_url(url, F.lit("AUTHORITY"))))
+
+
+def element_id(snapshot: Column, position: Column) -> Column:
+    """A stable id of a page's element: e_ and the first 18 bytes of a digest in URL-safe base64."""
+    digest = F.unhex(F.substring(F.sha2(F.concat_ws("\u0001", snapshot, position.cast("string")), 256), 1, 36))
+    return F.concat(F.lit("e_"), F.translate(F.base64(digest), "+/", "-_"))

@@ -224,6 +224,46 @@ def settings_violations(s: Column) -> Column:
     )
 
 
+CAPTURE = "type string, requestId string, screenshot string, canaries array<string>, task string, dom struct<elements:array<variant>,redactions:array<variant>,viewport:struct<width:double,height:double>>"
+
+
+def capture_request_valid(json: Column) -> Column:
+    """Whether JSON text is a request to sanitise a capture: its type and id, a PNG data URL, flags that are booleans, a
+    grade, at most 100 planted values of 500 characters, a task of 2000, and a page with a viewport."""
+    r = F.from_json(json, CAPTURE)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), path, "variant"))
+    flag = lambda path, required: (kind(path) == "BOOLEAN") if required else F.coalesce(kind(path), F.lit("BOOLEAN")) == "BOOLEAN"
+    tests = [
+        r["type"] == "SANITIZE_CAPTURE",
+        r["requestId"].rlike(UUID),
+        F.startswith(r["screenshot"], F.lit("data:image/png;base64,")),
+        F.length(r["screenshot"]) <= 16_000_022,
+        flag("$.allowFullMaskFallback", True),
+        flag("$.highAssuranceMode", False),
+        strict_int(json, "$.privacyGrade", 1, 3, required=True),
+        (F.size(r["canaries"]) <= 100) & F.forall(r["canaries"], lambda c: F.coalesce(F.length(c) <= 500, F.lit(False))),
+        F.coalesce(F.length(r["task"]), F.lit(0)) <= 2000,
+        r["dom"]["elements"].isNotNull() & r["dom"]["redactions"].isNotNull(),
+        (r["dom"]["viewport"]["width"] > 0) & (r["dom"]["viewport"]["height"] > 0),
+    ]
+    return F.coalesce(reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), tests), F.lit(False))
+
+
+def client_settings_valid(s: Column) -> Column:
+    """Whether a person's settings (struct of task, max_steps, api_key, grade, allow_transfer, source_tab, canaries) hold."""
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        no(F.length(F.trim(s["task"])) > 0)
+        & no(F.length(s["task"]) <= 2000)
+        & no(s["max_steps"].between(1, 30))
+        & no(F.length(s["api_key"]) <= 1000)
+        & no(s["grade"].between(1, 3))
+        & (s["source_tab"].isNull() | (s["source_tab"] >= 0))
+        & ~(no(s["allow_transfer"]) & s["source_tab"].isNull())
+        & no((F.size(s["canaries"]) <= 100) & F.forall(s["canaries"], lambda c: no(F.length(c) <= 500)))
+    )
+
+
 def masks_violations(df: DataFrame, pixels: DataFrame, masks: DataFrame, key: str, background: tuple[int, int, int] = (243, 244, 246)) -> DataFrame:
     """Masks (key, mask_id, bounds) whose pixels (key, x, y, r, g, b) are neither all black nor have a corner of the
     placeholder's background."""

@@ -63,50 +63,88 @@ class RateGate:
         return {"decision": "reserved", "amount": start - now}
 
 
+@dataclass
+class Clients:
+    """Sliding-window logs of many clients (the events' values) in one bounded table: a new client that finds it full
+    takes the place of the one whose last event is the oldest."""
+
+    limit: int = 120
+    window: float = 60.0
+    max_clients: int = 10_000
+    logs: dict[str, list[float]] = field(default_factory=dict)
+
+    def step(self, now: float, event_type: str, value: float) -> dict:
+        client = str(value)
+        if client not in self.logs and len(self.logs) >= self.max_clients:
+            del self.logs[min(self.logs, key=lambda c: self.logs[c][-1] if self.logs[c] else now)]
+        log = [t for t in self.logs.get(client, []) if t > now - self.window]
+        self.logs[client] = log
+        if len(log) >= self.limit:
+            return {"decision": "denied", "amount": float(max(1, int(log[0] + self.window - now + 0.999)))}
+        log.append(now)
+        return {"decision": "allowed", "amount": 0.0}
+
+
 @dataclass
 class JobTable:
-    """Jobs with a time to live and a cap: each event starts a job or, with an event type in `completions`, completes
-    the oldest running one. A full table first drops expired jobs, then the oldest completed one, else is full."""
+    """Jobs with a time to live and a cap. An event submits a job or, with an event type in `completions` or `failures`,
+    ends the oldest running one. As many jobs run as there is concurrency, others wait and are promoted when one ends. A
+    full table drops jobs that have ended, oldest first; without any it refuses."""
 
     ttl: float = 300.0
     cap: int = 16
     concurrency: int = 2
     completions: tuple[str, ...] = ("purchase",)
-    jobs: list[list] = field(default_factory=list)  # updated_at, state
+    failures: tuple[str, ...] = ("error",)
+    jobs: list[list] = field(default_factory=list)  # updated_at, state: queued, running, succeeded or failed
 
     def step(self, now: float, event_type: str, value: float) -> dict:
-        self.jobs = [j for j in self.jobs if j[0] > now - self.ttl]
-        running = [j for j in self.jobs if j[1] != "completed"]
-        if event_type in self.completions:
-            if not running:
+        self.jobs = [j for j in self.jobs if now - j[0] < self.ttl]
+        self._promote()
+        if event_type in self.completions or event_type in self.failures:
+            running = next((j for j in self.jobs if j[1] == "running"), None)
+            if running is None:
                 return {"decision": "not_found", "amount": float(len(self.jobs))}
-            running[0][:] = [now, "completed"]
-            return {"decision": "completed", "amount": float(len(self.jobs))}
-        if len(self.jobs) >= self.cap:
-            done = [j for j in self.jobs if j[1] == "completed"]
-            if not done:
+            running[:] = [now, "succeeded" if event_type in self.completions else "failed"]
+            self._promote()
+            return {"decision": running[1], "amount": float(len(self.jobs))}
+        while len(self.jobs) >= self.cap:
+            ended = [j for j in self.jobs if j[1] in ("succeeded", "failed")]
+            if not ended:
                 return {"decision": "queue_full", "amount": float(len(self.jobs))}
-            self.jobs.remove(min(done, key=lambda j: j[0]))
-        state = "running" if len(running) < self.concurrency else "queued"
-        self.jobs.append([now, state])
-        return {"decision": state, "amount": float(len(self.jobs))}
+            oldest = min(ended, key=lambda j: j[0])
+            self.jobs = [j for j in self.jobs if j is not oldest]
+        self.jobs.append([now, "queued"])
+        self._promote()
+        return {"decision": self.jobs[-1][1], "amount": float(len(self.jobs))}
+
+    def _promote(self) -> None:
+        """Lets waiting jobs run, in the order in which they came."""
+        free = self.concurrency - sum(j[1] == "running" for j in self.jobs)
+        for j in self.jobs:
+            if free > 0 and j[1] == "queued":
+                j[1], free = "running", free - 1
 
 
 @dataclass
 class ActionKeys:
-    """Refuses an action whose key is taken; a failure frees the key."""
+    """Refuses an action whose key is taken; a failure frees the key. Keys are forgotten `ttl` seconds after they were
+    taken (0: never), so that the table is bounded by the rate of actions."""
 
     failures: tuple[str, ...] = ("error",)
-    taken: list[float] = field(default_factory=list)
+    ttl: float = 0.0
+    taken: dict[str, float] = field(default_factory=dict)  # key, when it was taken; in that order
 
     def step(self, now: float, event_type: str, value: float) -> dict:
+        while self.ttl and self.taken and next(iter(self.taken.values())) <= now - self.ttl:
+            del self.taken[next(iter(self.taken))]
+        key = str(value)
         if event_type in self.failures:
-            if value in self.taken:
-                self.taken.remove(value)
+            self.taken.pop(key, None)
             return {"decision": "released", "amount": float(len(self.taken))}
-        if value in self.taken:
+        if key in self.taken:
             return {"decision": "duplicate", "amount": float(len(self.taken))}
-        self.taken.append(value)
+        self.taken[key] = now
         return {"decision": "accepted", "amount": float(len(self.taken))}
 
 
@@ -139,7 +177,7 @@ class AgentLoop:
         return {"decision": node, "amount": float(self.steps)}
 
 
-FOLDS = {"limiter": Limiter, "breaker": Breaker, "gate": RateGate, "jobs": JobTable, "actions": ActionKeys, "agent": AgentLoop}
+FOLDS = {"limiter": Limiter, "breaker": Breaker, "gate": RateGate, "jobs": JobTable, "actions": ActionKeys, "agent": AgentLoop, "clients": Clients}
 
 
 def new(name: str, parameters: dict):

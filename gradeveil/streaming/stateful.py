@@ -2,13 +2,13 @@
 
 In batch a key's events are one group, sorted by time and id; the group streams through the fold in Arrow batches, so
 a hot key needs no memory, and only its own order is sequential by nature. As a stream the state of a key is kept as
-JSON in Spark's state store, with a time to live where the fold forgets.
+JSON in Spark's state store, with a time to live where the fold forgets; there a key's events of one micro-batch are
+sorted in memory, so that the source's batches (maxFilesPerTrigger, maxOffsetsPerTrigger) bound it.
 """
 
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
+from gradeveil.functions import shared
 from gradeveil.streaming import folds
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Events whose decisions a stream gives out at a time.
+PART_ROWS = 10_000
 DECISIONS = "key string, event_id long, ts double, decision string, amount double"
 
 
@@ -61,10 +64,15 @@ class FoldProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fold = folds.new(self.fold, json.loads(self.state.get()[0]) if self.state.exists() else self.parameters)
-        events = pd.concat(list(rows)).dropna(subset=["ts"]).sort_values(["ts", "event_id"])
-        out = [fold.step(now, kind, value) for now, kind, value in zip(events.ts, events.event_type, events.value, strict=True)]
+        # the fold needs time order over the whole micro-batch: only its four columns are held, answers leave in parts
+        held = [part[["event_id", "ts", "event_type", "value"]].dropna(subset=["ts"]) for part in rows]
+        events = pd.concat(held).sort_values(["ts", "event_id"])
+        held.clear()
+        for k in range(0, len(events), PART_ROWS):
+            part = events.iloc[k : k + PART_ROWS]
+            out = [fold.step(now, kind, value) for now, kind, value in zip(part.ts, part.event_type, part.value, strict=True)]
+            yield pd.DataFrame({"key": key[0], "event_id": part.event_id, "ts": part.ts, "decision": [o["decision"] for o in out], "amount": [o["amount"] for o in out]})
         self.state.update((json.dumps(folds.frozen(fold)),))
-        yield pd.DataFrame({"key": events.key, "event_id": events.event_id, "ts": events.ts, "decision": [o["decision"] for o in out], "amount": [o["amount"] for o in out]})
 
     def close(self) -> None:
         pass
@@ -77,10 +85,9 @@ def decision_stream(events: DataFrame, fold: str, ttl_ms: int = 0, **parameters)
 
 def replayed(stream: DataFrame) -> DataFrame:
     """Runs a stream over what its source has now and returns what it wrote. Output and state go to a new folder in
-    spark.checkpoint.dir, or of this machine where that is not set."""
+    spark.checkpoint.dir."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/gradeveil-streams"
-    folder = f"{base.rstrip('/')}/gradeveil-stream-{uuid.uuid4().hex}"
+    folder = f"{shared.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     sink = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()

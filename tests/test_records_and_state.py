@@ -160,7 +160,7 @@ def test_folds():
     assert run("breaker", events(*errors, (3, "click", 0), (33, "error", 0), (34, "click", 0), (64, "click", 0), (65, "click", 0))) == ["called", "called", "called", "open", "probe", "open", "probe", "called"]
     gate = folds.new("gate", {})
     assert [round(gate.step(t, "", 0)["amount"], 3) for t in (1.0, 1.0, 1.1)] == [0.0, 0.55, 1.0]
-    assert run("jobs", events((0, "a", 0), (1, "a", 0), (2, "a", 0), (3, "purchase", 0), (4, "a", 0), (5, "a", 0), (400, "a", 0)), cap=3) == ["running", "running", "queued", "completed", "queued", "queue_full", "running"]
+    assert run("jobs", events((0, "a", 0), (1, "a", 0), (2, "a", 0), (3, "purchase", 0), (4, "a", 0), (5, "a", 0), (400, "a", 0)), cap=3) == ["running", "running", "queued", "succeeded", "queued", "queue_full", "running"]
     assert run("actions", events((0, "a", 1), (1, "a", 1), (2, "error", 1), (3, "a", 1))) == ["accepted", "duplicate", "released", "accepted"]
     assert run("agent", events(*((t, "go", 0) for t in range(6)), (6, "drift", 0), (400, "go", 0))) == ["observe", "reason", "verify", "dispatch", "settle", "observe", "observe", "timed_out"]
 

@@ -195,7 +195,7 @@ class LogBilinear:
             in1, in2 = self.inputs[p], self.inputs[q]
             h = in1 * self.mix[0] + in2 * self.mix[1]
             out = self.outputs[w]
-            up = up_of((h * out).sum(1) + self.bias[w] - expected[w])  # raise the class that was seen
+            up = up_of(np.einsum("ij,ij->i", h, out) + self.bias[w] - expected[w])  # raise the class that was seen
             down = up_of(-(h @ self.outputs[e].T + self.bias[e] - expected[e]))  # and lower the noise
             to_h = up[:, None] * out - down @ self.outputs[e]
             g_out = scattered(w, up[:, None] * h) - scattered(e, down.T @ h)
@@ -209,13 +209,13 @@ class LogBilinear:
                 rows = np.concatenate([np.arange(len(parted)), np.repeat(np.arange(len(parted)), item_samples)])
                 vectors, h_rows = self.item_outputs[at], hi[rows]
                 sign = np.where(np.arange(len(at)) < len(parted), 1.0, -1.0).astype(np.float32)
-                pull = sign * up_of(sign * ((h_rows * vectors).sum(1) + self.item_bias[at] - item_expected[at]))
+                pull = sign * up_of(sign * (np.einsum("ij,ij->i", h_rows, vectors) + self.item_bias[at] - item_expected[at]))
                 pulled = pull[:, None] * vectors
-                to_h[parted] += pulled[: len(parted)] + pulled[len(parted) :].reshape(len(parted), item_samples, size).sum(1)
+                to_h[parted] += pulled[: len(parted)] + np.einsum("ijk->ik", pulled[len(parted) :].reshape(len(parted), item_samples, size))
                 some_items, gradient = _added(np.concatenate([pull[:, None] * h_rows, pull[:, None]], 1), at)
                 self._step(4, gradient[:, :-1], rate, some_items)
                 self._step(5, gradient[:, -1], rate, some_items)
-            g_mix = np.stack([(to_h * in1).sum(0), (to_h * in2).sum(0)]) / np.sqrt(len(some))
+            g_mix = np.stack([np.einsum("ij,ij->j", to_h, x) for x in (in1, in2)]) / np.sqrt(len(some))
             symbols, g_in = _added(np.concatenate([to_h * self.mix[0], to_h * self.mix[1]]), np.concatenate([p, q]))
             self._step(0, g_in, rate, symbols)
             for part, g in ((1, g_out), (2, g_mix), (3, g_bias)):
@@ -269,7 +269,7 @@ def _sequence(counts: np.ndarray, codes: np.ndarray, classes: np.ndarray, symbol
     return s1, s2, target, item, row
 
 
-def score_documents(docs: DataFrame, *, size: int = 16, rounds: int = 3, rate: float = 0.1, batch: int = 1024, samples: int = 64, item_samples: int = 2, min_count: int = 30, min_share: float = 2e-5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, *, size: int = 16, rounds: int = 3, rate: float = 0.15, batch: int = 2048, samples: int = 64, item_samples: int = 2, min_count: int = 30, min_share: float = 2e-5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores every text by a model of those whose id is not held out; one row per row of docs.
 
     Tokens are lower-cased (A-Z) words and one end. base_score: log10 of the smoothed unigram probability; score: log10

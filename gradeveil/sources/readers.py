@@ -7,7 +7,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,11 +31,52 @@ def raw_bytes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A one-row report as JSON text with sorted keys and an indent of two; more rows are refused."""
+    """A one-row report as one file of JSON text with sorted keys and an indent of two, on any of Spark's file systems;
+    more rows are refused."""
     rows = report.limit(2).toJSON().take(2)
     if len(rows) != 1:
         raise ValueError("a report has one row")
-    Path(path).write_text(json.dumps(json.loads(rows[0]), indent=2, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
+    text = json.dumps(json.loads(rows[0]), indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+    context = report.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def flattened(records: DataFrame, key: str, json_text: str) -> DataFrame:
+    """key, path and value (JSON text) of every leaf of JSON records, lists by number: a.b[0].c. Unreadable text gives
+    none, empty objects and lists are leaves."""
+    kind = dict(records.dtypes)[key]
+
+    def leaves(value: object, path: str) -> Iterator[tuple[str, str]]:
+        if isinstance(value, dict) and value:
+            for name, inner in value.items():
+                yield from leaves(inner, f"{path}.{name}" if path else name)
+        elif isinstance(value, list) and value:
+            for i, inner in enumerate(value):
+                yield from leaves(inner, f"{path}[{i}]")
+        else:
+            yield path, json.dumps(value, ensure_ascii=False)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows, paths, values = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                try:
+                    found = list(leaves(json.loads(text or ""), ""))
+                except ValueError:
+                    continue
+                rows += [row] * len(found)
+                paths += [p for p, _ in found]
+                values += [v for _, v in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[key, "path", "value"])
+
+    return records.select(key, json_text).mapInArrow(run, f"`{key}` {kind}, path string, value string")
 
 
 def png_chunks(data: bytes) -> Iterator[tuple[str, bytes]]:
@@ -180,6 +220,16 @@ def interactive_elements(pages: DataFrame, key: str, html: str = "html", limit:
     return rows.select(key, "position", kind.alias("tag"), *(attribute(F.col("markup"), a).alias(a) for a in ("name", "type", "id")), label.alias("label"))
 
 
+def transferable_controls(pages: DataFrame, key: str, html: str = "html", limit: int = 100, max_value: int = 1000) -> DataFrame:
+    """key, position, name, label and value of the text controls of a page whose values may be carried over: `limit` at
+    most, without passwords, files and hidden ones, values clipped."""
+    found = bound(tags(F.col(html), "input|textarea|select"), lambda t: F.filter(t, lambda x: ~x.rlike(r"(?i)\stype\s*=\s*[\"']?(?:hidden|password|file|checkbox|radio|submit|button|image|reset)")))
+    rows = pages.select(key, F.posexplode(F.slice(found, 1, limit)).alias("position", "markup"))
+    tag = F.col("markup")
+    label = F.coalesce(attribute(tag, "aria-label"), attribute(tag, "placeholder"), attribute(tag, "name"))
+    return rows.select(key, "position", attribute(tag, "name").alias("name"), label.alias("label"), F.substring(attribute(tag, "value"), 1, max_value).alias("value"))
+
+
 # Reports, lock files, secrets
 
 def test_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Every query of the catalogue against its SQL, on the smallest tables."""
+"""Every query of the core against its SQL, on the smallest tables."""
 
 import glob
 import os
@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from gradeveil.plans import catalogue
+from gradeveil.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,17 +24,19 @@ def database():
 def plain(value):
     if isinstance(value, float):
         return round(value, 6)
+    if hasattr(value, "asDict"):
+        value = tuple(value)
     return tuple(map(plain, value)) if isinstance(value, list | tuple) else value
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, database, name):
-    got = catalogue.QUERIES[name](spark, SF)
+    got = registry.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
     rows = Counter(plain(tuple(r)) for r in got.select(*columns).collect())
-    if name in catalogue.ORACLE_SQL:
+    if name in registry.ORACLE_SQL:
         quoted = ", ".join(f'"{c}"' for c in columns)
-        expected = database.sql(f"SELECT {quoted} FROM ({catalogue.ORACLE_SQL[name]})").fetchall()
+        expected = database.sql(f"SELECT {quoted} FROM ({registry.ORACLE_SQL[name]})").fetchall()
         assert rows == Counter(map(plain, expected))
 
 

@@ -14,9 +14,7 @@ import atexit
 import contextlib
 import json
 import math
-import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -28,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeveil.functions import shared
+
 #: Bytes of text in one block; a single longer document makes a block of its own.
 BLOCK_BYTES = 4 << 20
 #: The word separators of all contracts here: space, and U+0009 to U+000D.
@@ -37,15 +37,10 @@ NULL_ID = np.iinfo(np.int64).min
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor can read, until the program ends. Only where that setting is
-    absent (tests, a single machine) a folder of this machine is made and set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "gradeveil-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder below spark.checkpoint.dir, which every executor can read, until the program ends."""
     # with its scheme, as files that Python writes there go the same way
     jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/gradeveil-{uuid.uuid4().hex}")
+    place = jvm.org.apache.hadoop.fs.Path(f"{shared.shared_folder(spark)}/gradeveil-{uuid.uuid4().hex}")
     folder = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
     if _recorded is not None:
         _recorded.append(folder)
@@ -53,6 +48,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def free_prefix(columns: Iterable[str], prefix: str = "__") -> str:
+    """A beginning of column names that none of these has, whatever the letter case."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 _recorded: list[str] | None = None
 _made: list[str] = []
 

@@ -27,6 +27,8 @@ from gradeveil.llm.common import hashed, pieces_for, ragged, rolling, rows_in, w
 
 #: Words of the benchmark whose index one task holds at a time (about 40 bytes each).
 BLOCK_WORDS = 1_000_000
+#: Windows shared by texts and items that are laid out at a time.
+MAX_HITS = 1_000_000
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 #: How windows are looked up: with all placeholders, with names as words, and with all values.
 TYPED, PLAIN, EXACT = 0, 1, 2
@@ -99,29 +101,49 @@ class Index:
                 if len(at):
                     self.tables[size, mode] = (hashes[order], at[order])
 
-    def hits(self, texts: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in the texts, position in the items, size) of each window that is in both."""
-        found = [np.zeros((3, 0), np.int64)]
-        for (size, mode), (hashes, places) in self.tables.items():
+    def hits(self, texts: Templates) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position in the texts, position in the items, size) of each window that is in both, in parts of whole texts
+        with MAX_HITS at most (or one text): a template that very many items share takes time, but no more memory."""
+        found = [np.zeros((4, 0), np.int64)]
+        tables = list(self.tables.items())
+        for number, ((size, mode), (hashes, _)) in enumerate(tables):
             at, h = texts.windows(size, mode)
-            first, last = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            n = last - first
+            first = np.searchsorted(hashes, h, "left")
+            n = np.searchsorted(hashes, h, "right") - first
             hit = np.flatnonzero(n)
-            item = places[ragged(first[hit], n[hit])]
-            found.append(np.stack([np.repeat(at[hit], n[hit]), item, np.full(len(item), size)]))
-        return tuple(np.concatenate(found, axis=1))
+            found.append(np.stack([np.full(len(hit), number), at[hit], first[hit], n[hit]]))
+        number, at, first, n = np.concatenate(found, axis=1)
+        order = np.argsort(texts.row[at], kind="stable")
+        number, at, first, n = number[order], at[order], first[order], n[order]
+        row = texts.row[at]
+        begins = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+        sums = np.add.reduceat(n, begins) if len(begins) else begins
+        part = (np.cumsum(sums) - sums) // MAX_HITS
+        edges = [*begins[np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])], len(row)]
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            out = [np.zeros((3, 0), np.int64)]
+            for k, ((size, _), (_, places)) in enumerate(tables):
+                some = begin + np.flatnonzero(number[begin:end] == k)
+                item = places[ragged(first[some], n[some])]
+                out.append(np.stack([np.repeat(at[some], n[some]), item, np.full(len(item), size)]))
+            yield tuple(np.concatenate(out, axis=1))
 
     def leaks(self, texts: Templates, min_cover: float, min_tokens: int) -> dict[int, dict[int, float]]:
         """Per text: the items of which consistent alignments cover at least min_cover or min_tokens tokens, and how
         much."""
-        at, item_at, size = self.hits(texts)
+        out: dict[int, dict[int, float]] = {}
+        for hits in self.hits(texts):
+            self._judge(texts, hits, min_cover, min_tokens, out)
+        return out
+
+    def _judge(self, texts: Templates, hits: tuple[np.ndarray, ...], min_cover: float, min_tokens: int, out: dict[int, dict[int, float]]) -> None:
+        at, item_at, size = hits
         own = self.tokens
         order = np.lexsort((at, at - item_at, own.row[item_at], texts.row[at]))
         at, item_at, size = at[order], item_at[order], size[order]
         doc, item, shift = texts.row[at], own.row[item_at], at - item_at
         new = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]))[: len(at)]
         begins = np.flatnonzero(new)
-        out: dict[int, dict[int, float]] = {}
         for begin, end in zip(begins, np.append(begins[1:], len(at)), strict=False):
             places = np.unique(ragged(item_at[begin:end], size[begin:end]))
             cover = len(places) / own.counts[item[begin]]
@@ -129,10 +151,10 @@ class Index:
                 continue
             slots = places[own.kind[places] != LITERAL]
             theirs = texts.value[slots + shift[begin]]
-            pairs, pair, n = np.unique(np.stack([own.value[slots], theirs]), axis=1, return_inverse=True, return_counts=True)
+            pairs, where, pair, n = np.unique(np.stack([own.value[slots], theirs]), axis=1, return_index=True, return_inverse=True, return_counts=True)
             if len(np.unique(pairs[0])) < pairs.shape[1]:  # one value of the item stands for two of the document
-                # what is left where all values are equal, or where each has its most frequent partner
-                order = np.lexsort((pairs[0] != pairs[1], -n, pairs[0]))
+                # what is left where all values are equal, or where each has its most frequent partner (of equals itself, then the first)
+                order = np.lexsort((where, pairs[0] != pairs[1], -n, pairs[0]))
                 main = np.zeros(len(n), bool)
                 main[order[np.append(True, pairs[0][order][1:] != pairs[0][order][:-1])]] = True
                 odd = (slots[own.value[slots] != theirs], slots[~main[pair.ravel()]])
@@ -143,7 +165,6 @@ class Index:
             of_doc = out.setdefault(int(doc[begin]), {})
             key = int(self.ids[item[begin]])
             of_doc[key] = max(of_doc.get(key, 0.0), cover)
-        return out
 
 
 def _without(at: np.ndarray, size: np.ndarray, odd: np.ndarray) -> np.ndarray:
@@ -158,20 +179,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_co
 
     An item counts if one consistent alignment covers at least min_cover of its tokens, or min_tokens of them, in
     windows of `window` tokens, at least half of them literal or all with equal values; of an inconsistent alignment
-    the windows without the odd values must cover min_tokens. A shorter item must occur as a
-    whole, though it be one number. Null or empty texts and items without words have and give no leak; items with a null id are skipped; repeated rows are judged alike; own
-    columns with the names of the added ones are replaced."""
+    the windows without the odd values must cover min_tokens. A shorter item must occur as a whole, though it be one
+    number. Null or empty texts and items without words have and give no leak, long texts are read whole; items with a
+    null id are skipped, those with one id are one item; repeated rows are judged alike, there are no ties to break; no
+    rows give no rows, no items no leaks. Own columns with the names of the added ones are replaced."""
     bench = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("i is not null and t is not null").distinct()
     total = bench.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     blocks = pieces_for(total, BLOCK_WORDS)
-    rest = [c for c in docs.columns if c not in ("item_ids", "cover", "contaminated")]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("__row"), F.col(f"`{text}`").cast("string").alias("__text"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("cover"))
+    rest = [c for c in docs.columns if c.lower() not in ("item_ids", "cover", "contaminated")]
+    # a text that is a string already travels once
+    held = [c for c in rest if c != text or dict(docs.dtypes)[c] != "string"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in held), F.lit(0).alias("__none")).alias("__row"), F.col(f"`{text}`").cast("string").alias("__text"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("cover"))
     for block in range(blocks):
         items = sorted((r.i, r.t) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect())
         shared = docs.sparkSession.sparkContext.broadcast(items)
         rows = rows.mapInArrow(_scan(shared, window, min_cover, min_tokens), rows.schema)
     added = {"item_ids": F.array_sort(F.array_distinct("item_ids")), "cover": F.col("cover"), "contaminated": F.size("item_ids") > 0}
-    return rows.select(*(F.col(f"__row.`{c}`").alias(c) for c in rest), *(v.alias(c) for c, v in added.items()))
+    return rows.select(*(F.col(f"__row.`{c}`").alias(c) if c in held else F.col("__text").alias(c) for c in rest), *(v.alias(c) for c, v in added.items()))
 
 
 def _scan(shared, window: int, min_cover: float, min_tokens: int):

@@ -2,8 +2,8 @@
 
 The rules are measured once per document and written. Failures are summed by host (partial sums before the
 shuffle), a beta prior is fitted to all hosts' failure rates by the method of moments, each host's rate is shrunk
-towards it, and hosts whose shrunk rate is too high are joined back to the documents. That join broadcasts the
-rejected hosts only while there are few of them; beyond, it is salted on the documents' side.
+towards it, and the hosts' verdicts are joined back to the documents. That join broadcasts the hosts only while there
+are few of them (counted before); beyond, it is salted on the documents' side.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeveil.llm.common import written
+from gradeveil.llm.common import free_prefix, written
 
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Rejected hosts that are broadcast at most; counted before.
+#: Hosts that are broadcast at most; counted before.
 BROADCAST_HOSTS = 20_000
 SALTS = 32
 
@@ -58,18 +58,20 @@ def _covered(hashes: Column) -> Column:
 
 def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts that the rules use, as long columns. A null text has no words and no lines."""
+    own = free_prefix(docs.columns)
+    words, lines_, hashes = (F.col(f"`{own}{c}`") for c in ("words", "lines", "hashes"))
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = docs.drop(*COUNTS).withColumn("__words", _words(t)).withColumn("__lines", lines)
-    step = step.withColumn("__h", _repeat_words(F.col("__words")))
-    repeated = F.when(F.size(F.array_distinct("__h")) < F.size("__h"), _covered(F.col("__h"))).otherwise(F.lit(0))
+    step = docs.drop(*COUNTS).withColumn(f"{own}words", _words(t)).withColumn(f"{own}lines", lines)
+    step = step.withColumn(f"{own}hashes", _repeat_words(words))
+    repeated = F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _covered(hashes)).otherwise(F.lit(0))
     return (
-        step.withColumn("n_words", F.size("__words").cast("long"))
+        step.withColumn("n_words", F.size(words).cast("long"))
         .withColumn("word_chars", F.length(F.regexp_replace(t, f"{BLANK}+", "")).cast("long"))
         .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
+        .withColumn("n_dup_lines", (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long"))
         .withColumn("n_repeat_words", F.coalesce(repeated, F.lit(0)).cast("long"))
-        .drop("__words", "__lines", "__h")
+        .drop(f"{own}words", f"{own}lines", f"{own}hashes")
     )
 
 
@@ -102,20 +104,24 @@ def _prior(n: int, failures: int, hosts: int, squares: float) -> tuple[float, fl
 def apply_rules(docs: DataFrame, *, host: str = "source", text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, max_rate: float = 0.9, keep_text: bool = True) -> DataFrame:
     """docs, all columns kept, with the counts, base_failed, host_rate (double) and kept.
 
-    kept is false if the document fails a base rule or its host is rejected. A null text fails the word rule.
-    Columns of docs with the names of added ones are replaced; repeated rows count each. keep_text: whether the
-    text is in the result and in the written table."""
+    kept is false if the document fails a base rule or its host is rejected. A null or empty text fails the word rule,
+    long ones are read whole; null hosts are one host; repeated rows count each; there are no ties to break; no rows
+    give no rows. Columns of docs with the names of added ones are replaced, all others kept, whatever their names.
+    keep_text: whether the text is in the result and in the written table."""
     added = (*COUNTS, "base_failed", "host_rate", "kept")
-    measured = rule_counts(docs.drop(*(c for c in added if c in docs.columns)), text)
+    measured = rule_counts(docs.drop(*(c for c in docs.columns if c.lower() in added)), text)
     measured = written(measured.withColumn("base_failed", base_failed(min_words, max_repeat_percent)).drop(*([] if keep_text else [text])), "measured")
+    own = free_prefix(measured.columns)
     hosts = host_verdicts(measured, host=host, max_rate=max_rate)
-    rows = hosts.select(F.coalesce(F.col("host").cast("string"), F.lit("")).alias("__host"), F.col("host").isNull().alias("__none"), F.col("rate").alias("host_rate"), F.col("rejected").alias("__rejected"))
-    keyed = measured.withColumn("__host", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))).withColumn("__none", F.col(f"`{host}`").isNull())
+    rows = hosts.select(F.coalesce(F.col("host").cast("string"), F.lit("")).alias(f"{own}host"), F.col("host").isNull().alias(f"{own}none"), F.col("rate").alias("host_rate"), F.col("rejected").alias(f"{own}rejected"))
+    keyed = measured.withColumn(f"{own}host", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))).withColumn(f"{own}none", F.col(f"`{host}`").isNull())
+    on = [f"{own}host", f"{own}none"]
     if rows.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        joined = keyed.join(F.broadcast(rows), ["__host", "__none"], "left")
+        joined = keyed.join(F.broadcast(rows), on, "left")
     else:
-        salts = rows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = keyed.withColumn("__salt", F.pmod(F.xxhash64(*(c for c in measured.columns if c != text), *COUNTS), F.lit(SALTS)).cast("int"))
-        joined = salted.join(salts, ["__host", "__none", "__salt"], "left").drop("__salt")
-    kept = ~F.col("base_failed") & ~F.coalesce(F.col("__rejected"), F.lit(False))
-    return joined.withColumn("kept", kept).select(*measured.columns, "host_rate", "kept")
+        salts = rows.withColumn(f"{own}salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # by the row's place in the written table, as repeated rows would all have one hash
+        salted = keyed.withColumn(f"{own}salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        joined = salted.join(salts, [*on, f"{own}salt"], "left")
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col(f"{own}rejected"), F.lit(False))
+    return joined.withColumn("kept", kept).select(*(F.col(f"`{c}`") for c in measured.columns), "host_rate", "kept")

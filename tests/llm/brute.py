@@ -132,3 +132,68 @@ def log_weights(data, good, labelled, smoothing=2.0, shrink=5.0):
             total += math.log((t + smoothing) / (r * scale + smoothing)) * z2 / (z2 + shrink**2)
         out.append(total)
     return out
+
+
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice double triple dozen".split()
+
+
+def template(text, units):
+    """(kind, lower-case word) of each token: W, NUM, NAME or UNIT."""
+    out, begins = [], True
+    for raw in words(text):
+        core = regex.sub(r"^[^\pL\pN]+|[^\pL\pN]+$", "", raw)
+        ends = bool(regex.search(r"[.!?:][^\pL\pN]*$", raw))
+        if core:
+            low = core.lower()
+            if regex.fullmatch(r"[0-9][0-9.,:/%-]*", core) or low in NUMBER_WORDS:
+                kind = "NUM"
+            elif low in units or regex.fullmatch(r"[0-9][0-9.,]*\pL{1,3}", core):
+                kind = "UNIT"
+            elif regex.fullmatch(r"\p{Lu}\p{Ll}+", core) and not begins:
+                kind = "NAME"
+            else:
+                kind = "W"
+            out.append((kind, low))
+        begins = ends
+    return out
+
+
+def leaked(text, items, units, window=8, min_cover=0.5, min_tokens=13):
+    """Ids of the items that a text has, by comparing all windows with all windows."""
+    doc, found = template(text, units), set()
+    for key, item_text in items:
+        item = template(item_text, units)
+        if key is None or not item:
+            continue
+        size, shifts = min(window, len(item)), defaultdict(set)
+        for a in range(len(doc) - size + 1):
+            for b in range(len(item) - size + 1):
+                x, y = doc[a : a + size], item[b : b + size]
+                typed, plain = ([[k if k != "W" and (k != "NAME" or names) else w for k, w in z] for z in (x, y)] for names in (True, False))
+                exact = [[w for _, w in z] for z in (x, y)]
+
+                def slots(z, names):
+                    return sum(k in ("NUM", "UNIT") or (names and k == "NAME") for k, _ in z)
+
+                named = [any(k == "NAME" for k, _ in z) for z in (x, y)]
+                ok = all(named) and all(2 * slots(z, True) <= size for z in (x, y)) and typed[0] == typed[1]
+                ok = ok or (all(2 * slots(z, False) <= size for z in (x, y)) and plain[0] == plain[1])
+                ok = ok or (all(2 * slots(z, False) > size for z in (x, y)) and exact[0] == exact[1])
+                if ok:
+                    shifts[a - b].add(b)
+        for shift, at in shifts.items():
+            places = {b + k for b in at for k in range(size)}
+            if len(places) < min_cover * len(item) and len(places) < min_tokens:
+                continue
+            pairs = Counter((item[p][1], doc[p + shift][1]) for p in sorted(places) if item[p][0] != "W")
+            if len({a for a, _ in pairs}) < len(pairs):
+                main = {}
+                for (a, b), n in sorted(pairs.items(), key=lambda x: (-x[1], x[0][0] != x[0][1])):
+                    main.setdefault(a, b)
+                unequal = {p for p in places if item[p][0] != "W" and item[p][1] != doc[p + shift][1]}
+                minor = {p for p in places if item[p][0] != "W" and main[item[p][1]] != doc[p + shift][1]}
+                rest = [{b + k for b in at if not odd & set(range(b, b + size)) for k in range(size)} for odd in (unequal, minor)]
+                if max(map(len, rest)) < min_tokens:
+                    continue
+            found.add(key)
+    return sorted(found)

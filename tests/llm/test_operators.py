@@ -619,3 +619,44 @@ def test_near_duplicates_with_unlike_sketches(spark):
     data = [(2 * i + j, words(n, 10 * j)) for i, n in enumerate((52, 5308, 8001)) for j in (0, 1)]
     got = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), shingle=1)
     assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+@pytest.mark.parametrize("max_hits", [10**6, 5])
+def test_decontamination_against_brute_force(spark, monkeypatch, max_hits):
+    """Random items and documents of few words, names, numbers and units, with many shared templates."""
+    monkeypatch.setattr(decontamination, "MAX_HITS", max_hits)
+    pick = random.Random(12)
+    frames = [[pick.choice(["the", "man", "walks", "#", "@", "%", "over", "river", "and", "counts"]) for _ in range(pick.randint(5, 30))] for _ in range(6)]
+    values = {"#": ["3", "17", "seven", "4.5"], "@": ["Anna", "Peter", "Ravi"], "%": ["km", "hours", "5kg"]}
+
+    def filled(frame):
+        return [pick.choice(values[w]) if w in values else w for w in frame]
+
+    items = [(k, " ".join(filled(pick.choice(frames)))) for k in range(12)] + [(None, "no id"), (50, ""), (51, None)]
+    texts = []
+    for _ in range(60):
+        frame = filled(pick.choice(frames))
+        begin = pick.randint(0, 4)
+        middle = frame[begin : len(frame) - pick.randint(0, 4)]
+        if pick.random() < 0.4 and middle:
+            middle[pick.randrange(len(middle))] = pick.choice(["other", "9", "Zoe"])
+        texts.append(" ".join([*filled(pick.choice(frames))[:3], *middle, *(w.upper() if pick.random() < 0.1 else w for w in filled(pick.choice(frames))[:5])]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.item_ids for r in decontamination.find_leaks(rows, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    units = set(decontamination.UNITS.to_pylist())
+    expected = {i: brute.leaked(t, [x for x in items if x[1]], units) for i, t in enumerate(texts)}
+    assert got == expected and 10 < sum(map(bool, expected.values())) < 60
+
+
+def test_clashing_columns(spark):
+    """Own columns with names that the operators use stay or are replaced, as the docstrings say."""
+    row = (1, "one two three " * 30, "h", "a", "b", "c", [9], 3)
+    names = ["doc_id", "text", "source", "__words", "__lines", "__hashes", "item_ids", "N_Words"]
+    docs = spark.createDataFrame([row], names)
+    out = quality_rules.apply_rules(docs)
+    assert [c for c in out.columns if c in names] == names[:7] and out.first()["__words"] == "a"
+    bench = spark.createDataFrame([(1, "one two three one two three one two three one two three")], "item_id long, text string")
+    leak = decontamination.find_leaks(docs, bench).first()
+    assert leak.item_ids == [1] and leak["__lines"] == "b" and leak.text == row[1]
+    assert line_dedup.dedup_lines(docs).first()["__words"] == "a"
+    assert near_dedup.drop_near_duplicates(docs).first()["__hashes"] == "c"

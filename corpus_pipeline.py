@@ -2,7 +2,10 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns of
 the documents table; where a stage changes texts, n_chars follows. A stage's working tables are deleted when the next
-stage is called, so its result has to be written before.
+stage is called, so its result has to be written before; run() does so, and its own result is a written table too.
+
+All stages read texts whole, pass null ids and nulls in other columns on, keep columns of any name, and give no rows for
+no rows.
 """
 
 from __future__ import annotations
@@ -39,34 +42,41 @@ def stage(f: Stage) -> Stage:
     return run_stage
 
 
+def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 @stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return apply_rules(docs).where("kept").select(*docs.columns)
+    """Documents that the quality rules reject go: null, empty and short texts among them. Repeated rows stay."""
+    return _columns(apply_rules(docs).where("kept"), docs)
 
 
 @stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go from all but one."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Lines that many documents share go from all but the one with the greatest id; rows that share that id all keep
+    them. A text may become empty; null becomes empty."""
+    return _columns(dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (shingles of five words, similarity 0.8)."""
+    """One document of each group of near duplicates stays, that with the least id (shingles of five words, similarity
+    0.8); of rows with one id and one text one stays. Texts without words are linked with nothing and stay."""
     return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 @stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have an item of the benchmark go."""
+    """Documents that have an item of the benchmark go. Null and empty texts have none; repeated rows are judged alike."""
     leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return leaks.where("not contaminated").select(*docs.columns)
+    return _columns(leaks.where("not contaminated"), docs)
 
 
 @stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences of 4096 tokens: one row per piece."""
+    """What is left is packed into sequences of 4096 tokens: one row per piece. An empty text is its end id; repeated
+    rows are packed each."""
     return pack_documents(docs)
 
 
@@ -84,6 +94,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, f in STAGES[:-1]:
+    for name, f in STAGES:
         docs = written(f(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs

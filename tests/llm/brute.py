@@ -197,3 +197,33 @@ def leaked(text, items, units, window=8, min_cover=0.5, min_tokens=13):
                     continue
             found.add(key)
     return sorted(found)
+
+
+def exact_components(sets, percent=80):
+    """The least position of each set's component, by an exact join on the rarest members of every set; and the number
+    of links between different sets. Empty sets are alone."""
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    first = {}
+    for i, s in enumerate(sets):
+        if s:
+            up[i] = first.setdefault(s, i)
+    held = Counter(x for s in first for x in s)
+    index, links = defaultdict(list), 0
+    for s in sorted(first, key=len):
+        rarest = sorted(s, key=lambda x: (held[x], x))[: len(s) + percent * len(s) // -100 + 1]
+        for o in {o for x in rarest for o in index[x]}:
+            both = len(s & o)
+            if 100 * both >= percent * (len(s) + len(o) - both):
+                links += 1
+                a, b = sorted((root(first[s]), root(first[o])))
+                up[b] = a
+        for x in rarest:
+            index[x].append(s)
+    return [root(i) for i in range(len(sets))], links

@@ -660,3 +660,13 @@ def test_clashing_columns(spark):
     assert leak.item_ids == [1] and leak["__lines"] == "b" and leak.text == row[1]
     assert line_dedup.dedup_lines(docs).first()["__words"] == "a"
     assert near_dedup.drop_near_duplicates(docs).first()["__hashes"] == "c"
+
+
+@pytest.mark.parametrize("shingle", [2, 5])
+def test_near_duplicates_recall(spark, shingle):
+    """No link between different texts of the standard table is lost, against an exact set join."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    places, links = brute.exact_components([brute.shingles(t, shingle) for _, t in rows])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, shingle=shingle).collect()}
+    assert links > 0 and got == {i: rows[p][0] for (i, _), p in zip(rows, places, strict=True)}

@@ -224,13 +224,15 @@ class LogBilinear:
     def log_probabilities(self, s1: np.ndarray, s2: np.ndarray, target: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Natural logs, normalised over all classes and over the items of the token's class."""
         out = np.empty(len(target))
-        inputs = [np.ascontiguousarray(self.inputs * m) for m in self.mix]
-        outputs = np.ascontiguousarray(self.outputs.T)
-        contexts = np.empty((len(target), self.size), np.float32)
+        # a last column of ones takes the biases into the matrix product
+        half = np.full((len(self.inputs), 1), 0.5, np.float32)
+        inputs = [np.hstack([self.inputs * m, half]) for m in self.mix]
+        outputs = np.vstack([self.outputs.T, self.bias])
+        contexts = np.empty((len(target), self.size + 1), np.float32)
         for k in range(0, len(target), CHUNK):
             part = slice(k, k + CHUNK)
-            h = contexts[part] = inputs[0][s1[part]] + inputs[1][s2[part]]
-            out[part] = _log_softmax(h @ outputs + self.bias, target[part])
+            contexts[part] = inputs[0][s1[part]] + inputs[1][s2[part]]
+            out[part] = _log_softmax(contexts[part] @ outputs, target[part])
         parted = np.flatnonzero(item >= 0)
         parted = parted[np.argsort(target[parted], kind="stable")]
         ends = np.searchsorted(target[parted], np.arange(CLASSES + 1))
@@ -238,20 +240,23 @@ class LogBilinear:
             first, last = self.first_item[c], self.first_item[c + 1]
             if last - first < 2:  # only rare words
                 continue
-            vectors = np.ascontiguousarray(self.item_outputs[first:last].T)
+            vectors = np.vstack([self.item_outputs[first:last].T, self.item_bias[first:last]])
             for k in range(ends[c], ends[c + 1], CHUNK):
                 some = parted[k : min(k + CHUNK, ends[c + 1])]
-                out[some] += _log_softmax(contexts[some] @ vectors + self.item_bias[first:last], item[some] - first)
+                out[some] += _log_softmax(contexts[some] @ vectors, item[some] - first)
         return out
 
 
 def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The normalised log of one score in each row. scores are spoilt."""
+    """The normalised log of one score in each row. Rows are only shifted by their greatest score where they need it."""
     own = scores[np.arange(len(scores)), at]
-    most = scores.max(1)
-    scores -= most[:, None]
-    np.exp(scores, out=scores)
-    return own - most - np.log(scores.sum(1))
+    most = np.float32(0) if scores.max(initial=0) < 60 else scores.max(1)
+    for _ in range(2):
+        sums = np.exp(scores - most[:, None] if most.ndim else scores) @ np.ones(scores.shape[1], np.float32)
+        if most.ndim or (sums > 1e-30).all():
+            break
+        most = scores.max(1)  # all of a row's scores are very low
+    return own - most - np.log(sums)
 
 
 def _sequence(counts: np.ndarray, codes: np.ndarray, classes: np.ndarray, symbols: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, ...]:

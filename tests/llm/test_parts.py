@@ -12,6 +12,7 @@ from gradeveil.llm.automaton import SuffixAutomaton
 from gradeveil.llm.common import bucket_of, cut, dump, load, mix, rows_in, words_of
 from gradeveil.llm.components import connected_components
 from gradeveil.llm.encoding import WordEncoder, default_vocabulary
+from gradeveil.llm.language_model import _log_softmax
 from gradeveil.llm.perfect_hash import LineCounts, PerfectHash, ShippedLines
 
 from . import brute
@@ -137,3 +138,15 @@ def test_buckets_agree():
     for n in (1, 3, 64):
         edges = cut(keys, n)
         assert bucket_of(keys, n).tolist() == np.repeat(np.arange(n), np.diff(edges)).tolist()
+
+
+@pytest.mark.parametrize("scale,shift", [(1, 0), (40, 0), (3, -200), (3, 200)])
+def test_log_softmax(scale, shift):
+    """Also where scores are so low or high that they can't be raised to a power as they are."""
+    random_ = np.random.default_rng(0)
+    scores = (random_.normal(0, scale, (50, 7)) + shift).astype(np.float32)
+    at = random_.integers(0, 7, 50)
+    wide = scores.astype(float)
+    most = wide.max(1)
+    expected = wide[np.arange(50), at] - most - np.log(np.exp(wide - most[:, None]).sum(1))
+    assert _log_softmax(scores, at) == pytest.approx(expected, abs=1e-4)

@@ -247,26 +247,35 @@ def needs_confirmation(label: Column, type_: Column, role: Column | None = None)
     return ~box & (named | (_or_empty(type_) == "submit"))
 
 
+# What numbers and dates on documents look like, and what their print says; operators/documents.py reads
+# single lines by the same patterns.
+CARD_RUN = r"(?<!\d)(?:\d[\s-]?){12,18}\d(?!\d)"
+PAN = r"\b[A-Z]{5}\s*\d{4}\s*[A-Z]\b"
+AADHAAR_GROUPS = r"(?<!\d)\d{4}[\s-]\d{4}[\s-]\d{4}(?!\d)"
+AADHAAR_LABELLED = r"\baadhaar(?:\s+number)?\b[^\d]{0,16}\d{12}\b"
+EXPIRY = r"(?<!\d)(\d{1,3})\s*[/-]\s*\d{2,4}(?!\d)"
+CVV = r"\b(?:cvv|cvc|security\s+code)\b[^\d]{0,20}\d{3,4}\b"
+DATE = r"(?<!\d)\d{1,2}\s*[/-]\s*\d{1,2}\s*[/-]\s*\d{2,4}(?!\d)"
+PRINTED = r"\b(?:income|tax|department|government|republic|account|number|date|birth|signature)\b"
+CARD_TERMS = ["visa", "mastercard", "amex", "credit", "debit", "card", r"valid\s+thru", "validity", "expiry", "expires?", "cvv", "cvc", r"security\s+code"]
+
+
 def card_numbers(text: Column) -> Column:
     """Digits of the runs of 13 to 19 digits with spaces and hyphens that pass the Luhn check."""
-    found = F.regexp_extract_all(spans.normalized(text), F.lit(r"(?<!\d)(?:\d[\s-]?){12,18}\d(?!\d)"), F.lit(0))
+    found = F.regexp_extract_all(spans.normalized(text), F.lit(CARD_RUN), F.lit(0))
     return F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"\D", "")), luhn)
 
 
 def has_pan(text: Column) -> Column:
-    return text.rlike(regex(r"\b[A-Z]{5}\s*\d{4}\s*[A-Z]\b", True))
+    return text.rlike(regex(PAN, True))
 
 
 def has_aadhaar(text: Column) -> Column:
-    grouped = spans.normalized(text).rlike(r"(?<!\d)\d{4}[\s-]\d{4}[\s-]\d{4}(?!\d)")
-    return grouped | text.rlike(regex(r"\baadhaar(?:\s+number)?\b[^\d]{0,16}\d{12}\b", True))
-
-
-# Words around a payment card's number.
-CARD_TERMS = [r"visa", r"mastercard", r"amex", r"credit", r"debit", r"card", r"valid\s+thru", r"validity", r"expiry", r"expires?", r"cvv", r"cvc", r"security\s+code"]
+    return spans.normalized(text).rlike(AADHAAR_GROUPS) | text.rlike(regex(AADHAAR_LABELLED, True))
 
 
 def card_context_score(text: Column) -> Column:
+    """How many of the words around a payment card's number a text has."""
     score = F.lit(0)
     for term in CARD_TERMS:
         score = score + text.rlike(regex(rf"\b{term}\b", True)).cast("int")
@@ -275,22 +284,21 @@ def card_context_score(text: Column) -> Column:
 
 def has_expiry(text: Column) -> Column:
     """A month and a year; one stray digit before the month is forgiven."""
-    months = F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{1,3})\s*[/-]\s*\d{2,4}(?!\d)"), F.lit(1))
+    months = F.regexp_extract_all(text, F.lit(EXPIRY), F.lit(1))
     return F.exists(months, lambda m: m.rlike("^(?:0?[1-9]|1[0-2])$") | F.substring(m, -1, 1).rlike("^[1-9]$") | F.substring(m, -2, 2).rlike("^(?:0[1-9]|1[0-2])$"))
 
 
 def has_cvv(text: Column) -> Column:
-    return text.rlike(regex(r"\b(?:cvv|cvc|security\s+code)\b[^\d]{0,20}\d{3,4}\b", True))
+    return text.rlike(regex(CVV, True))
 
 
 def has_date(text: Column) -> Column:
-    return text.rlike(r"(?<!\d)\d{1,2}\s*[/-]\s*\d{1,2}\s*[/-]\s*\d{2,4}(?!\d)")
+    return text.rlike(DATE)
 
 
 def is_name_value(text: Column) -> Column:
     """Two words or more of letters, none of which belongs to a document's print."""
-    printed = regex(r"\b(?:income|tax|department|government|republic|account|number|date|birth|signature)\b", True)
-    return bound(spans.normalized(text), lambda t: t.rlike(r"^\p{L}[\p{L}.' -]{2,80}$") & (F.size(F.split(t, " ")) >= 2) & ~t.rlike(printed))
+    return bound(spans.normalized(text), lambda t: t.rlike(r"^\p{L}[\p{L}.' -]{2,80}$") & (F.size(F.split(t, " ")) >= 2) & ~t.rlike(regex(PRINTED, True)))
 
 
 def document_shape(bounds: Column) -> Column:

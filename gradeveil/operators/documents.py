@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from gradeveil.operators.classify import AADHAAR_GROUPS, AADHAAR_LABELLED, CARD_RUN, CARD_TERMS, CVV, DATE, EXPIRY, PAN, PRINTED
+
 MIN_CONFIDENCE, MAX_MEDIA = 0.72, 8
 #: Lines of a text in one card-shaped picture.
 PICTURE_LINES = 12
@@ -28,8 +30,6 @@ CAPTIONS = {
 }
 AADHAAR_CONTEXT = r"\b(?:aadhaar|aadhar|uidai|unique\s+identification|identity\s+card|synthetic\s+identity)\b"
 PAN_CONTEXT = r"\b(?:pan|permanent\s+account\s+number|income\s+tax|tax\s+department)\b"
-CARD_TERMS = ["visa", "mastercard", "amex", "credit", "debit", "card", r"valid\s+thru", "validity", "expiry", "expires?", "cvv", "cvc", r"security\s+code"]
-PRINTED = r"\b(?:income|tax|department|government|republic|account|number|date|birth|signature)\b"
 CARD_PRINTED = r"\b(?:bank|card|cardholder|valid|thru|security|code|payment|instrument|synthetic|evaluation)\b"
 AADHAAR_FIELDS = [
     (r"\b(?:date\s+of\s+birth|dob|year\s+of\s+birth)\b", "date-of-birth"),
@@ -57,21 +57,20 @@ def passes_luhn(digits: str) -> bool:
 
 
 def has_card_number(text: str) -> bool:
-    runs = re.findall(r"(?<!\d)(?:\d[\s-]?){13,19}(?!\d)", " ".join(text.split()), re.ASCII)
+    runs = re.findall(CARD_RUN, " ".join(text.split()), re.ASCII)
     return any(passes_luhn(re.sub(r"\D", "", r)) for r in runs)
 
 
 def has_pan(text: str) -> bool:
-    return has(r"\b[A-Z]{5}\s*\d{4}\s*[A-Z]\b", text)
+    return has(PAN, text)
 
 
 def has_aadhaar(text: str) -> bool:
-    return has(r"(?<!\d)\d{4}[\s-]\d{4}[\s-]\d{4}(?!\d)", " ".join(text.split())) or has(r"\baadhaar(?:\s+number)?\b[^\d]{0,16}\d{12}\b", text)
+    return has(AADHAAR_GROUPS, " ".join(text.split())) or has(AADHAAR_LABELLED, text)
 
 
 def has_expiry(text: str) -> bool:
-    months = [re.sub(r"\s", "", re.split("[/-]", m)[0]) for m in re.findall(r"(?<!\d)\d{1,3}\s*[/-]\s*\d{2,4}(?!\d)", text)]
-    return any(re.fullmatch("0?[1-9]|1[0-2]", part) for m in months for part in (m, m[-1:], m[-2:]))
+    return any(re.fullmatch("0?[1-9]|1[0-2]", part) for m in re.findall(EXPIRY, text) for part in (m, m[-1:], m[-2:]))
 
 
 def is_bare_cvv(text: str) -> bool:
@@ -79,7 +78,7 @@ def is_bare_cvv(text: str) -> bool:
 
 
 def is_date(text: str) -> bool:
-    return has(r"(?<!\d)\d{1,2}\s*[/-]\s*\d{1,2}\s*[/-]\s*\d{2,4}(?!\d)", text)
+    return has(DATE, text)
 
 
 def is_name(text: str) -> bool:
@@ -235,7 +234,7 @@ def classify(lines: list[Line], media: list[tuple[Box, str | None]]) -> tuple[li
                 hinted = bare[-1] if bare and hint == "credit-card" and any(d.near(c.box) for d in dates) else None
                 beside = bare and any(b.near(bare[0]) for b in labels)
                 alone = is_bare_cvv(c.text) and any(b.near(c.box) for b in labels)
-                if has(r"\b(?:cvv|cvc|security\s+code)\b[^\d]{0,20}\d{3,4}\b", c.text) or beside or hinted or alone:
+                if has(CVV, c.text) or beside or hinted or alone:
                     own.append(secret("sensitive-field", "cvv", c, bare[0] if bare else hinted or c.words_like(is_bare_cvv)))
             if holder := _cardholder(inside, card):
                 own.append(secret("sensitive-field", "name", *holder))

@@ -35,7 +35,8 @@ def events_of(df: DataFrame, key: str = "user_id", ts: str = "ts") -> DataFrame:
 
 
 def decisions(events: DataFrame, fold: str, **parameters) -> DataFrame:
-    """Each event's decision and amount. Events without time are dropped; ties in time go by id."""
+    """Each event's decision and amount; ties in time go by id. An event without time has no place in the order: its
+    decision is no_time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.string()), ("event_id", pa.int64()), ("ts", pa.float64()), ("decision", pa.string()), ("amount", pa.float64())])
@@ -50,7 +51,8 @@ def decisions(events: DataFrame, fold: str, **parameters) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("event_id"), batch.column("ts"), pa.array([o["decision"] for o in out], pa.string()), pa.array([o["amount"] for o in out], pa.float64())], schema=schema)
 
     ordered = events.where("ts is not null").repartition("key").sortWithinPartitions("key", "ts", "event_id")
-    return ordered.mapInArrow(run, DECISIONS)
+    untimed = events.where("ts is null").select("key", "event_id", "ts", F.lit("no_time").alias("decision"), F.lit(None).cast("double").alias("amount"))
+    return ordered.mapInArrow(run, DECISIONS).unionByName(untimed)
 
 
 class FoldProcessor(StatefulProcessor):
@@ -65,7 +67,12 @@ class FoldProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fold = folds.new(self.fold, json.loads(self.state.get()[0]) if self.state.exists() else self.parameters)
         # the fold needs time order over the whole micro-batch: only its four columns are held, answers leave in parts
-        held = [part[["event_id", "ts", "event_type", "value"]].dropna(subset=["ts"]) for part in rows]
+        held = []
+        for part in rows:
+            untimed = part[part.ts.isna()]
+            if len(untimed):
+                yield pd.DataFrame({"key": key[0], "event_id": untimed.event_id, "ts": untimed.ts, "decision": "no_time", "amount": None})
+            held.append(part[["event_id", "ts", "event_type", "value"]].dropna(subset=["ts"]))
         events = pd.concat(held).sort_values(["ts", "event_id"])
         held.clear()
         for k in range(0, len(events), PART_ROWS):

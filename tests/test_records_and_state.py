@@ -164,6 +164,12 @@ def test_folds():
     assert run("actions", events((0, "a", 1), (1, "a", 1), (2, "error", 1), (3, "a", 1))) == ["accepted", "duplicate", "released", "accepted"]
     assert run("agent", events(*((t, "go", 0) for t in range(6)), (6, "drift", 0), (400, "go", 0))) == ["observe", "reason", "verify", "dispatch", "settle", "observe", "observe", "timed_out"]
 
+    # waiting jobs run when one ends, well or not, and forgotten keys are free again
+    assert run("jobs", events((0, "a", 0), (1, "a", 0), (2, "a", 0), (3, "error", 0), (4, "purchase", 0), (5, "purchase", 0), (6, "purchase", 0)), cap=9) == ["running", "running", "queued", "failed", "succeeded", "succeeded", "not_found"]
+    assert run("actions", events((0, "a", 1), (5, "a", 1), (10, "a", 1)), ttl=10.0) == ["accepted", "duplicate", "accepted"]
+    # client 1 is the oldest of two when client 3 comes, and begins anew
+    assert run("clients", events((0, "a", 1), (1, "a", 2), (2, "a", 2), (3, "a", 3), (4, "a", 1), (5, "a", 1)), limit=1, max_clients=2) == ["allowed", "allowed", "denied", "allowed", "allowed", "denied"]
+
 
 EVENTS = "key string, event_id long, ts double, event_type string, value double"
 
@@ -172,7 +178,7 @@ def test_batch_folds_by_key(spark):
     rows = [(k, i, float(i), "a", 0.0) for k in "xy" for i in range(5)] + [("x", 99, None, "a", 0.0)]
     df = spark.createDataFrame(rows, EVENTS)
     got = {(r.key, r.event_id): r.decision for r in stateful.decisions(df, "limiter", limit=2, window=3.0).collect()}
-    assert got == {(k, i): d for k in "xy" for i, d in enumerate(["allowed", "allowed", "denied", "allowed", "allowed"])}
+    assert got == {("x", 99): "no_time", **{(k, i): d for k in "xy" for i, d in enumerate(["allowed", "allowed", "denied", "allowed", "allowed"])}}
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -196,3 +196,14 @@ def test_hmac_and_luhn(spark):
     row = spark.range(1).select(hmac_sha256(b"key" * 40, F.lit("https://é.example")).alias("h"), luhn(F.lit("4111111111111111")).alias("a"), luhn(F.lit("4111111111111112")).alias("b")).first()
     assert row.h == hmac.new(b"key" * 40, "https://é.example".encode(), hashlib.sha256).hexdigest()
     assert (row.a, row.b) == (True, False)
+
+
+def test_documents_and_columns_agree(spark):
+    """The predicates on a line are those on a column."""
+    from gradeveil.operators import documents
+
+    lines = ["ABCDE 1234 F", "no 1234 5678 9012", "Aadhaar number: 123456789012", "4111 1111 1111 1111", "4111-1111-1111-1112", "valid thru 12/29", "13/99", "113/25", "14/08/1998", "CVV: 123", "Ananya Rao", "Income Tax", "Ananya", ""]
+    tests = [(documents.has_pan, classify.has_pan), (documents.has_aadhaar, classify.has_aadhaar), (documents.has_expiry, classify.has_expiry), (documents.is_date, classify.has_date), (documents.is_name, classify.is_name_value), (documents.has_card_number, lambda t: F.size(classify.card_numbers(t)) > 0)]
+    df = spark.createDataFrame([(x,) for x in lines], "text string")
+    got = {r.text: [bool(v) for v in r[1:]] for r in df.select("text", *(f(F.col("text")).alias(f"t{i}") for i, (_, f) in enumerate(tests))).collect()}
+    assert got == {x: [bool(f(x)) for f, _ in tests] for x in lines}

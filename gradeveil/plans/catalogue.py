@@ -369,16 +369,6 @@ def job_table_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir, "jobs", ttl=432_000.0, cap=4)
 
 
-@query()
-def duplicate_action_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir, "actions")
-
-
-@query()
-def agent_loop_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir, "agent", seconds=864_000.0)
-
-
 @query(
     f"""WITH m AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY key ORDER BY rn) >= 86400, false)::INT AS new FROM ({ORDERED})),
     i AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY rn)::BIGINT AS session FROM m)
@@ -458,20 +448,6 @@ def box_masked_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("picture", g.masked_percent(F.col("b"), F.lit(1000), F.lit(1000)).alias("masked_percent"))
 
 
-@query()
-def box_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = _boxes(spark, sf_dir).groupBy("picture").agg(F.sort_array(F.collect_list(F.struct("vec_id", "bounds", "score"))).alias("b"))
-    kept = listed.select("picture", F.explode(g.suppressed(F.col("b"), 0.35)).alias("k"))
-    return kept.select("picture", F.col("k.vec_id").alias("vec_id"))
-
-
-@query()
-def box_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = _boxes(spark, sf_dir).groupBy("picture").agg(F.sort_array(F.collect_list(F.struct("vec_id", "bounds"))).alias("b"))
-    merged = g.merged(F.transform("b", lambda x: x["bounds"]))
-    return listed.select("picture", F.explode(merged).alias("m")).select("picture", "m.*")
-
-
 @query(
     f"""SELECT l_vec_id, r_vec_id, overlap FROM (SELECT a.vec_id AS l_vec_id, b.vec_id AS r_vec_id, round({COMMON} / least(a.w * a.h, b.w * b.h), 6) AS overlap,
         row_number() OVER (PARTITION BY a.vec_id ORDER BY {COMMON} / least(a.w * a.h, b.w * b.h) DESC, b.vec_id) AS rank
@@ -573,19 +549,6 @@ def _action_columns(action: Column) -> list[Column]:
     return [action[c].alias(c) for c in ("type", "elementId", "direction", "amount", "milliseconds", "message")]
 
 
-@query()
-def structural_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = _elements(spark, sf_dir)
-    planned = forms.select("picture", planners.structural_action(F.col("task"), F.col("elements")).alias("a"))
-    return planned.select("picture", *_action_columns(F.col("a")))
-
-
-@query()
-def form_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = _elements(spark, sf_dir).select("picture", planners.form_action(F.col("task"), F.lit("A page"), F.col("elements")).alias("a"))
-    return planned.select("picture", *_action_columns(F.col("a")))
-
-
 @query()
 def guarded_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     proposed = planners.click(F.element_at("elements", -1)["id"])
@@ -593,7 +556,10 @@ def guarded_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("picture", *_action_columns(F.col("a")))
 
 
-@query()
+FOUND = "list_filter([CASE WHEN out THEN 'element_bounds' END, CASE WHEN picture % 5 NOT BETWEEN 1 AND 3 THEN 'grade' END{}], lambda c: c IS NOT NULL)"
+
+
+@query(f"SELECT picture, {FOUND.format('')} AS client, {FOUND.format('')} AS server, {FOUND.format(', ' + repr('integer_bounds'))} AS verifier FROM (SELECT picture, bool_or(x + w > 900 OR y + h > 900) AS out FROM ({BOXES}) GROUP BY picture)")
 def observation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = _elements(spark, sf_dir)
     uuid = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("picture").cast("string"), 12, "0"))

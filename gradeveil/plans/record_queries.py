@@ -344,14 +344,13 @@ def element_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE e AS (SELECT key, event_id, event_type, value, rn FROM ({ORDERED})),
-    s AS (SELECT key, event_id, rn, CASE WHEN event_type = 'error' THEN []::VARCHAR[] ELSE [round(value)::VARCHAR] END AS taken, CASE WHEN event_type = 'error' THEN 'released' ELSE 'accepted' END AS decision FROM e WHERE rn = 1
-        UNION ALL SELECT e.key, e.event_id, e.rn, CASE WHEN e.event_type = 'error' THEN list_filter(s.taken, lambda t: t <> round(e.value)::VARCHAR) WHEN list_contains(s.taken, round(e.value)::VARCHAR) THEN s.taken ELSE list_append(s.taken, round(e.value)::VARCHAR) END,
-            CASE WHEN e.event_type = 'error' THEN 'released' WHEN list_contains(s.taken, round(e.value)::VARCHAR) THEN 'duplicate' ELSE 'accepted' END FROM s JOIN e ON e.key = s.key AND e.rn = s.rn + 1)
+    s AS (SELECT key, event_id, rn, CASE WHEN event_type = 'error' THEN []::DOUBLE[] ELSE [value] END AS taken, CASE WHEN event_type = 'error' THEN 'released' ELSE 'accepted' END AS decision FROM e WHERE rn = 1
+        UNION ALL SELECT e.key, e.event_id, e.rn, CASE WHEN e.event_type = 'error' THEN list_filter(s.taken, lambda t: t <> e.value) WHEN list_contains(s.taken, e.value) THEN s.taken ELSE list_append(s.taken, e.value) END,
+            CASE WHEN e.event_type = 'error' THEN 'released' WHEN list_contains(s.taken, e.value) THEN 'duplicate' ELSE 'accepted' END FROM s JOIN e ON e.key = s.key AND e.rn = s.rn + 1)
     SELECT key, event_id, decision, len(taken)::DOUBLE AS amount FROM s"""
 )
-def action_key_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = stateful.events_of(table(spark, sf_dir, "events")).withColumn("value", F.round("value"))
-    return stateful.decisions(events, "actions").drop("ts")
+def duplicate_action_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir, "actions")
 
 
 @query()
@@ -375,7 +374,7 @@ def distinct_limiter_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM (SELECT e.key, e.event_id, e.rn, s.began, s.node, s.steps, e.ts - s.began > 864000 AS late FROM s JOIN e ON e.key = s.key AND e.rn = s.rn + 1))
     SELECT key, event_id, decision, amount FROM s"""
 )
-def agent_loop_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agent_loop_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir, "agent", seconds=864_000.0)
 
 
@@ -412,7 +411,7 @@ def _plan(spark: SparkSession, sf_dir: str, action: Column) -> DataFrame:
         (CASE type WHEN 'scroll' THEN 450 END)::INTEGER AS amount, (CASE type WHEN 'wait' THEN 400 END)::INTEGER AS milliseconds, CASE type WHEN 'done' THEN {MANY} END AS message
     FROM (SELECT *, CASE WHEN waiting > 1 OR submits > 1 THEN 'done' WHEN waiting = 1 OR submits = 1 THEN 'click' WHEN ended = 1 THEN 'wait' WHEN {TASK} THEN 'scroll' ELSE 'done' END AS type FROM ({SUMS}))"""
 )
-def structural_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def structural_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir, planners.structural_action(F.col("task"), F.col("elements")))
 
 
@@ -421,7 +420,7 @@ def structural_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (CASE type WHEN 'scroll' THEN 450 END)::INTEGER AS amount, NULL::INTEGER AS milliseconds, NULL::VARCHAR AS message
     FROM (SELECT *, CASE WHEN NOT ({TASK}) THEN NULL WHEN picture % 4 = 1 AND NOT complete THEN NULL WHEN waiting > 0 OR submits = 1 THEN 'click' WHEN submits = 0 THEN 'scroll' END AS type FROM ({SUMS}))"""
 )
-def form_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def form_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir, planners.form_action(F.col("task"), F.lit("A page"), F.col("elements")))
 
 

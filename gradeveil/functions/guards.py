@@ -1,4 +1,4 @@
-"""Cheap tests that a text must pass before a pattern can match it: one of a few literals, and a number of digits.
+"""Cheap tests that a text must pass before a pattern can match it: one of a few literals, signs, and a number of digits.
 
 They are read off the pattern itself, so that no pattern can need less than its guard says.
 """
@@ -17,9 +17,22 @@ from pyspark.sql import functions as F
 ALIKE, LIKE = "ſıİK", "siik"
 
 
+#: Signs that are looked up in a text's extract of signs and digits.
+SIGNS = ":=@_.-"
+
+
 def folded(text: Column) -> Column:
     """The text in which literals are looked up: whatever matches a letter without regard to case is that letter."""
-    return F.lower(F.translate(text, ALIKE, LIKE))
+    return F.lower(F.when(text.rlike(f"[{ALIKE}]"), F.translate(text, ALIKE, LIKE)).otherwise(text))
+
+
+def signs_in(text: Column) -> Column:
+    """A text's signs and decimal digits alone: short, for most texts."""
+    return F.regexp_replace(text, rf"[^\p{{Nd}}{re.escape(SIGNS)}]+", "")
+
+
+def digits_in(signs: Column) -> Column:
+    return F.length(F.regexp_replace(signs, r"\P{Nd}+", ""))
 
 
 def _score(literals: frozenset[str]) -> tuple:
@@ -74,23 +87,22 @@ def _digits(tree) -> int:
     return n
 
 
-def required(pattern: str) -> tuple[frozenset[str], int]:
-    """Lower-case literals of which every match of a pattern holds at least one (none: nothing to rely on), and the
-    least number of decimal digits in a match."""
+def required(pattern: str) -> tuple[list[frozenset[str]], int]:
+    """Sets of lower-case literals of each of which every match of a pattern holds at least one (signs first, then the
+    best set), and the least number of decimal digits in a match."""
     # Python knows no \p{...}; which letters it means does not matter here
     tree = parser.parse(re.sub(r"\\p\{\w+\}", r"\\w", pattern))
-    best = _best(_sets(tree)) or frozenset()
-    return frozenset(x for x in best if not any(y != x and y in x for y in best)), _digits(tree)
+    sets = _sets(tree)
+    chosen = [s for s in sets if all(x in SIGNS for x in s)]
+    chosen += [_best(sets)] if sets and _best(sets) not in chosen else []
+    shortest = [frozenset(x for x in s if not any(y != x and y in x for y in s)) for s in chosen]
+    return list(dict.fromkeys(shortest)), _digits(tree)
 
 
-def may_match(fold: Column, digits: Column, pattern: str) -> Column:
-    """Whether a text can hold a match. fold: the folded text; digits: its number of decimal digits."""
-    literals, n = required(pattern)
+def may_match(fold: Column, signs: Column, digits: Column, pattern: str) -> Column:
+    """Whether a text can hold a match. fold: the folded text; signs, digits: its extract, and the digits in it."""
+    sets, n = required(pattern)
     tests = [digits >= n] if n else []
-    if literals:
-        tests.append(reduce(lambda a, b: a | b, (F.contains(fold, F.lit(x)) for x in sorted(literals))))
+    for s in sets:
+        tests.append(reduce(lambda a, b: a | b, (F.contains(signs if x in SIGNS else fold, F.lit(x)) for x in sorted(s))))
     return reduce(lambda a, b: a & b, tests, F.lit(True))
-
-
-def digits_in(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"\P{Nd}+", ""))

@@ -51,9 +51,9 @@ def _listed(values: Sequence) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def _hits(text: Column, fold: Column, digits: Column, patterns: Sequence[policy.Pattern]) -> Column:
+def _hits(text: Column, fold: Column, signs: Column, digits: Column, patterns: Sequence[policy.Pattern]) -> Column:
     """Numbers of the patterns that match, from 1. Each is tested as a literal, which Spark compiles once."""
-    tested = (guards.may_match(fold, digits, p.regex) & text.rlike(policy.java_pattern(p, "client")) for p in patterns)
+    tested = (guards.may_match(fold, signs, digits, p.regex) & text.rlike(policy.java_pattern(p, "client")) for p in patterns)
     return F.filter(F.array(*(F.when(t, F.lit(i + 1)) for i, t in enumerate(tested))), lambda i: i.isNotNull())
 
 
@@ -109,14 +109,14 @@ def with_findings(df: DataFrame, text: str = "text", *, known: str | None = None
     """df with an array of resolved findings in the text as it stands; `known`: a column with an array of values that
     are to be found too. A null text has no findings."""
     t = F.col(text)
-    df = df.withColumn("__fold", guards.folded(t)).withColumn("__digits", guards.digits_in(t))
-    df = df.withColumn("__hits", _hits(t, F.col("__fold"), F.col("__digits"), patterns))
+    df = df.withColumn("__fold", guards.folded(t)).withColumn("__signs", guards.signs_in(t)).withColumn("__digits", guards.digits_in(F.col("__signs")))
+    df = df.withColumn("__hits", _hits(t, F.col("__fold"), F.col("__signs"), F.col("__digits"), patterns))
     df = df.withColumn("__candidates", F.when(F.size("__hits") > 0, _candidates(t, F.col("__hits"), patterns)))
     if known:
         extra = F.when(F.size(known) > 0, _known(t, F.col(known)))
         df = df.withColumn("__candidates", F.when(extra.isNotNull() & F.col("__candidates").isNotNull(), F.concat("__candidates", extra)).otherwise(F.coalesce(F.col("__candidates"), extra)))
     some = F.when(F.size("__candidates") > 0, resolved(F.col("__candidates")))
-    return df.withColumn(out, F.coalesce(some, F.array().cast(f"array<{FINDING}>"))).drop("__candidates", "__hits", "__fold", "__digits")
+    return df.withColumn(out, F.coalesce(some, F.array().cast(f"array<{FINDING}>"))).drop("__candidates", "__hits", "__fold", "__signs", "__digits")
 
 
 def for_grade(findings: Column, grade: int | Column) -> Column:

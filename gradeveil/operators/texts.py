@@ -54,9 +54,12 @@ def _first_hit(text: Column, patterns: list[policy.Pattern]) -> Column:
     """The kind of the first pattern that a text matches; each is tried only where the text holds what it needs."""
 
     def decide(x: Column) -> Column:
-        return first_match([(guards.may_match(x["fold"], x["digits"], p.regex) & text.rlike(policy.java_pattern(p, "server")), p.kind) for p in patterns])
+        return first_match([(guards.may_match(x["fold"], x["signs"], x["digits"], p.regex) & text.rlike(policy.java_pattern(p, "server")), p.kind) for p in patterns])
 
-    return bound(F.struct(guards.folded(text).alias("fold"), guards.digits_in(text).alias("digits")), decide)
+    def prepare(signs: Column) -> Column:
+        return bound(F.struct(guards.folded(text).alias("fold"), signs.alias("signs"), guards.digits_in(signs).alias("digits")), decide)
+
+    return bound(guards.signs_in(text), prepare)
 
 
 def rejected_by_floor(df: DataFrame, text: str, grade: int, out: str = "rejected") -> DataFrame:

@@ -31,8 +31,9 @@ MESSAGE = "bucket int, block long, sent binary"
 ANSWER = "block long, bucket int, answer binary"
 CLEANED = "doc_id long, n_words long, n_removed long, kept string"
 NEVER = np.iinfo(np.int64).max
-#: Words in the segments of one reference shard: what one automaton holds.
-SHARD_WORDS = 200_000
+#: Words in the segments of one reference shard: what one automaton holds (7 MB; larger ones are slower, as they leave the
+#: cache).
+SHARD_WORDS = 20_000
 #: Runs of windows with one anchor beyond which each window is its own anchor.
 HOT_RUNS = 5_000
 

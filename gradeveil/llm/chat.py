@@ -66,6 +66,9 @@ class Model:
             self.move[a, :3] = log(1 - stay[role]) + nexts[role]
             self.move[a, 3 + role] = log(stay[role])
         self.move[BEGIN, :3] = log(starts / starts.sum())
+        # a row goes on with the turn before as often as labelled rows have the role of the row before; 1 in 50 without any
+        steps, again = sum(follows.values()), sum(follows[r, r] for r in ROLES)
+        self.goes_on = (again + 1) / (steps + 50)
         self.begin = np.where(np.arange(STATES) == BEGIN, 0.0, LOW)
         self.length = np.array([[lengths[r, k] + 2 for k in range(len(LENGTHS) + 1)] for r in ROLES], float)
         self.length = log(self.length / self.length.sum(1, keepdims=True))
@@ -78,9 +81,9 @@ class Model:
         length, end = _length(line), _end(line)
         out[BEGIN] = LOW
         out[:3] = out[3:BEGIN] = self.length[:, length] + self.end[:, end]
-        # rows open turns but for 1 in 50; lines inside rows do so without a marker in 1 of 500
-        out[:3] += math.log(0.98 if opens_row else (0.9 if marker >= 0 else 0.002))
-        out[3:BEGIN] += math.log(0.02 if opens_row else (0.1 if marker >= 0 else 0.998))
+        # lines inside rows open turns without a marker in 1 of 500
+        out[:3] += math.log(1 - self.goes_on if opens_row else (0.9 if marker >= 0 else 0.002))
+        out[3:BEGIN] += math.log(self.goes_on if opens_row else (0.1 if marker >= 0 else 0.998))
         if marker >= 0:  # a marker names the wrong role in 1 of 100 cases
             wrong = np.full(3, math.log(0.005))
             wrong[marker] = math.log(0.99)

@@ -317,7 +317,7 @@ def version_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.drift(expected, actual)
 
 
-@query("SELECT o_custkey, count(*) FILTER (n = 1) AS transferred, count(*) FILTER (n > 1) AS ambiguous, count(*) FILTER (n = 0) AS unmatched, 0 AS disabled FROM (SELECT a.o_custkey, a.o_orderkey, count(b.o_orderkey) AS n FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND b.o_orderkey % 2 = 1 WHERE a.o_orderkey % 2 = 0 GROUP BY ALL) GROUP BY o_custkey")
+@query("SELECT o_custkey, count(*) FILTER (n = 1) AS transferred, count(*) FILTER (n > 1) AS ambiguous, count(*) FILTER (n = 0) AS unmatched, 0::BIGINT AS disabled FROM (SELECT a.o_custkey, a.o_orderkey, count(b.o_orderkey) AS n FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND b.o_orderkey % 2 = 1 WHERE a.o_orderkey % 2 = 0 GROUP BY ALL) GROUP BY o_custkey")
 def transfer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("label"))
     sources = orders.where("o_orderkey % 2 = 0").withColumnRenamed("o_orderkey", "source_id").withColumn("value", F.lit("x"))

@@ -21,6 +21,9 @@ def database():
     return connection
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "array<string>": "VARCHAR[]"}
+
+
 def plain(value):
     if isinstance(value, float):
         return round(value, 6)
@@ -36,6 +39,8 @@ def test_query(spark, database, name):
     rows = Counter(plain(tuple(r)) for r in got.select(*columns).collect())
     if name in registry.ORACLE_SQL:
         quoted = ", ".join(f'"{c}"' for c in columns)
+        relation = database.sql(registry.ORACLE_SQL[name])
+        assert {f.name: TYPES[f.dataType.simpleString()] for f in got.schema} == dict(zip(relation.columns, map(str, relation.types), strict=True))
         expected = database.sql(f"SELECT {quoted} FROM ({registry.ORACLE_SQL[name]})").fetchall()
         assert rows == Counter(map(plain, expected))
 

@@ -245,7 +245,8 @@ def rows_in(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYT
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
-    pa.default_memory_pool().release_unused()
+    held.clear()
+    release_memory()
 
 
 def block_ids() -> Iterator[int]:
@@ -276,7 +277,17 @@ def one_by_one(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives what a task has freed back to the machine: its worker lives on, beside those of other tasks."""
+    import ctypes
+
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def one_blas_thread() -> None:

@@ -27,6 +27,8 @@ from gradeveil.llm.common import hashed, pieces_for, ragged, rolling, rows_in, w
 
 #: Words of the benchmark whose index one task holds at a time (about 40 bytes each).
 BLOCK_WORDS = 1_000_000
+#: Bytes of text that are turned into templates at a time.
+PART_BYTES = 2 << 20
 #: Windows shared by texts and items that are laid out at a time.
 MAX_HITS = 1_000_000
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
@@ -201,7 +203,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_co
 def _scan(shared, window: int, min_cover: float, min_tokens: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = None
-        for table in rows_in(batches, "__text"):
+        for table in rows_in(batches, "__text", PART_BYTES):
             index = index or Index(shared.value, window)
             leaks = index.leaks(Templates(table["__text"].combine_chunks()), min_cover, min_tokens)
             items, cover = table["item_ids"].to_pylist(), table["cover"].to_pylist()

@@ -274,7 +274,7 @@ def _sequence(counts: np.ndarray, codes: np.ndarray, classes: np.ndarray, symbol
     return s1, s2, target, item, row
 
 
-def score_documents(docs: DataFrame, *, size: int = 16, rounds: int = 3, rate: float = 0.15, batch: int = 2048, samples: int = 64, item_samples: int = 2, min_count: int = 30, min_share: float = 2e-5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, *, size: int = 16, rounds: int = 3, rate: float = 0.15, batch: int = 2048, samples: int = 64, item_samples: int = 2, min_count: int = 30, min_share: float = 5e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores every text by a model of those whose id is not held out; one row per row of docs.
 
     Tokens are lower-cased (A-Z) words and one end. base_score: log10 of the smoothed unigram probability; score: log10
@@ -340,7 +340,7 @@ def score_documents(docs: DataFrame, *, size: int = 16, rounds: int = 3, rate: f
     parameters = LogBilinear.start(words, size)
     for r in range(rounds):
         parameters = _round(coded.where(F.col("round") == r), parameters, shared, size, rate / (1 + r), batch, samples, item_samples)
-    model = spark.sparkContext.broadcast(parameters)
+    model = spark.sparkContext.broadcast(parameters.astype(np.float32))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -393,7 +393,7 @@ def _vocabulary(answers: DataFrame, blocks: DataFrame, min_share: float) -> tupl
 
 def _round(blocks: DataFrame, parameters: np.ndarray, words, size: int, rate: float, batch: int, samples: int, item_samples: int) -> np.ndarray:
     """The parameters after one pass over these blocks: a task goes on from block to block."""
-    shared = blocks.sparkSession.sparkContext.broadcast(parameters)
+    shared = blocks.sparkSession.sparkContext.broadcast(parameters.astype(np.float32))
     width = -(-len(parameters) // SLICES)
 
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from gradeveil.functions import shared
@@ -112,6 +112,17 @@ def buckets_of(blocks: DataFrame) -> int:
     return max(1, partitions, math.ceil(math.sqrt(megabytes)), math.ceil(megabytes / 512))
 
 
+def by_bucket(messages: DataFrame, n: int) -> GroupedData:
+    """Messages grouped by bucket, each of the n buckets in a task of its own: Spark deals by hash, so every bucket gets a
+    number that hashes to a task which no other bucket has."""
+    number = F.col("id").cast("int")
+    numbers = messages.sparkSession.range(32 * n).select(F.pmod(F.hash(number), F.lit(n)).alias("bucket"), number.alias("number"))
+    # n rows
+    tasks = F.broadcast(numbers.groupBy("bucket").agg(F.min("number").alias("number")))
+    dealt = messages.join(tasks, "bucket", "left").withColumn("number", F.coalesce("number", "bucket"))
+    return dealt.repartition(n, "number").groupBy("number", "bucket")
+
+
 def dump(*arrays: np.ndarray) -> bytes:
     """Packs numpy arrays into one zstandard frame. All first bytes of an array's elements stand together, then
     all second ones, and so on: the high bytes of codes and of sorted hashes then take next to no room."""

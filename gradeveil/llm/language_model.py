@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeveil.llm.common import NULL_ID, buckets_of, cut, dump, hashed, id_array, load, mix, one_blas_thread, one_by_one, row_batch, tree_sum, written
+from gradeveil.llm.common import NULL_ID, buckets_of, by_bucket, cut, dump, hashed, id_array, load, mix, one_blas_thread, one_by_one, row_batch, tree_sum, written
 from gradeveil.llm.word_blocks import WordBlock, word_blocks
 
 #: Words with a class of their own, classes of other words; then come the end and, in contexts only, the begin.
@@ -314,7 +314,7 @@ def score_documents(docs: DataFrame, *, size: int = 16, rounds: int = 3, rate: f
         blocks, buckets = table["block"].to_pylist(), table["bucket"].to_pylist()
         return pa.table({"block": pa.array([*blocks, SUMS, FREQUENT], pa.int64()), "bucket": pa.array([*buckets, buckets[0], buckets[0]], pa.int32()), "answer": pa.array(answers, pa.binary())})
 
-    answers = written(blocks.mapInArrow(send, MESSAGE).repartition(n, "bucket").groupBy("bucket").applyInArrow(count, ANSWER), "counts")
+    answers = written(by_bucket(blocks.mapInArrow(send, MESSAGE), n).applyInArrow(count, ANSWER), "counts")
     words, train_tokens, n_types, end_count = _vocabulary(answers, blocks, min_share)
     shared = spark.sparkContext.broadcast(words)
     by_block = answers.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeveil.llm.common import BLANKS, block_ids, bucket_of, buckets_of, cut, dump, hashed, ids_of, ipc_to_rows, load, one_by_one, row_batch, rows_in, rows_to_ipc, written
+from gradeveil.llm.common import BLANKS, block_ids, bucket_of, buckets_of, by_bucket, cut, dump, hashed, ids_of, ipc_to_rows, load, one_by_one, row_batch, rows_in, rows_to_ipc, written
 from gradeveil.llm.perfect_hash import LineCounts, ShippedLines
 
 BLOCKS = "block long, rows binary, sent binary"
@@ -95,7 +95,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, doc_
         return out.filter(pc.is_valid(out["answer"]))
 
     sent = blocks.select("block", "sent").mapInArrow(send, SENT)
-    answers = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(shard, ANSWERS)
+    answers = by_bucket(sent, n).applyInArrow(shard, ANSWERS)
     answered = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
     fields = rows.schema
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeveil.llm.automaton import SuffixAutomaton
-from gradeveil.llm.common import NULL_ID, buckets_of, cut, dump, hashed, id_array, load, mix, one_by_one, ragged, rolling, row_batch
+from gradeveil.llm.common import NULL_ID, buckets_of, by_bucket, cut, dump, hashed, id_array, load, mix, one_by_one, ragged, rolling, row_batch
 from gradeveil.llm.word_blocks import WordBlock, word_blocks
 
 MESSAGE = "bucket int, block long, sent binary"
@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, gram: int = 6, shard_wo
     def by_block(answers: DataFrame) -> DataFrame:
         return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
 
-    shared = blocks.mapInArrow(send_anchors, MESSAGE).repartition(n, "bucket").groupBy("bucket").applyInArrow(shared_anchors, ANSWER)
+    shared = by_bucket(blocks.mapInArrow(send_anchors, MESSAGE), n).applyInArrow(shared_anchors, ANSWER)
 
     def shared_runs(block: WordBlock, answers: list[dict]) -> Runs:
         """The runs of a block whose anchor another document has too."""
@@ -220,7 +220,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, gram: int = 6, shard_wo
     # the blocks are dealt by their number once: both joins read the same exchange, and the last pass finds the
     # segments again instead of reading them back
     told = blocks.join(by_block(shared).withColumnRenamed("answers", "shared"), "block", "left")
-    answers = told.mapInArrow(send_segments, MESSAGE).repartition(n, "bucket").groupBy("bucket").applyInArrow(stream, ANSWER)
+    answers = by_bucket(told.mapInArrow(send_segments, MESSAGE), n).applyInArrow(stream, ANSWER)
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])

@@ -7,9 +7,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gradeveil.llm.automaton import SuffixAutomaton
-from gradeveil.llm.common import bucket_of, cut, dump, load, mix, rows_in, words_of
+from gradeveil.llm.common import bucket_of, by_bucket, cut, dump, load, mix, rows_in, words_of
 from gradeveil.llm.components import connected_components
 from gradeveil.llm.encoding import WordEncoder, default_vocabulary
 from gradeveil.llm.language_model import _log_softmax
@@ -150,3 +151,16 @@ def test_log_softmax(scale, shift):
     most = wide.max(1)
     expected = wide[np.arange(50), at] - most - np.log(np.exp(wide - most[:, None]).sum(1))
     assert _log_softmax(scores, at) == pytest.approx(expected, abs=1e-4)
+
+
+@pytest.mark.parametrize("n", [1, 4, 37])
+def test_every_bucket_has_a_task_of_its_own(spark, n):
+    messages = spark.range(3 * n).select((F.col("id") % n).cast("int").alias("bucket"), F.col("id").alias("block"))
+
+    def where(table):
+        from pyspark import TaskContext
+
+        return pa.table({"bucket": table["bucket"][:1], "task": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([len(table)], pa.int32())})
+
+    rows = by_bucket(messages, n).applyInArrow(where, "bucket int, task int, n int").collect()
+    assert len({r.task for r in rows}) == n and sorted(r.bucket for r in rows) == list(range(n)) and {r.n for r in rows} == {3}

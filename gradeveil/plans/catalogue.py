@@ -364,11 +364,6 @@ def breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "event_id", "decision", F.round("amount", 3).alias("amount"))
 
 
-@query()
-def job_table_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir, "jobs", ttl=432_000.0, cap=4)
-
-
 @query(
     f"""WITH m AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY key ORDER BY rn) >= 86400, false)::INT AS new FROM ({ORDERED})),
     i AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY rn)::BIGINT AS session FROM m)

@@ -353,7 +353,44 @@ def duplicate_action_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir, "actions")
 
 
-@query()
+def _promoted(jobs: str) -> str:
+    """Waiting jobs run, in their order, as far as two places are free."""
+    return f"list_transform({jobs}, lambda j, i: CASE WHEN j.st = 'queued' AND len(list_filter({jobs}[:i], lambda k: k.st = 'queued')) <= 2 - len(list_filter({jobs}, lambda k: k.st = 'running')) THEN struct_pack(t := j.t, st := 'running') ELSE j END)"
+
+
+ENDED_JOB = "j.st IN ('succeeded', 'failed')"
+
+
+@query(
+    f"""WITH RECURSIVE e AS ({ORDERED}),
+    s AS (SELECT DISTINCT key, NULL::BIGINT AS event_id, 0::BIGINT AS rn, []::STRUCT(t DOUBLE, st VARCHAR)[] AS jobs, NULL::VARCHAR AS decision FROM e
+        UNION ALL SELECT key, event_id, rn, {_promoted('y')}, CASE WHEN ends AND p = 0 THEN 'not_found' WHEN ends THEN new_state WHEN len(a) >= 4 AND m IS NULL THEN 'queue_full' ELSE {_promoted('y')}[-1].st END
+        FROM (SELECT *, CASE WHEN (ends AND p = 0) OR (NOT ends AND len(a) >= 4 AND m IS NULL) THEN a
+                WHEN ends THEN list_transform(a, lambda j, i: CASE WHEN i = p THEN struct_pack(t := ts, st := new_state) ELSE j END)
+                ELSE list_append(CASE WHEN len(a) >= 4 THEN list_concat(a[:o - 1], a[o + 1:]) ELSE a END, struct_pack(t := ts, st := 'queued')) END AS y
+            FROM (SELECT *, coalesce(list_position(list_transform(a, lambda j: {ENDED_JOB} AND j.t = m), true), 0) AS o
+                FROM (SELECT *, event_type IN ('purchase', 'error') AS ends, CASE event_type WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS new_state,
+                        coalesce(list_position(list_transform(a, lambda j: j.st = 'running'), true), 0) AS p, list_min(list_transform(list_filter(a, lambda j: {ENDED_JOB}), lambda j: j.t)) AS m
+                    FROM (SELECT *, {_promoted('x')} AS a
+                        FROM (SELECT e.key, e.event_id, e.rn, e.ts, e.event_type, list_filter(s.jobs, lambda j: e.ts - j.t < 432000) AS x FROM s JOIN e ON e.key = s.key AND e.rn = s.rn + 1))))))
+    SELECT key, event_id, decision, len(jobs)::DOUBLE AS amount FROM s WHERE rn > 0"""
+)
+def job_table_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir, "jobs", ttl=432_000.0, cap=4)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_type AS key, event_id, user_id::DOUBLE AS client, epoch_us(ts) / 1e6 AS ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+    s AS (SELECT DISTINCT key, NULL::BIGINT AS event_id, 0::BIGINT AS rn, []::STRUCT(c DOUBLE, l DOUBLE[])[] AS logs, NULL::VARCHAR AS decision, 0.0::DOUBLE AS amount FROM e
+        UNION ALL SELECT key, event_id, rn, CASE WHEN known THEN list_transform(kept, lambda x: CASE WHEN x.c = client THEN struct_pack(c := x.c, l := now_) ELSE x END) ELSE list_append(kept, struct_pack(c := client, l := now_)) END,
+            CASE WHEN len(log) >= 3 THEN 'denied' ELSE 'allowed' END, CASE WHEN len(log) >= 3 THEN greatest(1, trunc(log[1] + 172800 - ts + 0.999))::DOUBLE ELSE 0.0 END
+        FROM (SELECT *, CASE WHEN len(log) >= 3 THEN log ELSE list_append(log, ts) END AS now_
+            FROM (SELECT *, list_filter(coalesce(list_filter(kept, lambda x: x.c = client)[1].l, []), lambda t: t > ts - 172800) AS log
+                FROM (SELECT *, CASE WHEN NOT known AND len(logs) >= 8 THEN list_concat(logs[:o - 1], logs[o + 1:]) ELSE logs END AS kept
+                    FROM (SELECT *, list_position(list_transform(logs, lambda x: x.l[-1]), list_min(list_transform(logs, lambda x: x.l[-1]))) AS o
+                        FROM (SELECT e.key, e.event_id, e.rn, e.ts, e.client, s.logs, len(list_filter(s.logs, lambda x: x.c = e.client)) > 0 AS known FROM s JOIN e ON e.key = s.key AND e.rn = s.rn + 1))))))
+    SELECT key, event_id, decision, amount FROM s WHERE rn > 0"""
+)
 def client_table_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A limiter for all users of an event type in one table of eight clients."""
     events = table(spark, sf_dir, "events").withColumn("value", F.col("user_id"))

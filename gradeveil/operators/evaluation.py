@@ -41,6 +41,11 @@ def candidate_matches(truths: DataFrame, predictions: DataFrame, iou_threshold:
     return both.withColumn("quality", quality).where(F.when(by_box, F.col("quality") >= iou_threshold).otherwise(F.col("quality").isNotNull())).select("case_id", "annotation_id", "detection_id", "quality")
 
 
+def with_wildcards(redactions: DataFrame) -> DataFrame:
+    """Redactions as predictions, where a run reports no detections: those of general kinds match any sensitive kind."""
+    return redactions.withColumn("wildcard", F.coalesce(F.col("kind").isin(WILDCARD_KINDS), F.lit(False)))
+
+
 def _augment(edges: dict[str, list[str]]) -> dict[str, str]:
     """A maximum matching (annotation to detection), by augmenting paths in the order of detections; iterative, so
     that long paths are no matter."""

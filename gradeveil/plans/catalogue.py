@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeveil.functions import geometry as g
 from gradeveil.functions import policy
 from gradeveil.functions.columns import luhn
 from gradeveil.operators import boxes, classify, documents, evaluation, reports, spans, texts, validation
-from gradeveil.plans import planners
-from gradeveil.plans.registry import ORACLE_SQL, QUERIES, query
+from gradeveil.plans.registry import ORACLE_SQL, query
 from gradeveil.plans.registry import table as _t
 from gradeveil.sources import readers
 from gradeveil.streaming import stateful
@@ -540,17 +539,6 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("picture", task.alias("task"), F.transform("es", lambda x: x["e"]).alias("elements"))
 
 
-def _action_columns(action: Column) -> list[Column]:
-    return [action[c].alias(c) for c in ("type", "elementId", "direction", "amount", "milliseconds", "message")]
-
-
-@query()
-def guarded_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    proposed = planners.click(F.element_at("elements", -1)["id"])
-    planned = _elements(spark, sf_dir).withColumn("p", proposed).select("picture", planners.guarded_action(F.col("task"), F.col("elements"), F.col("p")).alias("a"))
-    return planned.select("picture", *_action_columns(F.col("a")))
-
-
 FOUND = "list_filter([CASE WHEN out THEN 'element_bounds' END, CASE WHEN picture % 5 NOT BETWEEN 1 AND 3 THEN 'grade' END{}], lambda c: c IS NOT NULL)"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeveil.functions import policy
 from gradeveil.operators import evaluation, reports, texts, validation
 from gradeveil.plans import planners
-from gradeveil.plans.catalogue import CATEGORIES, EXPLODED, ORDERED, _decided, _elements, _findings
+from gradeveil.plans.catalogue import BOXES, CATEGORIES, EXPLODED, ORDERED, _decided, _elements, _findings
 from gradeveil.plans.registry import ORACLE_SQL, case_query, query, table
 from gradeveil.streaming import stateful
 
@@ -435,7 +435,6 @@ MANY = "'Safe structural progress is impossible without a unique sanitized contr
 SUMS = f"""SELECT picture, count(*) FILTER (pending) AS waiting, min(id) FILTER (pending) AS first_waiting, count(*) FILTER (terminal AND NOT disabled) AS submits, min(id) FILTER (terminal AND NOT disabled) AS first_submit,
     count(*) FILTER (terminal AND disabled) AS ended, count(*) FILTER (label LIKE '%[public]%') > 0 AND bool_and(label NOT LIKE '%[public]%' OR label LIKE '%[filled]%') AS complete, max_by(id, vec_id) AS last_id,
     max_by(terminal AND NOT disabled, vec_id) AS last_submits FROM ({FORM}) GROUP BY picture"""
-EMPTY = "NULL::VARCHAR AS direction, NULL::INTEGER AS amount, NULL::INTEGER AS milliseconds, NULL::VARCHAR AS message"
 TASK = "picture % 4 IN (0, 1, 3)"  # all tasks but reading have a term
 
 
@@ -461,6 +460,28 @@ def form_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir, planners.form_action(F.col("task"), F.lit("A page"), F.col("elements")))
 
 
+ID = "'e_' || lpad({}::VARCHAR, 16, '0')"
+
+
+@query(
+    f"""WITH f AS (SELECT f.*, b.y + b.h / 2 AS centre FROM ({FORM}) f JOIN ({BOXES}) b USING (vec_id)),
+    g AS (SELECT f.vec_id, (SELECT max(p.vec_id) FROM f p WHERE p.picture = f.picture AND p.pending AND p.vec_id < f.vec_id AND p.centre <= f.centre + 4) AS pre FROM f),
+    s AS (SELECT picture, count(*) FILTER (pending) AS waiting, count(*) FILTER (terminal AND NOT disabled) AS submits, count(*) FILTER (terminal AND disabled) AS ended,
+        min(vec_id) FILTER (terminal AND NOT disabled) AS submit, min(vec_id) FILTER (terminal AND disabled) AS stop, max(vec_id) AS last, picture % 4 = 1 AS fill FROM f GROUP BY picture),
+    j AS (SELECT s.*, a.pre AS before_last, b.pre AS before_submit, c.pre AS before_stop, l.terminal AND NOT l.disabled AS last_submits, l.pending AS last_pending,
+        l.role = 'checkbox' AND l.checked AND NOT l.disabled AND NOT fill AS consent, NOT fill AND submits = 0 AND ended = 1 AS finished
+        FROM s JOIN f l ON l.vec_id = s.last JOIN g a ON a.vec_id = s.last LEFT JOIN g b ON b.vec_id = s.submit LEFT JOIN g c ON c.vec_id = s.stop),
+    d AS (SELECT picture, CASE WHEN NOT ({TASK}) THEN last WHEN finished AND before_stop IS NOT NULL THEN before_stop WHEN finished AND waiting > 0 THEN last WHEN finished THEN -1
+        WHEN last_submits AND before_last IS NOT NULL THEN before_last WHEN last_submits THEN last WHEN consent AND submits = 1 THEN submit WHEN consent AND submits = 0 AND ended = 0 THEN -2
+        WHEN NOT fill AND submits = 1 AND last_pending THEN last WHEN NOT fill AND submits = 1 THEN coalesce(before_submit, submit) ELSE last END AS v FROM j)
+    SELECT picture, CASE v WHEN -1 THEN 'done' WHEN -2 THEN 'scroll' ELSE 'click' END AS type, CASE WHEN v >= 0 THEN {ID.format('v')} END AS "elementId", CASE v WHEN -2 THEN 'down' END AS direction,
+        (CASE v WHEN -2 THEN 450 END)::INTEGER AS amount, NULL::INTEGER AS milliseconds, CASE v WHEN -1 THEN {ENDED} END AS message FROM d"""
+)
+def guarded_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proposed action is a click on the last element."""
+    return _plan(spark, sf_dir, planners.guarded_action(F.col("task"), F.col("elements"), planners.click(F.element_at("elements", -1)["id"])))
+
+
 @query(f"SELECT vec_id, bool_or(p.pending) AS has_prerequisite FROM ({FORM}) f LEFT JOIN (SELECT picture, vec_id AS v, pending FROM ({FORM})) p ON p.picture = f.picture AND p.v < f.vec_id AND p.pending WHERE f.terminal GROUP BY vec_id")
 def prerequisites_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether anything pending comes before a control, wherever it stands on the page."""

@@ -376,6 +376,23 @@ def picture_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pictures(spark, sf_dir).select("n", F.explode(listed("png")).alias("c")).select("n", "c.name", "c.size")
 
 
+@query("SELECT n_nationkey::BIGINT AS n, CASE n_nationkey % 3 WHEN 0 THEN 'tEXt' ELSE 'damaged' END AS chunk FROM nation WHERE n_nationkey % 3 < 2")
+def forbidden_picture_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One picture in three has a comment behind its header, one has lost its end."""
+    n, png = F.col("n"), F.col("png")
+    text = F.concat(F.lit(b"tEXt"), F.lit(b"Comment\0x"))
+    chunk = F.concat(F.unhex(F.lit("00000009")), text, F.unhex(F.lpad(F.hex(F.crc32(text)), 8, "0")))
+    size = F.octet_length(png)
+    changed = F.when(n % 3 == 0, F.concat(F.substring(png, 1, 33), chunk, F.expr("substring(png, 34)"))).when(n % 3 == 1, F.substring(png, F.lit(1), size - 5)).otherwise(png)
+    return readers.forbidden_chunks(_pictures(spark, sf_dir).withColumn("png", changed), "n")
+
+
+@query(f"SELECT vec_id, label % 2 = 0 AS wildcard FROM ({BOXES})")
+def wildcard_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("label") % 2 == 1, "aadhaar-card").when(F.col("label") % 4 == 0, "pii-text").otherwise("visual-fallback")
+    return evaluation.with_wildcards(_boxes(spark, sf_dir).select("vec_id", kind.alias("kind"))).drop("kind")
+
+
 def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey").cast("long")
     where = F.explode(F.array(*(F.struct(F.lit(i).alias("annotation_id"), g.rect(F.lit(float(x)), F.lit(float(y)), F.lit(float(w)), F.lit(float(h))).alias("bounds")) for i, (x, y, w, h) in enumerate(((0, 0, 3, 2), (2, 1, 5, 5), (9, 0, 3, 8))))))

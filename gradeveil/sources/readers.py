@@ -164,6 +164,28 @@ def pictures_to_pixels(pictures: DataFrame, key: str, png: str = "png") -> DataF
     return pictures.select(key, png).mapInArrow(run, f"`{key}` {kind}, x int, y int, r int, g int, b int, a int, error string")
 
 
+def forbidden_chunks(pictures: DataFrame, key: str, png: str = "png") -> DataFrame:
+    """key and the names of the ancillary chunks that a picture has and must not have; pictures that cannot be read are
+    named damaged."""
+    kind = dict(pictures.dtypes)[key]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows, names = [], []
+            for row, data in enumerate(batch.column(png).to_pylist()):
+                try:
+                    found = sorted({name for name, _ in png_chunks(data or b"")} & set(FORBIDDEN_CHUNKS))
+                except ValueError:
+                    found = ["damaged"]
+                rows += [row] * len(found)
+                names += found
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), pa.array(names, pa.string())], names=[key, "chunk"])
+
+    return pictures.select(key, png).mapInArrow(run, f"`{key}` {kind}, chunk string")
+
+
 def png_bytes(base64_text: Column) -> Column:
     return F.when(base64_text.rlike("^[A-Za-z0-9+/]+={0,2}$"), F.unbase64(base64_text))
 

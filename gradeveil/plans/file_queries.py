@@ -4,7 +4,6 @@ ledgers, and models behind seams."""
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +14,9 @@ from gradeveil.plans.registry import query, table
 from gradeveil.sources import readers
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared.shared_folder(spark)}/gradeveil-files-{uuid.uuid4().hex}"
-
-
 def _written(rows: DataFrame, key: str) -> str:
     """Writes rows of key and value as one text file for each key; the folder."""
-    folder = _folder(rows.sparkSession)
+    folder = shared.working_folder(rows.sparkSession)
     rows.repartition(key).write.partitionBy(key).text(folder)
     return folder
 
@@ -55,7 +50,7 @@ def locked_file_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT '{' || chr(10) || '  "customers": ' || (SELECT count(*) FROM customer) || ',' || chr(10) || '  "nations": ' || (SELECT count(*) FROM nation) || ',' || chr(10) || '  "title": "Größe"' || chr(10) || '}' || chr(10) AS text""")
 def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_folder(spark)}/report.json"
+    path = f"{shared.working_folder(spark)}/report.json"
     counts = table(spark, sf_dir, "customer").agg(F.count("*").alias("customers"))
     nations = table(spark, sf_dir, "nation").count()
     readers.write_report(counts.select(F.lit("Größe").alias("title"), F.lit(nations).alias("nations"), "customers"), path)
@@ -99,7 +94,7 @@ LEDGER = "SELECT o_orderkey::VARCHAR AS job_id, CASE WHEN o_orderkey % 3 = 0 THE
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> str:
-    folder, k = f"{_folder(spark)}/ledger", F.col("o_orderkey")
+    folder, k = f"{shared.working_folder(spark)}/ledger", F.col("o_orderkey")
     jobs = table(spark, sf_dir, "orders").select(k.cast("string").alias("job_id"), F.lit("s").alias("snapshot_id"), F.lit("pending").alias("state"), F.lit(None).cast("string").alias("response_json"), F.lit(None).cast("string").alias("failure"), k.cast("double").alias("updated_at"))
     readers.append_jobs(jobs, folder)
     readers.append_jobs(jobs.where(k % 3 == 0).withColumn("state", F.lit("succeeded")).withColumn("updated_at", F.col("updated_at") + 1000), folder)

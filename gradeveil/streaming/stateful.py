@@ -9,7 +9,6 @@ sorted in memory, so that the source's batches (maxFilesPerTrigger, maxOffsetsPe
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -94,7 +93,7 @@ def replayed(stream: DataFrame) -> DataFrame:
     """Runs a stream over what its source has now and returns what it wrote. Output and state go to a new folder in
     spark.checkpoint.dir."""
     spark = stream.sparkSession
-    folder = f"{shared.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = shared.working_folder(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     sink = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -10,12 +10,9 @@ and answers each block with one packed message.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import json
 import math
-import shutil
-import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -27,6 +24,7 @@ from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from gradeveil.functions import shared
+from gradeveil.functions.shared import discard as discard
 
 #: Bytes of text in one block; a single longer document makes a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -38,13 +36,9 @@ NULL_ID = np.iinfo(np.int64).min
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can read, until the program ends."""
-    # with its scheme, as files that Python writes there go the same way
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(f"{shared.shared_folder(spark)}/gradeveil-{uuid.uuid4().hex}")
-    folder = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    folder = shared.working_folder(spark)
     if _recorded is not None:
         _recorded.append(folder)
-    _made.append(folder)
     return folder
 
 
@@ -56,18 +50,6 @@ def free_prefix(columns: Iterable[str], prefix: str = "__") -> str:
 
 
 _recorded: list[str] | None = None
-_made: list[str] = []
-
-
-@atexit.register
-def _clean_up() -> None:
-    """Working tables end with the program; where Spark has stopped before, only local ones can still be deleted."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        discard(spark, _made)
-    for folder in _made:
-        if folder.startswith("file:"):
-            shutil.rmtree("/" + folder[5:].lstrip("/"), ignore_errors=True)
 
 
 @contextlib.contextmanager
@@ -81,15 +63,6 @@ def recorded() -> Iterator[list[str]]:
         _recorded = before
 
 
-def discard(spark: SparkSession, folders: list[str]) -> None:
-    """Deletes shared folders whose tables nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for folder in folders:
-        place = jvm.org.apache.hadoop.fs.Path(folder)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    folders.clear()
-
-
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes df to the shared folder, parted by a column if one is named, and reads it back: cuts the lineage, survives
     lost executors. While it writes, Arrow batches are short, since a row may be a whole text or block."""

@@ -66,9 +66,8 @@ class Model:
             self.move[a, :3] = log(1 - stay[role]) + nexts[role]
             self.move[a, 3 + role] = log(stay[role])
         self.move[BEGIN, :3] = log(starts / starts.sum())
-        # a row goes on with the turn before as often as labelled rows have the role of the row before; 1 in 50 without any
-        steps, again = sum(follows.values()), sum(follows[r, r] for r in ROLES)
-        self.goes_on = (again + 1) / (steps + 50)
+        # how often a row goes on with the turn before: 1 in 50; but where rows have labels, they are turns of their own
+        self.goes_on = 1 / (sum(roles.values()) + 50)
         self.begin = np.where(np.arange(STATES) == BEGIN, 0.0, LOW)
         self.length = np.array([[lengths[r, k] + 2 for k in range(len(LENGTHS) + 1)] for r in ROLES], float)
         self.length = log(self.length / self.length.sum(1, keepdims=True))

@@ -536,7 +536,7 @@ def test_chat_in_chunks(spark):
     rows += [(None, None, None, f"null {k}\nUser: hello") for k in range(7)] + [(8, 0, None, f"line {k}" if k % 5 else f"Assistant: turn {k}") for k in range(30)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     model = chat.fit(spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string"))
-    model.move[:, 3:6] += 2.0  # so that turns go on over many rows
+    model.goes_on = 0.3  # so that turns go on over many rows
     whole, parts, single = (Counter(chat.format_chats(turns, model=model, chunk_rows=n).collect()) for n in (10**6, 16, 1))
     assert whole == parts == single
     assert sum("\n" in r.text and r.conv_id == 9 for r in whole) > 10

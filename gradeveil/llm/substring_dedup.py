@@ -66,7 +66,8 @@ class Runs:
             return
         run_of = np.cumsum(begins) - 1
         self.size = np.bincount(run_of[inside], minlength=len(self.start))  # windows
-        self.anchor, self.doc = best[self.start], row[self.start]
+        # least hashes are small numbers: mixed, so that they fill all buckets alike
+        self.anchor, self.doc = mix(best[self.start]), row[self.start]
 
     def take(self, which: np.ndarray) -> None:
         self.start, self.size, self.doc, self.anchor = self.start[which], self.size[which], self.doc[which], self.anchor[which]

@@ -79,7 +79,10 @@ def pii_by_lang_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT g.grade, c.category, count(e.value) AS hidden FROM (VALUES (1), (2), (3)) g(grade) CROSS JOIN (VALUES ('contact', 2), ('financial', 1), ('network', 2)) c(category, min_grade) LEFT JOIN (SELECT *, {CATEGORIES} AS category FROM ({EXPLODED})) e ON e.category = c.category AND c.min_grade <= g.grade GROUP BY ALL")
 def category_rollup_by_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _findings(spark, sf_dir).groupBy("f.category", "f.min_grade").agg(F.count("*").alias("n"))
+    found = _findings(spark, sf_dir).select("f.category", "f.min_grade", F.lit(1).alias("n"))
+    # the categories of the SQL have rows where nothing is found too
+    zeros = spark.createDataFrame([(c, policy.MINIMUM_GRADES[c], 0) for c in ("contact", "financial", "network")], "category string, min_grade int, n int")
+    counts = found.unionByName(zeros).groupBy("category", "min_grade").agg(F.sum("n").alias("n"))
     grades = spark.createDataFrame([(1,), (2,), (3,)], "grade int")
     # a handful of categories by three grades
     return counts.join(F.broadcast(grades)).select("grade", "category", F.when(F.col("min_grade") <= F.col("grade"), F.col("n")).otherwise(F.lit(0)).alias("hidden"))

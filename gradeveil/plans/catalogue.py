@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeveil.functions import geometry as g
@@ -36,10 +36,15 @@ def _redacted_sql(table: str, columns: str, kinds: list[str], text: str = NORMAL
     return f"SELECT {columns}, ({count})::INTEGER AS n_findings, {done} AS redacted FROM (SELECT *, {text} AS t FROM {table})"
 
 
+def _number(findings: str, text: str) -> Column:
+    """How many findings a text has; null for a null text, as in the SQL."""
+    return F.when(F.col(text).isNotNull(), F.size(findings)).alias("n_findings")
+
+
 def _redact(grade: int) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         done = spans.redacted(_t(spark, sf_dir, "documents").select("doc_id", "text"), grade=grade)
-        return done.select("doc_id", F.size("findings").alias("n_findings"), "redacted")
+        return done.select("doc_id", _number("findings", "text"), "redacted")
 
     run.__name__ = f"redact_documents_g{grade}"
     query(_redacted_sql("documents", "doc_id", ["CARD"] if grade == 1 else list(KINDS)))(run)

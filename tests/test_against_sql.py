@@ -27,3 +27,9 @@ def differing(spark, tmp_path):
 def test_rollup_has_categories_without_findings(differing, texts):
     rows = [(i, t, "en", "web") for i, t in enumerate(texts)]
     assert differing("category_rollup_by_grade", "documents", rows, "doc_id long, text string, lang string, source string") == (Counter(), Counter())
+
+
+@pytest.mark.parametrize("grade", [1, 2, 3])
+def test_redacted_documents_with_null_texts(differing, grade):
+    rows = [(1, None), (2, ""), (3, " \t\n "), (4, "nothing"), (5, "a.b@example.org from 10.0.0.1, 4111 1111 1111 1111")]
+    assert differing(f"redact_documents_g{grade}", "documents", rows, "doc_id long, text string") == (Counter(), Counter())

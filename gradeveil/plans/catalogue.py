@@ -166,7 +166,7 @@ TEXT_ONLY = rf"trim(regexp_replace(regexp_replace({STRIPPED}, '(?s)<[^>]*>', ' '
 def redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace(readers.without_scripts(F.col("html")), r"(?s)<[^>]*>", " ")
     done = spans.redacted(_t(spark, sf_dir, "pages").select("page_id", plain.alias("text")))
-    return done.select("page_id", F.size("findings").alias("n_findings"), "redacted")
+    return done.select("page_id", _number("findings", "text"), "redacted")
 
 
 @query(f"SELECT page_id, length(html) AS before, length({STRIPPED}) AS after FROM pages")

@@ -33,3 +33,8 @@ def test_rollup_has_categories_without_findings(differing, texts):
 def test_redacted_documents_with_null_texts(differing, grade):
     rows = [(1, None), (2, ""), (3, " \t\n "), (4, "nothing"), (5, "a.b@example.org from 10.0.0.1, 4111 1111 1111 1111")]
     assert differing(f"redact_documents_g{grade}", "documents", rows, "doc_id long, text string") == (Counter(), Counter())
+
+
+def test_redacted_pages_with_null_texts(differing):
+    rows = [(1, None), (2, ""), (3, "<p> </p>"), (4, "<p>nothing</p>"), (5, "<p>a.b@example.org from 10.0.0.1</p><script>4111 1111 1111 1111</script>")]
+    assert differing("redact_pages", "pages", rows, "page_id long, html string") == (Counter(), Counter())
